@@ -28,5 +28,61 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_records, op3_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.langid import learn, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, learn(docs))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.media import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.neardup import near_duplicate_groups
+
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.quality import assess, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    return assess(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.mixing import mix_documents
+
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
+def _sql() -> dict[str, str]:
+    from tidewell.llm.mixing import SQL
+
+    return {"op10_mixture": SQL}
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_packing, op4_media, op5_main_text, op6_near_duplicates, op7_quality, op8_shards, op9_licenses, op10_mixture)}
+ORACLE_SQL = _sql()

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the `tokenizers` library, with a cache of white-space-separated chunks.
 
 Both vocabularies split a text into pieces before they merge bytes, and no piece reaches over the places where the text is cut here, so ids of
-chunks joined are the ids of the text. Where a text holds anything for which that is not plain (unusual characters, runs of spaces), the whole text
+chunks joined are the ids of the text. A piece not seen before goes to the library's model. Where a text holds anything for which that is not plain (unusual characters, runs of spaces), the whole text
 goes to the library instead.
 """
 
@@ -9,33 +9,71 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
-#: Entries kept by a worker; beyond it the cache starts anew.
-CACHE = 600_000
+#: Chunks, and half as many pieces, kept by a worker; beyond it a cache starts anew.
+CACHE = 800_000
 #: Characters about whose class all Unicode tables agree: printable ASCII, Latin letters, common punctuation.
 _KNOWN = r"\n\x20-\x7e¡-¬®-įı-ſ–—‘’“”…•€"
 _ODD = re.compile(f"[^{_KNOWN}]")
-_ODD_OR_RUN = re.compile(rf"[^{_KNOWN}]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The vocabularies' own patterns for pieces, for known characters and chunks without white space but a first space.
+_BYTE_PIECE = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
+_WORD_PIECE = re.compile(rf"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^ {_LETTER}{_NUMBER}]+")
 
 
-class _Ids(dict):
-    """chunk -> ids as little-endian 16-bit integers."""
+def _byte_names() -> list[str]:
+    """The characters by which byte-level vocabularies name bytes: printable Latin-1 ones name themselves, the others U+0100 and on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
 
-    def __init__(self, encoder, prefix: str = ""):
+
+_NAMES = _byte_names()
+
+
+class _Pieces(dict):
+    """piece -> ids as little-endian 16-bit integers, by the library's merges."""
+
+    def __init__(self, model):
         super().__init__()
-        self.encoder, self.prefix = encoder, prefix
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE // 2:
+            self.clear()
+        name = piece.replace(" ", _NAMES[32]).replace("\n", _NAMES[10]) if piece.isascii() else "".join(map(_NAMES.__getitem__, piece.encode()))
+        ids = array("H", [t.id for t in self.model.tokenize(name)]).tobytes()
+        self[piece] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """chunk -> ids. What stands before a chunk is a space (prefix) or, if it begins with one, a line end."""
+
+    def __init__(self, pieces: _Pieces, pattern: re.Pattern, prefix: str):
+        super().__init__()
+        self.pieces, self.cut, self.prefix = pieces, pattern.findall, prefix
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = np.array(self.encoder.encode(self.prefix + chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        pieces = ["\n", *self.cut(chunk[1:])] if chunk[:1] == "\n" else self.cut(self.prefix + chunk)
+        ids = b"".join(map(self.pieces.__getitem__, pieces))
         self[chunk] = ids
         return ids
 
 
+def _has_runs(text: str) -> bool:
+    """Is there white space at an end or beside white space?"""
+    return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+
+
 class Encoder:
     """encode(text) gives the ids of a text as bytes of '<u2'. The vocabulary must have fewer than 65,536 ids.
 
@@ -51,12 +89,10 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: more than 65,536 ids")
         self.words = words
-        inner = Tokenizer.from_file(path)
-        inner.encode_special_tokens = True
-        if words:
-            inner.normalizer = None
-        self.first, self.later = _Ids(inner), _Ids(inner, "" if words else " ")
-        self.line = b"" if words else self.first["\n"]
+        if sys.byteorder != "little":
+            raise ValueError("ids are little-endian")
+        pieces, pattern = _Pieces(self.library.model), _WORD_PIECE if words else _BYTE_PIECE
+        self.first, self.later = _Chunks(pieces, pattern, ""), _Chunks(pieces, pattern, " ")
 
     def encode(self, text) -> bytes:
         if not isinstance(text, str) or not text:
@@ -65,12 +101,9 @@ class Encoder:
             plain = text.replace("\t", " ").replace("\r", " ")
             if not _ODD.search(plain):
                 return b"".join(map(self.first.__getitem__, unicodedata.normalize("NFC", plain).lower().split()))
-        elif not _ODD_OR_RUN.search(text):
-            later, parts = self.later.__getitem__, []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                parts += [self.line, self.first[head], *map(later, rest)]
-            return b"".join(parts[1:])
+        elif not _ODD.search(text) and not _has_runs(text):
+            head, *rest = text.replace("\n", " \n").split(" ")
+            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
