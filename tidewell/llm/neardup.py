@@ -40,8 +40,8 @@ def shingle_sets(texts: list, words: int) -> Iterator[np.ndarray]:
             if hi - lo >= words:
                 yield np.unique(grams[lo : hi - words + 1])
             elif hi > lo:
-                short = mix((hashes[lo:hi] * factors[: hi - lo]).sum(dtype=np.uint64) + _SALT[63 - (hi - lo)])
-                yield np.array([short], np.uint64)
+                own = (hashes[lo:hi] * factors[: hi - lo]).sum(dtype=np.uint64, keepdims=True)
+                yield mix(own + _SALT[63 - (hi - lo) : 64 - (hi - lo)])
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -192,3 +192,10 @@ def _stars(rows: DataFrame, hubs: int, turn: int) -> DataFrame:
     hub = ranked.groupBy("bucket", slot.alias("slot")).agg(F.min(draw).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root"))
     met = rows.join(hub, "bucket").where(F.col("root") != F.col("hub_root"))
     return met.select("bucket", "hub", F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs less those of documents that near_duplicate_groups() does not keep. Rows that repeat a kept doc_id, and those with a null one, all
+    stay. All columns stay, whatever their names."""
+    dropped = near_duplicate_groups(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
