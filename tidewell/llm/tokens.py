@@ -1,8 +1,8 @@
-"""Token ids of whole texts by the `tokenizers` library, with a cache of white-space-separated chunks.
+"""Token ids of whole texts by the `tokenizers` library, with a cache of pieces (words, mostly).
 
-Both vocabularies split a text into pieces before they merge bytes, and no piece reaches over the places where the text is cut here, so ids of
-chunks joined are the ids of the text. A piece not seen before goes to the library's model. Where a text holds anything for which that is not plain (unusual characters, runs of spaces), the whole text
-goes to the library instead.
+Both vocabularies cut a text into pieces and merge bytes inside each. Here texts are cut by the vocabulary's own pattern, and a piece not seen before goes to
+the library's model. Where a text holds anything for which the pattern's meaning depends on Unicode tables (unusual characters, runs of white space), the whole
+text goes to the library instead.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ from array import array
 
 import numpy as np
 
-#: Chunks, and half as many pieces, kept by a worker; beyond it a cache starts anew.
-CACHE = 800_000
+#: Pieces kept by a worker; beyond it the cache starts anew.
+CACHE = 1_200_000
 #: Characters about whose class all Unicode tables agree: printable ASCII, Latin letters, common punctuation.
 _KNOWN = r"\n\x20-\x7e¡-¬®-įı-ſ–—‘’“”…•€"
 _ODD = re.compile(f"[^{_KNOWN}]")
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-#: The vocabularies' own patterns for pieces, for known characters and chunks without white space but a first space.
-_BYTE_PIECE = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ {_LETTER}{_NUMBER}]+")
-_WORD_PIECE = re.compile(rf"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^ {_LETTER}{_NUMBER}]+")
+#: The vocabularies' own patterns for pieces, for known characters without runs of white space.
+_BYTE_PIECES = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ \n{_LETTER}{_NUMBER}]+|\n")
+_WORD_PIECES = re.compile(rf"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^ \n{_LETTER}{_NUMBER}]+")
 
 
 def _byte_names() -> list[str]:
@@ -45,7 +45,7 @@ class _Pieces(dict):
         self.model = model
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE // 2:
+        if len(self) >= CACHE:
             self.clear()
         name = piece.replace(" ", _NAMES[32]).replace("\n", _NAMES[10]) if piece.isascii() else "".join(map(_NAMES.__getitem__, piece.encode()))
         ids = array("H", [t.id for t in self.model.tokenize(name)]).tobytes()
@@ -53,22 +53,6 @@ class _Pieces(dict):
         return ids
 
 
-class _Chunks(dict):
-    """chunk -> ids. What stands before a chunk is a space (prefix) or, if it begins with one, a line end."""
-
-    def __init__(self, pieces: _Pieces, pattern: re.Pattern, prefix: str):
-        super().__init__()
-        self.pieces, self.cut, self.prefix = pieces, pattern.findall, prefix
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        pieces = ["\n", *self.cut(chunk[1:])] if chunk[:1] == "\n" else self.cut(self.prefix + chunk)
-        ids = b"".join(map(self.pieces.__getitem__, pieces))
-        self[chunk] = ids
-        return ids
-
-
 def _has_runs(text: str) -> bool:
     """Is there white space at an end or beside white space?"""
     return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
@@ -91,8 +75,9 @@ class Encoder:
         self.words = words
         if sys.byteorder != "little":
             raise ValueError("ids are little-endian")
-        pieces, pattern = _Pieces(self.library.model), _WORD_PIECE if words else _BYTE_PIECE
-        self.first, self.later = _Chunks(pieces, pattern, ""), _Chunks(pieces, pattern, " ")
+        model = Tokenizer.from_file(path).model
+        model._resize_cache(0)  # pieces are cached here
+        self.pieces, self.cut = _Pieces(model), (_WORD_PIECES if words else _BYTE_PIECES).findall
 
     def encode(self, text) -> bytes:
         if not isinstance(text, str) or not text:
@@ -100,10 +85,9 @@ class Encoder:
         if self.words:
             plain = text.replace("\t", " ").replace("\r", " ")
             if not _ODD.search(plain):
-                return b"".join(map(self.first.__getitem__, unicodedata.normalize("NFC", plain).lower().split()))
+                return b"".join(map(self.pieces.__getitem__, self.cut(unicodedata.normalize("NFC", plain).lower())))
         elif not _ODD.search(text) and not _has_runs(text):
-            head, *rest = text.replace("\n", " \n").split(" ")
-            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+            return b"".join(map(self.pieces.__getitem__, self.cut(text)))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
