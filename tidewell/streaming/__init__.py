@@ -1,0 +1 @@
+"""The panel has no streaming operators: late data arrives as a new dated snapshot (see sources.tables)."""
