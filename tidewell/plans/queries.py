@@ -108,12 +108,20 @@ _B = "(PARTITION BY location ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND
 _A = "(PARTITION BY location ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 
 
-@query(_with(
-    "marks",
-    far=f"SELECT *, last_value(CASE WHEN y IS NOT NULL THEN v1 END IGNORE NULLS) OVER {_B} AS v0, last_value(CASE WHEN y IS NOT NULL THEN x1 END IGNORE NULLS) OVER {_B} AS x0, first_value(CASE WHEN y IS NOT NULL THEN v2 END IGNORE NULLS) OVER {_A} AS v3, first_value(CASE WHEN y IS NOT NULL THEN x2 END IGNORE NULLS) OVER {_A} AS x3 FROM marks",
-    near=f"SELECT *, first_value(CASE WHEN y IS NOT NULL THEN x1 IS NOT NULL END IGNORE NULLS) OVER {_B} AS unused FROM far",
-    final="SELECT location, date, round(greatest(0, coalesce(y, CASE WHEN has0 AND has3 THEN v0 * (x - x1) * (x - x2) * (x - x3) / ((x0 - x1)::DOUBLE * (x0 - x2) * (x0 - x3)) + v1 * (x - x0) * (x - x2) * (x - x3) / ((x1 - x0)::DOUBLE * (x1 - x2) * (x1 - x3)) + v2 * (x - x0) * (x - x1) * (x - x3) / ((x2 - x0)::DOUBLE * (x2 - x1) * (x2 - x3)) + v3 * (x - x0) * (x - x1) * (x - x2) / ((x3 - x0)::DOUBLE * (x3 - x1) * (x3 - x2)) ELSE v1 + (v2 - v1) * (x - x1) / (x2 - x1) END)), 6) + 0.0 AS y FROM (SELECT *, x0 < x1 AS has0, x3 > x2 AS has3 FROM near)",
-))
+def _cubic(source: str, y: str) -> dict[str, str]:
+    """Parts that fill the gaps of source.y by cubics: the last is `cubic`."""
+    known = f"CASE WHEN {y} IS NOT NULL THEN date - DATE '1970-01-01' END"
+    near = f"SELECT *, date - DATE '1970-01-01' AS x, last_value({y} IGNORE NULLS) OVER {_B} AS v1, last_value({known} IGNORE NULLS) OVER {_B} AS x1, first_value({y} IGNORE NULLS) OVER {_A} AS v2, first_value({known} IGNORE NULLS) OVER {_A} AS x2 FROM {source}"
+    carried = ", ".join(f"{f}(CASE WHEN {y} IS NOT NULL THEN {a} END IGNORE NULLS) OVER {w} AS {b}" for f, w, a, b in (("last_value", _B, "v1", "v0"), ("last_value", _B, "x1", "x0"), ("first_value", _A, "v2", "v3"), ("first_value", _A, "x2", "x3")))
+    terms = []
+    for i in range(4):
+        others = [j for j in range(4) if j != i]
+        terms.append(f"v{i} * " + " * ".join(f"(x - x{j})" for j in others) + " / (" + " * ".join(f"(x{i} - x{j})::DOUBLE" for j in others) + ")")
+    cubic = f"SELECT location, date, greatest(0, coalesce({y}, CASE WHEN x0 < x1 AND x3 > x2 THEN {' + '.join(terms)} ELSE v1 + (v2 - v1) * (x - x1) / (x2 - x1) END)) AS {y} FROM far"
+    return {"near": near, "far": f"SELECT *, {carried} FROM near", "cubic": cubic}
+
+
+@query(_with("completed", **_cubic("completed", "y"), final=f"SELECT location, date, {_r('y')} FROM cubic"))
 def interpolate_cubic(spark, sf_dir):
     return _rounded(impute.interpolate(completed(spark, sf_dir), "cubic", 0.0))
 
@@ -163,16 +171,19 @@ def backfill(spark, sf_dir):
 
 
 _CUT = "1999-06-05"
-_STITCH_PARTS = {
+_STITCH = {
+    "pairs": _PAIRS,
     "lm": "SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM pairs",
     "pred": "SELECT location, CAST(date + 728 AS DATE) AS date, greatest(0, round(exp(a + b * ln(x + 1)) - 1, 2)) AS pred FROM shipped, lm",
     "rates": "SELECT coalesce(p.location, t.location) AS location, coalesce(p.date, t.date) AS date, pred, y AS obs FROM pred p FULL JOIN panel t ON p.location = t.location AND p.date = t.date",
-    "early": f"SELECT r.location, r.date, round_even(coalesce(pred, obs) * population / 100000.0, 0) * coalesce(share, 1.0) AS total FROM rates r LEFT JOIN shipped s ON s.location = r.location AND s.date = r.date JOIN population q ON q.location = r.location WHERE r.date < DATE '{_CUT}'",
-    "both": f"SELECT * FROM early UNION ALL SELECT location, date, y FROM panel WHERE date >= DATE '{_CUT}'",
+    "early": f"SELECT r.location, r.date, round_even(coalesce(pred, obs) * (population * 1000) / 100000.0, 0) * coalesce(share, 1.0) AS total FROM rates r LEFT JOIN shipped s ON s.location = r.location AND s.date = r.date JOIN population q ON q.location = r.location WHERE r.date < DATE '{_CUT}'",
+    "feeds": f"SELECT * FROM early UNION ALL SELECT location, date, y FROM panel WHERE date >= DATE '{_CUT}'",
+    "weeks": "SELECT g.location, g.date, f.total FROM (SELECT location, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS date FROM (SELECT location, min(date) AS lo, max(date) AS hi FROM feeds GROUP BY 1)) g LEFT JOIN feeds f ON g.location = f.location AND g.date = f.date",
+    **_cubic("weeks", "total"),
 }
 
 
-@query()
+@query(_with("filled", "shipped", "population", **_STITCH, final=f"SELECT location, date, {_r('total', digits=4)} FROM cubic"))
 def stitch_panel(spark, sf_dir):
     rate = filled(spark, sf_dir).withColumn("y", F.ln(F.col("y") + 1))
     feed = shipped(spark, sf_dir)
@@ -180,7 +191,7 @@ def stitch_panel(spark, sf_dir):
     panel = weekly_panel(spark, sf_dir)
     truth = panel.withColumnRenamed("y", "obs")
     people = population(spark, sf_dir).select("location", (F.col("population") * 1000).alias("population"))
-    return _rounded(impute.stitch(modelled, truth, feed.select("location", "date", "share"), people, panel.withColumnRenamed("y", "total"), _CUT))
+    return _rounded(impute.stitch(modelled, truth, feed.select("location", "date", "share"), people, panel.withColumnRenamed("y", "total"), _CUT), 4)
 
 
 # ---------------------------------------------------------------------------------------------- features
@@ -293,13 +304,13 @@ def covariate_rank_mi(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- selection, labels, joins
 
 
-@query("SELECT n_name AS location, CASE n_name WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'UK' ELSE n_name END AS label, CASE WHEN n_nationkey < 20 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') ELSE n_name END AS location_code FROM nation WHERE n_name NOT IN ('CHINA', 'JAPAN')")
+@query("SELECT n_name AS location, CASE n_name WHEN 'NATION_3' THEN 'north' WHEN 'NATION_7' THEN 'south' ELSE n_name END AS label, CASE WHEN n_nationkey < 20 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') ELSE n_name END AS location_code FROM nation WHERE n_name NOT IN ('NATION_5', 'NATION_6')")
 def map_labels(spark, sf_dir):
     nations = views.table(spark, sf_dir, "nation")
     dim = nations.where("n_nationkey < 20").select(F.col("n_name").alias("location_name"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("location_code"))
-    rows = select.exclude_locations(nations.select(F.col("n_name").alias("location")), ["CHINA", "JAPAN"])
+    rows = select.exclude_locations(nations.select(F.col("n_name").alias("location")), ["NATION_5", "NATION_6"])
     rows = select.map_code(rows, dim)
-    return select.normalise_label(rows.withColumn("label", F.col("location")), "label", {"UNITED STATES": "US", "UNITED KINGDOM": "UK"})
+    return select.normalise_label(rows.withColumn("label", F.col("location")), "label", {"NATION_3": "north", "NATION_7": "south"})
 
 
 @query(_with("panel", full_="SELECT date FROM panel GROUP BY date HAVING count(DISTINCT location) = (SELECT count(DISTINCT location) FROM panel)", final="SELECT location, date, y FROM panel WHERE date IN (SELECT date FROM full_)"))
@@ -331,9 +342,9 @@ def merge_feeds(spark, sf_dir):
     return _rounded(rows.withColumn("back", count_of(F.col("rate"), F.col("population"))))
 
 
-@query(_with("panel", pivoted="PIVOT (SELECT date, location, y FROM panel WHERE location IN ('FRANCE', 'GERMANY', 'BRAZIL')) ON location IN ('BRAZIL', 'FRANCE', 'GERMANY') USING avg(y) GROUP BY date", final="SELECT date, 'BRAZIL' AS location, BRAZIL AS y FROM pivoted UNION ALL SELECT date, 'FRANCE', FRANCE FROM pivoted UNION ALL SELECT date, 'GERMANY', GERMANY FROM pivoted").replace("pivoted AS (PIVOT (SELECT date, location, y FROM panel WHERE location IN ('FRANCE', 'GERMANY', 'BRAZIL')) ON location IN ('BRAZIL', 'FRANCE', 'GERMANY') USING avg(y) GROUP BY date)", "pivoted AS (SELECT date, avg(y) FILTER (WHERE location = 'BRAZIL') AS BRAZIL, avg(y) FILTER (WHERE location = 'FRANCE') AS FRANCE, avg(y) FILTER (WHERE location = 'GERMANY') AS GERMANY FROM panel GROUP BY date)"))
+@query(_with("panel", pivoted="PIVOT (SELECT date, location, y FROM panel WHERE location IN ('NATION_1', 'NATION_2', 'NATION_0')) ON location IN ('NATION_0', 'NATION_1', 'NATION_2') USING avg(y) GROUP BY date", final="SELECT date, 'NATION_0' AS location, NATION_0 AS y FROM pivoted UNION ALL SELECT date, 'NATION_1', NATION_1 FROM pivoted UNION ALL SELECT date, 'NATION_2', NATION_2 FROM pivoted").replace("pivoted AS (PIVOT (SELECT date, location, y FROM panel WHERE location IN ('NATION_1', 'NATION_2', 'NATION_0')) ON location IN ('NATION_0', 'NATION_1', 'NATION_2') USING avg(y) GROUP BY date)", "pivoted AS (SELECT date, avg(y) FILTER (WHERE location = 'NATION_0') AS NATION_0, avg(y) FILTER (WHERE location = 'NATION_1') AS NATION_1, avg(y) FILTER (WHERE location = 'NATION_2') AS NATION_2 FROM panel GROUP BY date)"))
 def pivot_unpivot(spark, sf_dir):
-    return aggregates.unpivot_locations(aggregates.pivot_locations(weekly_panel(spark, sf_dir), ["BRAZIL", "FRANCE", "GERMANY"]))
+    return aggregates.unpivot_locations(aggregates.pivot_locations(weekly_panel(spark, sf_dir), ["NATION_0", "NATION_1", "NATION_2"]))
 
 
 @query(_with("panel", final="SELECT max(date) AS last_date, CAST(max(date) - 56 AS DATE) AS cutoff FROM panel"))
@@ -381,17 +392,14 @@ def two_stage(spark, sf_dir):
     return models.forecast_two_stage(rows, features.feature_names(rows) + ["y"], "1999-06-05", (1, 2), trees=5)
 
 
-_EXPLODED = "SELECT {0}, k, q FROM {1}, levels"
-
-
-def _levels_out(df: DataFrame, *keep: str) -> DataFrame:
+def _levels_out(df: DataFrame, digits: int = 6) -> DataFrame:
     """A row for each level, k from 0."""
-    return _rounded(df.select(*keep, F.posexplode("quantiles").alias("k", "value")))
+    return _rounded(df.select("location", "reference_date", "h", F.posexplode("quantiles").alias("k", "value")), digits)
 
 
 @query(_with("spread", "hs", "levels", final=f"SELECT location, date AS reference_date, h, k, {_r('greatest(0, y + z * CASE WHEN n_seen >= 10 THEN sd ELSE greatest(0.25 * abs(y), 5.0) END) AS value')} FROM spread, hs, levels"))
 def baseline_quantiles(spark, sf_dir):
-    return _levels_out(quantiles.baseline_quantiles(filled(spark, sf_dir)), "location", "reference_date", "h")
+    return _levels_out(quantiles.baseline_quantiles(filled(spark, sf_dir)))
 
 
 _QS = "[" + ", ".join(repr(q) for q in LEVELS) + "]"
@@ -408,7 +416,7 @@ _ERR = {
 def error_quantiles(spark, sf_dir):
     panel = filled(spark, sf_dir)
     fc = models.forecast_ar1(panel)
-    return _rounded(_levels_out(quantiles.error_quantiles(fc, quantiles.validation_errors(fc, panel)), "location", "reference_date", "h"), 5)
+    return _levels_out(quantiles.error_quantiles(fc, quantiles.validation_errors(fc, panel)), 5)
 
 
 @query(_with(
@@ -420,7 +428,7 @@ def error_quantiles(spark, sf_dir):
     final=f"SELECT location, reference_date, CAST(2 AS INTEGER) AS h, k, {_r('coalesce(qs[k + 1], greatest(0, point + z * greatest(0.25 * abs(point), 5.0))) AS value')} FROM last LEFT JOIN moved USING (location), levels",
 ))
 def difference_quantiles(spark, sf_dir):
-    return _levels_out(quantiles.difference_quantiles(filled(spark, sf_dir), 2), "location", "reference_date", "h")
+    return _levels_out(quantiles.difference_quantiles(filled(spark, sf_dir), 2))
 
 
 @query(_with(
@@ -436,7 +444,7 @@ def residual_quantiles(spark, sf_dir):
     resid = quantiles.scaled_residuals(quantiles.validation_errors(early, panel))
     enough = resid.groupBy("location", "h").count().where("count >= 10")
     late = late.join(enough, ["location", "h"], "left_semi")
-    return _rounded(_levels_out(quantiles.residual_quantiles(late, resid), "location", "reference_date", "h"), 5)
+    return _levels_out(quantiles.residual_quantiles(late, resid), 5)
 
 
 @query(_with("ar", "filled", **_ERR, final=f"SELECT location, h, {_r('avg(error) AS mean', 'stddev_pop(error) AS std', digits=5)}, count(error) AS n, {_r('CASE WHEN count(*) >= 5 THEN quantile_cont(error, 0.5) ELSE 0 END AS bias', 'avg(abs(error)) AS mae', digits=5)} FROM err GROUP BY 1, 2"))
@@ -477,7 +485,7 @@ def _scores(spark, sf_dir, variant="weighted_sum", with_components=False) -> Dat
     return scoring.wis(views.forecasts(panel), panel, variant, with_components)
 
 
-_KEYS = ("model", "location", "reference_date", "h")
+_KEYS = ("model")
 
 
 @query(_with("wis", final=f"SELECT model, location, reference_date, h, {_r('wis', 'dispersion', 'overprediction', 'underprediction', digits=5)} FROM wis"))
@@ -564,14 +572,14 @@ def ensemble_combine(spark, sf_dir):
 
 
 @query(_with(
-    "wis", kept="SELECT * FROM wis WHERE target_end_date >= DATE '1998-01-03' AND location NOT IN ('CHINA')",
+    "wis", kept="SELECT * FROM wis WHERE target_end_date >= DATE '1998-01-03' AND location NOT IN ('NATION_5')",
     fair="SELECT * FROM kept WHERE (h, location, target_end_date) IN (SELECT (h, location, target_end_date) FROM kept GROUP BY h, location, target_end_date HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM kept))",
     each="SELECT h, model, location, avg(wis) AS wis FROM fair GROUP BY 1, 2, 3 UNION ALL SELECT NULL, model, location, avg(wis) FROM fair GROUP BY 2, 3",
     geo=f"SELECT h, model, {_GEO} AS g FROM each GROUP BY 1, 2",
     final=f"SELECT h, model, {_r('g AS geo_wis', 'g / max(CASE WHEN model = ' + chr(39) + 'persistence' + chr(39) + ' THEN g END) OVER (PARTITION BY h) AS relative_wis', digits=5)} FROM geo",
 ))
 def evaluation_report(spark, sf_dir):
-    return _rounded(ensemble.evaluate(_scores(spark, sf_dir), "persistence", "1998-01-03", ["CHINA"]), 5)
+    return _rounded(ensemble.evaluate(_scores(spark, sf_dir), "persistence", "1998-01-03", ["NATION_5"]), 5)
 
 
 _Q = {n: z_values()[LEVELS.index(q)] for n, q in ensemble.BANDS.items()}
