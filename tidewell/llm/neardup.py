@@ -4,6 +4,12 @@ One pass over the texts gives each document its number of shingles, a 128-bit di
 are one class from then on. In each bucket a hub is compared with the members that are not yet in its component: a bucket of m members gives m - 1
 candidate edges, not m * m / 2. Edges are confirmed on the full shingle sets. A hub is then done and leaves its buckets; rounds go on, with more hubs each,
 until no bucket holds two components, so a link that a star misses is found by a later hub.
+
+Most members of a large group need no rounds. Of a set's n shingles only the c that some other candidate has can be in an intersection, so a partner
+has (100 + percent) / percent * c - n shingles at most; a member for which that is less than any size in its bucket leaves the bucket at once. Hubs are the
+members with fewest shingles of their own, which are near the original of a group of edited copies. A member that is not linked with its hub and has i
+shingles in common with it can have partners of more than (100 + percent) / percent * i - n shingles only if it shares a shingle outside the hub with them:
+these are found by an index of such shingles, rarest first, and the member leaves the buckets that have no smaller ones.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidewell.llm.common import chunks, mix, utf8, word_hashes, written
 
@@ -94,45 +100,64 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches. Each step points every node at the smallest neighbour of its
-    neighbourhood, larger neighbours first and then smaller ones, until nothing changes; the tables of each step are stored."""
+    neighbourhood, larger neighbours first and then smaller ones, until all edges lead to roots; the table of each step is stored."""
     pairs = edges.select("a", "b")
     while True:
         both = pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a")
-        after = written(star.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b"))).distinct(), "star")
-        total = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(total(after)) == tuple(total(pairs)):
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        pairs = after
+        star = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
+        pairs = written(star.where("a > b").distinct(), "star")
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("down")), F.struct(F.col("b").alias("x"), F.lit(0).alias("down")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.down").alias("down"), F.min("e.down").alias("least"))
+        if ends.where("down > 1 or down = 1 and least = 0").isEmpty():  # every node points at one root, and no root at any
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-@F.pandas_udf(T.LongType())
-def common_size(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two stored sets."""
-    sets = zip((np.frombuffer(x, np.uint64) for x in a), (np.frombuffer(x, np.uint64) for x in b), strict=True)
-    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype="int64")
+#: So many ids or fewer are broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full shingle sets have 100 * intersection >= percent * union. Sets are made anew from the texts of the documents
-    in question only; pairs whose set sizes rule them out are dropped first."""
+def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, grams): the full shingle sets of the documents with these ids, made anew from their texts."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "grams": [g.tobytes() for g in shingle_sets(batch.text.tolist(), words)]})
+            yield pd.DataFrame({"id": batch.id, "grams": [g.view(np.int64) for g in shingle_sets(batch.text.tolist(), words)]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return written(texts.join(near, "id").dropDuplicates(["id"]).mapInPandas(sets, "id long, grams array<long>"), "sets")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids with `both`, the size of the intersection of their full shingle sets, and `total`, the sum of the sets' sizes."""
+    met = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
+    return met.select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"), (F.size("grams_a") + F.size("grams_b")).alias("total"))
+
 
-    sizes = classes.select("id", F.col("n_shingles").alias("n"))
-    sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    sized = written(sized, "pairs")
-    needed = sized.select(F.col("a").alias("id")).union(sized.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(needed, "id").dropDuplicates(["id"])
-    stored = written(texts.mapInPandas(sets, "id long, grams binary"), "sets")
-    met = sized.join(stored.toDF("a", "grams_a"), "a").join(stored.toDF("b", "grams_b"), "b")
-    met = met.withColumn("both", common_size("grams_a", "grams_b"))
-    return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def _linked(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("total") - F.col("both"))
+
+
+def _candidates(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, id, n, most, own) for the members of buckets that can have a partner there, and the shingle sets of all of them. own: shingles that no other
+    candidate of a bucket of three or more has; most: shingles that a partner can have at most."""
+    members = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("members"), F.max("id").alias("top"), F.min("id").alias("low")).where("members > 1 and top > low").select("bucket", "members")
+    buckets = written(members.join(shared, "bucket"), "buckets")
+    ids = written(buckets.groupBy("id").agg(F.max("members").alias("members")), "candidates")
+    sets = shingle_table(docs, ids.select("id"), words)
+    several = sets.join(ids.where("members > 2").select("id"), "id", "left_semi")
+    single = several.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    sizes = sets.select("id", F.size("grams").cast("long").alias("n")).join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sizes = sizes.withColumn("most", F.floor((100 + percent) * (F.col("n") - F.col("own")) / percent - F.col("n")).cast("long"))
+    most = F.when(F.col("members") > 2, F.col("most")).otherwise(2 * F.col("n"))  # own shingles are counted among members of the larger buckets only
+    sized = written(buckets.join(sizes, "id").withColumn("most", most).drop("members"), "sized")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
+    return written(sized.join(least, "bucket").where("most >= least").drop("least"), "open"), sets
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -145,20 +170,19 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
     sketch = written(sketches(docs, words), "sketch")
     known = sketch.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
     classes = written(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.max("id").alias("top"), F.min("id").alias("low")).where("n > 1 and top > low").select("band", "key")
-    buckets = written(members.join(shared, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id"), "buckets")
-    roots, links, turn = None, None, 0
+    buckets, sets = _candidates(classes, docs, words, percent)
+    roots, turn = None, 0
     while True:
-        found = _open_buckets(buckets, roots)
+        found = written(_open_buckets(buckets, roots), "unsolved")
         if found.isEmpty():
             break
-        pairs = written(_stars(found, 1 << turn, turn), "stars")
-        new = written(confirm(pairs.select("a", "b").distinct(), classes, docs, words, percent), "links")
-        links = new if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
-        roots = components(links)
-        done = pairs.select("bucket", F.col("hub").alias("id")).distinct()
-        buckets = written(found.select("bucket", "id").join(done, ["bucket", "id"], "left_anti"), "buckets")
+        stars = written(_stars(found, 1 << 3 * turn, turn, percent), "stars")
+        met = written(compared(stars.where("a is not null").select("a", "b").distinct(), sets), "compared")
+        roots = _joined(roots, met.where(_linked(percent)).select("a", "b"))
+        buckets = found.drop("root").join(stars.select("bucket", F.col("hub").alias("id")).distinct(), ["bucket", "id"], "left_anti")
+        if turn == 0:
+            buckets, more = _beside_hubs(written(_open_buckets(buckets, roots), "beside"), stars, met, sets, percent)
+            roots = _joined(roots, more)
         turn += 1
     if roots is not None:
         classes = classes.join(roots.withColumnRenamed("node", "id"), "id", "left")
@@ -171,6 +195,13 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The roots (node, root) after new links (a, b)."""
+    if links.isEmpty():
+        return roots
+    return components(links if roots is None else roots.toDF("a", "b").union(links))
+
+
 def _open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The rows (bucket, id, root) of the buckets that hold two components or more."""
     if roots is None:
@@ -181,17 +212,43 @@ def _open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rooted.join(mixed, "bucket")
 
 
-def _stars(rows: DataFrame, hubs: int, turn: int) -> DataFrame:
-    """(bucket, hub, a, b): edges of `hubs` hubs of each bucket to its members of other components. Hubs are taken from the components with fewest members
-    in the bucket, so that what is left soon is of one component; ties by a draw that differs from turn to turn. Hubs are found by aggregation, in as
-    many steps as there are hubs to a power of two, so no bucket is sorted or gathered in one task."""
-    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    ranked = rows.join(counts, ["bucket", "root"]) if turn else rows.withColumn("n", F.lit(1).cast("long"))
-    draw: Column = F.struct("n", F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "root")
+def _stars(rows: DataFrame, hubs: int, turn: int, percent: int) -> DataFrame:
+    """(bucket, hub, id, a, b): edges of up to `hubs` hubs of each bucket to the members of other components, after the first turn to those whose sizes allow
+    a link; id, a and b are null for a hub without any. At first hubs are the members with fewest shingles of their own, later those of the components with
+    fewest members in the bucket, so that what is left soon is of one component. Hubs are found by aggregation, so no bucket is sorted or gathered in one task."""
+    ranked = rows.join(rows.groupBy("bucket", "root").agg(F.count("*").alias("size")), ["bucket", "root"]) if turn else rows.withColumn("size", F.lit(1).cast("long"))
+    draw: Column = F.struct("size", "own", F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "root", "n", "most")
     slot = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(7)), F.lit(hubs))
-    hub = ranked.groupBy("bucket", slot.alias("slot")).agg(F.min(draw).alias("hub")).select("bucket", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root"))
-    met = rows.join(hub, "bucket").where(F.col("root") != F.col("hub_root"))
-    return met.select("bucket", "hub", F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    hub = ranked.groupBy("bucket", slot.alias("slot")).agg(F.min(draw).alias("h")).select("bucket", "h")
+    other = F.col("root") != F.col("h.root")
+    if turn:
+        other = other & (F.col("n") <= F.col("h.most")) & (F.col("h.n") <= F.col("most")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
+    met = rows.join(hub, "bucket").where(other).select("bucket", F.col("h.id").alias("hub"), "id", F.least("h.id", "id").alias("a"), F.greatest("h.id", "id").alias("b"))
+    none = F.lit(None).cast("long")
+    return met.unionByName(hub.select("bucket", F.col("h.id").alias("hub"), none.alias("id"), none.alias("a"), none.alias("b")))
+
+
+def _beside_hubs(rows: DataFrame, stars: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For the rows of open buckets after the first turn: the rows with a smaller `most` where a member is not linked with its hub, less those that can have no
+    partner left; and the links (a, b) of such members by shingles outside the hub. A member that lacks d shingles of the least intersection with a partner, apart
+    from those it has in common with the hub, shares one of its m - d + 1 rarest others with any partner."""
+    tried = stars.where("a is not null").join(met, ["a", "b"]).select("bucket", "id", "hub", "both", _linked(percent).alias("linked"))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = written(rows.join(tried, ["bucket", "id"], "left").join(least, "bucket"), "tried")
+    apart = rows.where(~F.col("linked"))
+    lack = F.ceil(F.lit(percent) * (F.col("n") + F.min("least")) / (100 + percent)) - F.col("both")
+    needs = apart.groupBy("id", "hub", "n", "both").agg(F.greatest(lack, F.lit(1)).cast("int").alias("lack"))
+    grams = sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("gram"))
+    own = needs.join(sets, "id").join(sets.toDF("hub", "hub_grams"), "hub").select("id", "hub", "lack", F.explode(F.array_except("grams", "hub_grams")).alias("gram"))
+    own = written(own, "outside")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    order = Window.partitionBy("id", "hub")  # as many rows as a set has shingles at most
+    rare = own.join(counts, "gram").withColumn("place", F.row_number().over(order.orderBy("k", "gram"))).withColumn("m", F.count("*").over(order)).where("place <= m - lack + 1")
+    pairs = rare.select(F.col("id").alias("x"), "gram").distinct().join(grams, "gram").where("x != id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    links = written(compared(pairs, sets).where(_linked(percent)).select("a", "b"), "outer-links")
+    reach = F.floor((100 + percent) * F.col("both") / percent - F.col("n")).cast("long")
+    rows = rows.withColumn("most", F.when(~F.coalesce("linked", F.lit(True)), F.least("most", reach)).otherwise(F.col("most")))
+    return rows.where("most >= least").select("bucket", "id", "n", "most", "own"), links
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
