@@ -45,9 +45,10 @@ def edited(rng, text, n):
 def cluster_rows():
     """Groups of edited copies, from light to beyond the limit; copies of copies; short texts; equal texts."""
     rng, rows = random.Random(9), []
-    for size, length in ((40, 150), (25, 90), (12, 40), (8, 12), (6, 5)):
+    for size, length in ((160, 150), (25, 90), (12, 40), (8, 12), (6, 5)):
         base = prose(rng, length)
-        rows += [edited(rng, base, min(length - 1, rng.randint(0, max(1, length // 10)))) for _ in range(size)]
+        copies = [edited(rng, base, min(length - 1, rng.randint(0, max(1, length // 10)))) for _ in range(size)]
+        rows += copies + [edited(rng, c, min(length - 1, rng.randint(0, 3))) for c in copies[::4]]  # copies of copies share edits
         rows += [base.upper(), base]
     chain = prose(rng, 200)
     for _ in range(12):
