@@ -106,7 +106,8 @@ def rank_covariates(pairs: DataFrame, method: str = "corr", k: int = 3, bins: in
     """(target, covariate, score, rank) of the best k covariates of each target, from joins.covariate_join rows. `corr`: absolute correlation; `mi`: mutual
     information of the pair's values in `bins` equal-width bins."""
     if method == "corr":
-        scored = pairs.groupBy("target", "covariate").agg(F.abs(F.corr("x", "y")).alias("score"))
+        score = F.abs(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")))  # null for a constant series
+        scored = pairs.groupBy("target", "covariate").agg(F.round(score, 9).alias("score"))  # rounded: equal scores stay ties
     elif method == "mi":
         keys = ["target", "covariate"]
         ends = pairs.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"))
@@ -116,7 +117,8 @@ def rank_covariates(pairs: DataFrame, method: str = "corr", k: int = 3, bins: in
 
         cells = pairs.join(ends, keys).select(*keys, "n", level("x"), level("y")).groupBy(*keys, "n", "bx", "by").agg(F.count("*").alias("nxy"))
         cells = cells.withColumn("nx", F.sum("nxy").over(Window.partitionBy(*keys, "bx"))).withColumn("ny", F.sum("nxy").over(Window.partitionBy(*keys, "by")))
-        scored = cells.groupBy(*keys).agg(F.sum(F.col("nxy") / F.col("n") * F.ln(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))).alias("score"))
+        part = F.col("nxy") / F.col("n") * F.ln(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+        scored = cells.groupBy(*keys).agg(F.round(F.sum(part), 9).alias("score"))
     else:
         raise ValueError(method)
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc_nulls_last("score"), "covariate"))

@@ -282,7 +282,7 @@ def rank_normal(spark, sf_dir):
 _COV = "SELECT a.location AS target, b.location AS covariate, b.y AS x, a.y AS y FROM filled a JOIN filled b ON a.date = b.date AND a.location <> b.location"
 
 
-@query(_with("filled", pairs=_COV, scored="SELECT target, covariate, round(abs(corr(x, y)), 9) AS score FROM pairs GROUP BY 1, 2", final="SELECT target, covariate, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC NULLS LAST, covariate) AS rank FROM scored) WHERE rank <= 3"))
+@query(_with("filled", pairs=_COV, scored="SELECT target, covariate, round(abs(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)), 9) AS score FROM pairs GROUP BY 1, 2", final="SELECT target, covariate, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC NULLS LAST, covariate) AS rank FROM scored) WHERE rank <= 3"))
 def covariate_rank_corr(spark, sf_dir):
     return _rounded(aggregates.rank_covariates(joins.covariate_join(filled(spark, sf_dir)), "corr", 3))
 
@@ -292,7 +292,7 @@ _MI = dict(
     ends="SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1, min(y) OVER w AS y0, max(y) OVER w AS y1, count(*) OVER w AS n FROM pairs WINDOW w AS (PARTITION BY target, covariate)",
     cells="SELECT target, covariate, n, least(coalesce(floor((x - x0) / nullif(x1 - x0, 0) * 8), 0), 7) AS bx, least(coalesce(floor((y - y0) / nullif(y1 - y0, 0) * 8), 0), 7) AS bn, count(*) AS nxy FROM ends GROUP BY 1, 2, 3, 4, 5",
     sides="SELECT *, sum(nxy) OVER (PARTITION BY target, covariate, bx) AS nx, sum(nxy) OVER (PARTITION BY target, covariate, bn) AS ny FROM cells",
-    scored="SELECT target, covariate, sum(nxy / n::DOUBLE * ln(nxy::DOUBLE * n / (nx * ny))) AS score FROM sides GROUP BY 1, 2",
+    scored="SELECT target, covariate, round(sum(nxy / n::DOUBLE * ln(nxy::DOUBLE * n / (nx * ny))), 9) AS score FROM sides GROUP BY 1, 2",
 )
 
 
@@ -485,7 +485,7 @@ def _scores(spark, sf_dir, variant="weighted_sum", with_components=False) -> Dat
     return scoring.wis(views.forecasts(panel), panel, variant, with_components)
 
 
-_KEYS = ("model")
+_KEYS = ("model", "location", "reference_date", "h")
 
 
 @query(_with("wis", final=f"SELECT model, location, reference_date, h, {_r('wis', 'dispersion', 'overprediction', 'underprediction', digits=5)} FROM wis"))
@@ -510,12 +510,12 @@ def wis_standard(spark, sf_dir):
     return _rounded(_scores(spark, sf_dir, "standard").select(*_KEYS, "wis"), 5)
 
 
-_GEO = "exp(avg(CASE WHEN wis > 0 THEN ln(wis) END))"
+_GEO = "exp(avg(CASE WHEN round(wis, 9) > 0 THEN ln(round(wis, 9)) END))"  # rounded: a score of 0 is 0 in both engines
 
 
 @query(_with("wis", geo=f"SELECT h, model, {_GEO} AS g, avg(wis) AS m FROM wis GROUP BY 1, 2", final=f"SELECT a.h, a.model, {_r('a.g AS geo_wis', 'b.g AS base_wis', 'a.g / b.g AS relative_wis', 'a.m AS mean_wis', digits=5)} FROM geo a JOIN geo b ON a.h = b.h AND b.model = 'persistence'"))
 def relative_wis(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
+    scores = _scores(spark, sf_dir).withColumn("wis", F.round("wis", 9))
     return _rounded(scoring.relative_wis(scores, "persistence").join(scoring.mean_wis(scores, ["h", "model"]), ["h", "model"]), 5)
 
 
@@ -574,12 +574,12 @@ def ensemble_combine(spark, sf_dir):
 @query(_with(
     "wis", kept="SELECT * FROM wis WHERE target_end_date >= DATE '1998-01-03' AND location NOT IN ('NATION_5')",
     fair="SELECT * FROM kept WHERE (h, location, target_end_date) IN (SELECT (h, location, target_end_date) FROM kept GROUP BY h, location, target_end_date HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM kept))",
-    each="SELECT h, model, location, avg(wis) AS wis FROM fair GROUP BY 1, 2, 3 UNION ALL SELECT NULL, model, location, avg(wis) FROM fair GROUP BY 2, 3",
+    each="SELECT h, model, location, avg(round(wis, 9)) AS wis FROM fair GROUP BY 1, 2, 3 UNION ALL SELECT NULL, model, location, avg(round(wis, 9)) FROM fair GROUP BY 2, 3",
     geo=f"SELECT h, model, {_GEO} AS g FROM each GROUP BY 1, 2",
     final=f"SELECT h, model, {_r('g AS geo_wis', 'g / max(CASE WHEN model = ' + chr(39) + 'persistence' + chr(39) + ' THEN g END) OVER (PARTITION BY h) AS relative_wis', digits=5)} FROM geo",
 ))
 def evaluation_report(spark, sf_dir):
-    return _rounded(ensemble.evaluate(_scores(spark, sf_dir), "persistence", "1998-01-03", ["NATION_5"]), 5)
+    return _rounded(ensemble.evaluate(_scores(spark, sf_dir).withColumn("wis", F.round("wis", 9)), "persistence", "1998-01-03", ["NATION_5"]), 5)
 
 
 _Q = {n: z_values()[LEVELS.index(q)] for n, q in ensemble.BANDS.items()}
