@@ -510,12 +510,12 @@ def wis_standard(spark, sf_dir):
     return _rounded(_scores(spark, sf_dir, "standard").select(*_KEYS, "wis"), 5)
 
 
-_GEO = "exp(avg(CASE WHEN round(wis, 9) > 0 THEN ln(round(wis, 9)) END))"  # rounded: a score of 0 is 0 in both engines
+_GEO = "exp(avg(CASE WHEN round(wis, 6) > 0 THEN ln(round(wis, 6)) END))"  # rounded: a score of 0 is 0 in both engines
 
 
 @query(_with("wis", geo=f"SELECT h, model, {_GEO} AS g, avg(wis) AS m FROM wis GROUP BY 1, 2", final=f"SELECT a.h, a.model, {_r('a.g AS geo_wis', 'b.g AS base_wis', 'a.g / b.g AS relative_wis', 'a.m AS mean_wis', digits=5)} FROM geo a JOIN geo b ON a.h = b.h AND b.model = 'persistence'"))
 def relative_wis(spark, sf_dir):
-    scores = _scores(spark, sf_dir).withColumn("wis", F.round("wis", 9))
+    scores = _scores(spark, sf_dir).withColumn("wis", F.round("wis", 6))
     return _rounded(scoring.relative_wis(scores, "persistence").join(scoring.mean_wis(scores, ["h", "model"]), ["h", "model"]), 5)
 
 
@@ -574,12 +574,12 @@ def ensemble_combine(spark, sf_dir):
 @query(_with(
     "wis", kept="SELECT * FROM wis WHERE target_end_date >= DATE '1998-01-03' AND location NOT IN ('NATION_5')",
     fair="SELECT * FROM kept WHERE (h, location, target_end_date) IN (SELECT (h, location, target_end_date) FROM kept GROUP BY h, location, target_end_date HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM kept))",
-    each="SELECT h, model, location, avg(round(wis, 9)) AS wis FROM fair GROUP BY 1, 2, 3 UNION ALL SELECT NULL, model, location, avg(round(wis, 9)) FROM fair GROUP BY 2, 3",
+    each="SELECT h, model, location, avg(round(wis, 6)) AS wis FROM fair GROUP BY 1, 2, 3 UNION ALL SELECT NULL, model, location, avg(round(wis, 6)) FROM fair GROUP BY 2, 3",
     geo=f"SELECT h, model, {_GEO} AS g FROM each GROUP BY 1, 2",
     final=f"SELECT h, model, {_r('g AS geo_wis', 'g / max(CASE WHEN model = ' + chr(39) + 'persistence' + chr(39) + ' THEN g END) OVER (PARTITION BY h) AS relative_wis', digits=5)} FROM geo",
 ))
 def evaluation_report(spark, sf_dir):
-    return _rounded(ensemble.evaluate(_scores(spark, sf_dir).withColumn("wis", F.round("wis", 9)), "persistence", "1998-01-03", ["NATION_5"]), 5)
+    return _rounded(ensemble.evaluate(_scores(spark, sf_dir).withColumn("wis", F.round("wis", 6)), "persistence", "1998-01-03", ["NATION_5"]), 5)
 
 
 _Q = {n: z_values()[LEVELS.index(q)] for n, q in ensemble.BANDS.items()}
