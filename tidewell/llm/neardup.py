@@ -229,12 +229,13 @@ def _stars(rows: DataFrame, hubs: int, turn: int, percent: int) -> DataFrame:
 
 
 def _beside_hubs(rows: DataFrame, stars: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """For the rows of open buckets after the first turn: the rows with a smaller `most` where a member is not linked with its hub, less those that can have no
-    partner left; and the links (a, b) of such members by shingles outside the hub. A member that lacks d shingles of the least intersection with a partner, apart
+    """For the rows of open buckets after the first turn: the rows with a smaller `most` where a member is linked with none of its hubs, less those that can have no
+    partner left; and the links (a, b) of such members by shingles outside the hub that has most in common with them. A member that lacks d shingles of the least intersection with a partner, apart
     from those it has in common with the hub, shares one of its m - d + 1 rarest others with any partner."""
-    tried = stars.where("a is not null").join(met, ["a", "b"]).select("bucket", "id", "hub", "both", _linked(percent).alias("linked"))
+    tried = stars.where("a is not null").select("id", "hub", "a", "b").distinct().join(met, ["a", "b"]).withColumn("linked", _linked(percent))
+    tried = tried.groupBy("id").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"), F.max("both").alias("both"), F.max("linked").alias("linked"))
     least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = written(rows.join(tried, ["bucket", "id"], "left").join(least, "bucket"), "tried")
+    rows = written(rows.join(tried, "id", "left").join(least, "bucket"), "tried")
     apart = rows.where(~F.col("linked"))
     lack = F.ceil(F.lit(percent) * (F.col("n") + F.min("least")) / (100 + percent)) - F.col("both")
     needs = apart.groupBy("id", "hub", "n", "both").agg(F.greatest(lack, F.lit(1)).cast("int").alias("lack"))
