@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def chunks(blobs: list[bytes], limit: int = 1 << 20):
+def chunks(blobs: Iterable[bytes], limit: int = 1 << 20):
     """Consecutive runs of blobs of about `limit` bytes, so that numpy work on a run has bounded memory (a longer blob is a run of its own)."""
     run, size = [], 0
     for b in blobs:

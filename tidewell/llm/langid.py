@@ -21,7 +21,7 @@ LONGEST = 5
 #: A text's mean word score counts as that of so many words at most, so that the posterior says something of long texts too.
 WEIGHT = 25
 #: Unseen words remembered by a worker.
-CACHE = 300_000
+CACHE = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 

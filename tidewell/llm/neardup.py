@@ -35,7 +35,7 @@ def shingle_sets(texts: list, words: int) -> Iterator[np.ndarray]:
     """For each text its distinct `words`-word shingles as sorted 64-bit hashes; with fewer words, the whole sequence as one; without words, none.
     A-Z are lower-cased; words are runs of characters other than space and U+0009 to U+000D."""
     factors = _SALT[:words] | np.uint64(1)
-    for run in chunks([utf8(t) for t in texts]):
+    for run in chunks(map(utf8, texts)):
         hashes, first = word_hashes(run, lower=True)
         n = max(0, len(hashes) - words + 1)
         grams = np.zeros(n, np.uint64)
@@ -124,7 +124,9 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch.id, "grams": [g.view(np.int64) for g in shingle_sets(batch.text.tolist(), words)]})
+            for lo in range(0, len(batch), 500):  # sets of some documents at a time
+                part = batch.iloc[lo : lo + 500]
+                yield pd.DataFrame({"id": part.id, "grams": [g.view(np.int64) for g in shingle_sets(part.text.tolist(), words)]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
