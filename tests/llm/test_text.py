@@ -145,3 +145,33 @@ def test_pages_odd(spark):
     got = html_text.main_text(rows).collect()
     assert len(got) == 4 and {r.n_chars for r in got} == {0, 60000 * 5 - 1}
     assert html_text.main_text(rows.limit(0)).count() == 0
+
+
+LONG = "<p><b>" + "The first paragraph is by far the longest of all, so its sum beats the sum of what holds it. " * 9 + "<br></p>"
+TWICE = "Some words of a section that stands beside another one. " * 6
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<nav><a href=/>Menu</a></nav><article><h1>Head</h1>{LONG}<p>Second one.</p><p>End.</p></article><footer>f</footer>", ["Head", "The first", "Second one.", "End."]),
+        (f"<div id=content><h1>Head</h1>{LONG}<p>Second one.</p><p>End.</p></div><div><a href=/a>One link</a> <a href=/b>another link</a></div>", ["Head", "The first", "Second one.", "End."]),
+        (f"<div id=content><h1>Head</h1><section><p>{TWICE}</p><p>{TWICE}</p></section><section><p>{TWICE}</p><p>Short.</p></section></div><div>Unmarked</div>", ["Head", "Some", "Some", "Some", "Short."]),
+        (f"<div id=content><div><p>{TWICE}</p><p>{TWICE}</p></div>{TWICE}<br>{TWICE}</div><div>Unmarked</div>", ["Some", "Some", "Some"]),
+    ],
+)
+def test_pages_whole_article(body, want):
+    got = html_text.extract(page(body)).split("\n")
+    assert len(got) == len(want) and all(g.startswith(w) for g, w in zip(got, want, strict=True))
+
+
+def test_pages_every_block_of_articles():
+    import html
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column(0).to_pylist()
+    for x in pages:
+        article = re.search(r"<article[^>]*>(.*?)</article>", x, re.S)[1]
+        parts = (html_text.SPACES.sub(" ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip(" ") for b in re.split(r"</?(?:h[1-6]|p|ul|li|div|section)\b[^>]*>", article))
+        assert html_text.extract(x).split("\n") == [b for b in parts if b]

@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 For every node of the page's tree the composite density is its characters per tag, adjusted by a logarithm that falls where links hold much of the text. A
-node's density sum adds the densities of its children. The node of the largest sum under body holds the article; the smallest density on the path from it up to
-body is the threshold that separates its content from leftovers with links.
+node's density sum adds the densities of its children that are blocks; inline elements are part of their block's text. The node of the largest sum under body
+is in the article; the smallest density on the path from it up to body is the threshold of content. Every block that reaches it is content wherever it stands, so
+the text is that of the smallest node that holds all of them; the threshold also separates leftovers with links.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ LINKED = 0.6
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "block")
 
     def __init__(self, tag: str, parent, dropped: bool):
         self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.block = tag in BLOCK
 
 
 def _dropped(tag: str, attributes: str) -> bool:
@@ -105,7 +107,7 @@ def parse(page: str) -> Node:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Counts of characters and tags, all and in links, for every node that is not dropped; the nodes, parents first."""
+    """Counts of characters and tags, all and in links, for every node that is not dropped; whether it is or holds a block; the nodes, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -118,6 +120,7 @@ def _measure(root: Node) -> list[Node]:
             elif not x.dropped:
                 node.chars, node.tags = node.chars + x.chars, node.tags + x.tags + 1
                 node.link_chars, node.link_tags = node.link_chars + x.link_chars, node.link_tags + x.link_tags + (x.tag == "a")
+                node.block = node.block or x.block
         if node.tag == "a":
             node.link_chars = node.chars
     return order
@@ -131,7 +134,43 @@ def _densities(order: list[Node], body: Node) -> None:
             base = math.log(node.chars / plain * linked + share * node.chars + math.e)
             node.density = node.chars / max(node.tags, 1) * math.log(node.chars / max(linked, 1) * max(node.tags, 1) / max(node.link_tags, 1) + 1e-12) / max(math.log(base + 1e-12), 1.0) if base > 0 else 0.0
     for node in order:
-        node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.dropped)
+        node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.dropped and x.block)
+
+
+def _leftover(x: Node, threshold: float) -> bool:
+    """Whether a block is mostly links and below the threshold."""
+    return x.tag in BLOCK and x.density < threshold and x.link_tags > 0 and x.link_chars > LINKED * x.chars
+
+
+def _adds(up: Node, below: Node, threshold: float) -> bool:
+    """Whether a node holds content outside one of its children: a block or text of its own that reaches the threshold, or, under body, a first heading."""
+    own, stack = 0, []
+    for x in up.parts:
+        if isinstance(x, str):
+            own += len(x) - x.count(" ") - x.count("\n")
+        elif x is not below and not x.dropped:
+            if x.tag == "h1" and up.parent is not None and up.tag != "body":
+                return True
+            stack.append(x)
+            own += 0 if x.block else x.chars - x.link_chars
+    if own and own * math.log(own) >= threshold:
+        return True
+    while stack:
+        x = stack.pop()
+        if x.block and x.chars and x.link_chars <= LINKED * x.chars and x.density >= threshold:
+            return True
+        stack += [y for y in x.parts if isinstance(y, Node) and not y.dropped]
+    return False
+
+
+def _content(best: Node, body: Node, threshold: float) -> Node:
+    """The smallest node that holds the best one, the article or main element around it, and all content by the threshold."""
+    root = up = best
+    while up is not body:
+        below, up = up, up.parent
+        if up.tag in ("article", "main") and root.tag not in ("article", "main") or _adds(up, below, threshold):
+            root = up
+    return root
 
 
 def extract(page) -> str:
@@ -149,6 +188,7 @@ def extract(page) -> str:
     while up is not body:
         up = up.parent
         threshold = min(threshold, up.density)
+    root = _content(best, body, threshold)
     blocks, run = [], []
 
     def end() -> None:
@@ -158,7 +198,7 @@ def extract(page) -> str:
                 blocks.append(text)
             run.clear()
 
-    stack: list = [best]
+    stack: list = [root]
     while stack:
         x = stack.pop()
         if x is None:
@@ -167,7 +207,7 @@ def extract(page) -> str:
             run.append(x)
         elif x.tag == "br":
             run.append(" ")
-        elif not x.dropped and not (x is not best and x.tag in BLOCK and x.density < threshold and x.link_tags and x.link_chars > LINKED * x.chars):
+        elif not x.dropped and (x is root or not _leftover(x, threshold)):
             block = x.tag in BLOCK
             if block:
                 end()
