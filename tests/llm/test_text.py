@@ -175,3 +175,46 @@ def test_pages_every_block_of_articles():
         article = re.search(r"<article[^>]*>(.*?)</article>", x, re.S)[1]
         parts = (html_text.SPACES.sub(" ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip(" ") for b in re.split(r"</?(?:h[1-6]|p|ul|li|div|section)\b[^>]*>", article))
         assert html_text.extract(x).split("\n") == [b for b in parts if b]
+
+
+def wrapped(text, width=60, mark=""):
+    lines, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            lines, line = [*lines, mark + line], ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*lines, mark + line])
+
+
+def test_licenses_over_lines(spark):
+    """Every template is found in any wrapping, behind comment marks or inside a long text; its words scattered over a long text are no notice."""
+    fill = " ".join(f"w{k}" for k in range(300))
+    rows, n = [], len(licenses.TEMPLATES)
+    for k, (_, wording) in enumerate(licenses.TEMPLATES):
+        rows += [(k, f"{fill}\n{wrapped(wording, 40, '# ')}\n{fill}"), (100 + k, f"{fill} {wording} {fill}"), (200 + k, wrapped(wording, 1)), (300 + k, f" {fill} ".join(wording.split()))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 4 * n
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[d].labels.split(",") and any(b.label == label and b.containment == 1 for b in got[d].blocks) for d in (k, 100 + k, 200 + k))
+        assert next(b.line for b in got[k].blocks if b.label == label) == 1
+        assert got[300 + k].labels == "" and got[300 + k].score == 0
+
+
+def test_scan_finds_all_blocks():
+    """All runs of words tried: the same templates and largest containments."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(14)]
+    templates = [(f"t{k}", " ".join(rng.choices(words, k=rng.randint(2, 9)))) for k in range(12)]
+    index = licenses.Index({w: rng.randint(0, 5) for w in words}, templates, 0.7)
+    for _ in range(500):
+        text = rng.choices([*words, *"abcdefghijklmnop"], k=rng.randint(0, 60))
+        want = {}
+        for label, t in templates:
+            own, width = set(t.split()), licenses.WIDTH * len(t.split())
+            share = max((len(own.intersection(text[i : i + width])) / len(own) for i in range(len(text))), default=0)
+            if share >= 0.7 - 1e-9:
+                want[label] = share
+        found = {}
+        for _, label, share in index.scan(text, set(text)):
+            found[label] = max(share, found.get(label, 0))
+        assert found == want

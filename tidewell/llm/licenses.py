@@ -1,17 +1,20 @@
-"""License scan: phrases, and an exact set-similarity join of text blocks (lines) with license templates by containment.
+"""License scan: phrases, and an exact set-similarity join of text blocks with license templates by containment.
 
-A block matches a template if it holds at least the share THRESHOLD of the template's distinct words. Words are ordered by the number of documents they are
-in, rarest first, over the whole corpus. A block that matches must hold a word of the template's prefix, the rarest words that can't all be missing;
-an index of prefix words gives the candidates, the length filter drops blocks with too few words, and the positional filter those whose first
-common word lies so late in the template that too few words follow.
+The blocks of a template are all runs of WIDTH times its words, wherever the text's lines end: a notice wrapped over lines is one block, and words scattered over a
+long text are none. A block matches a template if it holds at least the share THRESHOLD of the template's distinct words. Words are ordered by the number of
+documents they are in, rarest first, over the whole corpus. A text with a block that matches must hold a word of the template's prefix, the rarest words that
+can't all be missing; an index of prefix words gives the candidates, the length filter drops texts with too few words, and the positional filter those whose first
+common word lies so late in the template that too few words follow. Candidates are confirmed by sliding over the places of the template's words.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.9
+#: Words of a block for each word of the template: as many others as its own may stand among them (comment marks, names, a changed wording).
+WIDTH = 2
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 #: Phrases and their labels (fixed values).
@@ -67,25 +72,56 @@ class Index:
         for k, (label, wording) in enumerate(templates):
             words = sorted(set(words_of(wording)), key=order)
             need = math.ceil(threshold * len(words) - 1e-9)
-            self.templates.append((label, words, frozenset(words), need))
+            self.templates.append((label, words, frozenset(words), need, WIDTH * len(words_of(wording))))
             for place, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((k, place))
         self.rare = frozenset(self.prefix)
 
     def block(self, words: set[str]) -> list[tuple[str, float]]:
         """(label, containment) of each template that a block with these words matches."""
+        return [(self.templates[k][0], both / len(self.templates[k][1])) for k, both in self.candidates(words)]
+
+    def candidates(self, words: set[str]) -> list[tuple[int, int]]:
+        """(template, common words) of each template of which the words hold enough."""
         out, seen = [], set()
         for w in sorted(self.rare & words, key=lambda w: min(p for _, p in self.prefix[w])):
             for k, place in self.prefix[w]:
-                label, ordered, own, need = self.templates[k]
+                _, ordered, own, need, _ = self.templates[k]
                 if k in seen or len(words) < need or len(ordered) - place < need:
                     continue
                 seen.add(k)
                 both = len(own & words)
                 if both >= need:
-                    out.append((label, both / len(ordered)))
+                    out.append((k, both))
         return out
 
+    def scan(self, words: list[str], distinct: set[str]) -> list[tuple[int, str, float]]:
+        """(place of the first word, label, containment) of the blocks of a text that match: of blocks that meet, the first of those with most common words."""
+        out = []
+        for k, _ in self.candidates(distinct):
+            label, ordered, own, need, width = self.templates[k]
+            inside: deque[tuple[int, str]] = deque()
+            held: dict[str, int] = {}
+            best = None  # (common words, first place, last place)
+            for at in (i for i, w in enumerate(words) if w in own):
+                inside.append((at, words[at]))
+                held[words[at]] = held.get(words[at], 0) + 1
+                while inside[0][0] <= at - width or held[inside[0][1]] > 1:
+                    w = inside.popleft()[1]
+                    held[w] -= 1
+                    if not held[w]:
+                        del held[w]
+                if len(held) < need:
+                    continue
+                if best is not None and inside[0][0] > best[2]:
+                    out.append((best[1], label, best[0] / len(ordered)))
+                    best = None
+                if best is None or len(held) > best[0]:
+                    best = (len(held), inside[0][0], at)
+            if best is not None:
+                out.append((best[1], label, best[0] / len(ordered)))
+        return sorted(out)
+
 
 def _places(words: list[str], phrases: list[tuple[list[str], str]]) -> list[tuple[int, str]]:
     """(start, label) of each place where the words of a phrase stand one after the other."""
@@ -106,8 +142,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks for every row of docs (doc_id, text).
 
     n_base: places of PHRASES; first_word, last_word: their smallest and largest first word (else null); base_labels: their labels; labels: those and the
-    labels of templates that some block contains; score: 1 if there is a phrase, else the largest containment found (0: none); blocks: (line, label,
-    containment) of every matching block. Null and empty texts have no words. A text without line ends is one block. Other columns are ignored.
+    labels of templates that some block contains; score: 1 if there is a phrase, else the largest containment found (0: none); blocks: (line of the first word,
+    label, containment) of every matching block. Null and empty texts have no words. Other columns are ignored.
     """
     index = Index(document_counts(docs, templates), templates, threshold)
     phrases = [(p.split(), label) for p, label in PHRASES.items()]
@@ -121,9 +157,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
                 distinct = set(words)
                 places = _places(words, [p for p, hint in zip(phrases, hints, strict=True) if hint in distinct])
                 blocks = []
-                if distinct & index.rare:
-                    for n, line in enumerate(text.split("\n")):
-                        blocks += [{"line": n, "label": label, "containment": share} for label, share in index.block(set(words_of(line)))]
+                if distinct & index.rare and (found := index.scan(words, distinct)):
+                    ends = list(accumulate(len(words_of(line)) for line in text.split("\n")))
+                    blocks = [{"line": bisect_right(ends, at), "label": label, "containment": share} for at, label, share in found]
                 starts, base = [p for p, _ in places], {label for _, label in places}
                 labels = sorted(base | {b["label"] for b in blocks})
                 score = 1.0 if base else max((b["containment"] for b in blocks), default=0.0)
