@@ -47,3 +47,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pivot_of_every_location(spark):
+    panel = plans.weekly_panel(spark, DIR)
+    rows = plans.QUERIES["pivot_unpivot_all"](spark, DIR)
+    keys = ["location", "date", "y"]
+    assert rows.where("y is not null").select(keys).exceptAll(panel.select(keys)).count() == 0
+    assert rows.where("y is not null").count() == panel.count() and rows.select("location").distinct().count() == spark.read.parquet(f"{DIR}/nation.parquet").count()

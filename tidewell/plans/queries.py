@@ -347,6 +347,13 @@ def pivot_unpivot(spark, sf_dir):
     return aggregates.unpivot_locations(aggregates.pivot_locations(weekly_panel(spark, sf_dir), ["NATION_0", "NATION_1", "NATION_2"]))
 
 
+@query(_with("panel", final="SELECT d.date, n_name AS location, avg(y) AS y FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN nation LEFT JOIN panel p ON p.date = d.date AND p.location = n_name GROUP BY 1, 2"))
+def pivot_unpivot_all(spark, sf_dir):
+    """Every location: the nations bound them."""
+    locations = sorted(r.n_name for r in views.table(spark, sf_dir, "nation").select("n_name").distinct().collect())
+    return aggregates.unpivot_locations(aggregates.pivot_locations(weekly_panel(spark, sf_dir), locations))
+
+
 @query(_with("panel", final="SELECT max(date) AS last_date, CAST(max(date) - 56 AS DATE) AS cutoff FROM panel"))
 def snapshot_bounds(spark, sf_dir):
     return tables.snapshot_bounds(weekly_panel(spark, sf_dir))
