@@ -55,3 +55,10 @@ def test_pivot_of_every_location(spark):
     keys = ["location", "date", "y"]
     assert rows.where("y is not null").select(keys).exceptAll(panel.select(keys)).count() == 0
     assert rows.where("y is not null").count() == panel.count() and rows.select("location").distinct().count() == spark.read.parquet(f"{DIR}/nation.parquet").count()
+
+
+def test_two_stage_has_every_horizon(spark):
+    rows = plans.QUERIES["two_stage"](spark, DIR).select("location", "reference_date", "h", "mu", "sigma").toPandas()
+    anchors = plans.filled(spark, DIR).where("date >= '1999-06-05'").count()
+    assert rows.groupby("h").size().to_dict() == dict.fromkeys((1, 2, 3, 4), anchors)
+    assert not rows.duplicated(["location", "reference_date", "h"]).any() and rows.mu.notna().all() and (rows.sigma > 0).all()

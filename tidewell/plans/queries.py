@@ -396,7 +396,7 @@ def linear(spark, sf_dir):
 @query()
 def two_stage(spark, sf_dir):
     rows = features.build_features(filled(spark, sf_dir), groups=("rolling", "season"))
-    return models.forecast_two_stage(rows, features.feature_names(rows) + ["y"], "1999-06-05", (1, 2), trees=5)
+    return models.forecast_two_stage(rows, features.feature_names(rows) + ["y"], "1999-06-05")
 
 
 def _levels_out(df: DataFrame, digits: int = 6) -> DataFrame:
