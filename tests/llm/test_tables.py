@@ -1,6 +1,7 @@
 """Media, shards, mixtures and the pipeline."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -154,3 +155,24 @@ def test_pipeline_stages_take_odd_rows(spark, clashing, none):
             out = stage(spark, df, "/root/testdata/sf0.001")
             assert out.columns == df.columns
             out.count()
+
+
+def test_shards_prune_sources_of_common_start(spark):
+    """Sources that differ only late make levels of their own: shards cover few of them."""
+    rng = random.Random(6)
+    rows = [(k, "x" * rng.randint(1, 400), "en", f"https://common.example/crawl/{rng.randint(2010, 2025)}") for k in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.shard_documents(df, 16).join(df.select("doc_id", "source"), "doc_id").toPandas()
+    assert got.groupby("shard").source.nunique().mean() <= 8
+
+
+def test_ranked_levels(spark):
+    """Levels follow the order of whole strings, nulls first, with about equally many rows."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, "", *(f"same start {k:03d}" for k in range(100))]), rng.choice(["de", "en", None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", "a AS a0", "b AS b0")
+    got = sharding.ranked(df, ["a", "b"]).toPandas()
+    for level, value, n in (("a", "a0", 32), ("b", "b0", 3)):
+        by = sorted({(x is not None and x == x, x or "", v) for x, v in zip(got[value].where(got[value].notna(), None), got[level], strict=True)})
+        assert [v for *_, v in by] == sorted(v for *_, v in by) and {v for *_, v in by} == set(range(n))
+    assert got.groupby("a").size().max() <= 3 * 3000 / 32

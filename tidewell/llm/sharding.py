@@ -18,9 +18,22 @@ BITS = 5
 RUN = 50_000
 
 
-def prefix_number(text: Column) -> Column:
-    """The first six UTF-8 bytes of a string as a number: ordered as the strings are, nulls first."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(text.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(-1))
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with text columns replaced by levels as quantised() makes them, by the order of whole strings, nulls first. The limits come from counts of all values:
+    those are sorted in ranges, and the rows before each range come from its sum, so no task sorts more than a range. At most 2 ** BITS - 1 limits of a column
+    reach the driver."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).alias("value")) for c in columns)))
+    counts = df.select(pairs.alias("pair")).groupBy("pair.axis", "pair.value").agg(F.count("*").alias("n"))
+    counts = written(counts.repartitionByRange(F.asc("axis"), F.asc_nulls_first("value")).withColumn("part", F.spark_partition_id()), "values")
+    along = Window.partitionBy("axis").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("axis", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("axis", "part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("part_start"), F.sum("n").over(Window.partitionBy("axis")).alias("total"))
+    within = Window.partitionBy("axis", "part").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(F.broadcast(parts), ["axis", "part"]).withColumn("upto", F.col("part_start") + F.sum("n").over(within))
+    at = lambda x: F.expr(f"({x}) * {1 << BITS} div total")
+    limits = rows.where(F.least(at("upto"), F.lit((1 << BITS) - 1)) > at("upto - n")).select("axis", "value").collect()
+    above = lambda c, x: F.col(c).isNotNull() if x is None else F.coalesce(F.col(c) > F.lit(x), F.lit(False))
+    return df.withColumns({c: sum((above(c, r.value).cast("int") for r in limits if r.axis == c), F.lit(0)) for c in columns})
 
 
 def quantised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,8 +78,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), prefix_number(F.col("source")).alias("d1"), prefix_number(F.col("lang")).alias("d2"), size.alias("d3"))
-    rows = quantised(written(rows, "metadata"), ["d1", "d2", "d3"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.col("source").cast("string").alias("d1"), F.col("lang").cast("string").alias("d2"), size.alias("d3"))
+    rows = quantised(ranked(written(rows, "metadata"), ["d1", "d2"]), ["d3"])
     rows = rows.select("doc_id", "size", "text_crc32", hilbert_index(F.col("d1"), F.col("d2"), F.col("d3")).alias("curve"), F.xxhash64("doc_id", "text_crc32").alias("draw"))
     rows = written(rows, "curve")
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)  # one row for each cell: 2 ** 15 at most
