@@ -176,3 +176,8 @@ def test_ranked_levels(spark):
         by = sorted({(x is not None and x == x, x or "", v) for x, v in zip(got[value].where(got[value].notna(), None), got[level], strict=True)})
         assert [v for *_, v in by] == sorted(v for *_, v in by) and {v for *_, v in by} == set(range(n))
     assert got.groupby("a").size().max() <= 3 * 3000 / 32
+
+
+def test_cut_at_the_second_frame():
+    dark, light = np.zeros((20, media.FRAME), np.uint8), np.full((20, media.FRAME), 200, np.uint8)
+    assert media.cuts(np.concatenate([dark[:1], light])) == [1] and media.cuts(np.concatenate([dark[:1], light, dark])) == [1, 21]

@@ -130,7 +130,8 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
 
 
 def cuts(frames: np.ndarray) -> list[int]:
-    """Frames at which a shot begins, 0 left out: the histogram differs from the one before by far more than those of the last WINDOW frames did."""
+    """Frames at which a shot begins, 0 left out: the histogram differs from the one before by far more than those of the last WINDOW frames did. The first
+    difference has none before it and needs LEAST only."""
     n = len(frames)
     if n < 2:
         return []
@@ -143,7 +144,7 @@ def cuts(frames: np.ndarray) -> list[int]:
     seen = np.maximum(at - lo, 1)
     mean = (one[at] - one[lo]) / seen
     spread = np.sqrt(np.maximum((two[at] - two[lo]) / seen - mean * mean, 0))
-    return (np.flatnonzero((diff > LEAST) & (diff > mean + CUT * spread) & (at > 0)) + 1).tolist()
+    return (np.flatnonzero((diff > LEAST) & (diff > mean + CUT * spread)) + 1).tolist()
 
 
 def payload_of(text) -> bytes:
