@@ -218,3 +218,67 @@ def test_scan_finds_all_blocks():
         for _, label, share in index.scan(text, set(text)):
             found[label] = max(share, found.get(label, 0))
         assert found == want
+
+
+PARAGRAPH = "<p>" + "Some words of a paragraph that is long enough to count as one. " * 3 + "</p>"
+PLAIN = html_text.SPACES.sub(" ", PARAGRAPH[3:-4]).strip()
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content no-sidebar'", "div class='page has-sidebar'", "div class='col-8 with-footer'", "div class='entry-header'", "form id=aspnetForm", "div class=sidebar", "section id=menu"])
+def test_pages_in_wrappers(wrapper):
+    """A mark inside a longer word is none, and a wrapper of the whole page is no sidebar; beside an article, single marks hold."""
+    tag = wrapper.split()[0]
+    assert html_text.extract(page(f"<nav>Menu</nav><{wrapper}><h1>Head</h1>{PARAGRAPH * 8}</{tag}><div class='cookie-notice'>{PARAGRAPH}</div>")) == "\n".join(["Head", *[PLAIN] * 8])
+    beside = html_text.extract(page(f"<article><h1>Head</h1>{PARAGRAPH * 3}</article><{wrapper}>{PARAGRAPH}</{tag}>"))
+    assert (beside == "\n".join(["Head", *[PLAIN] * 3])) == (wrapper in ("form id=aspnetForm", "div class=sidebar", "section id=menu"))
+
+
+def test_pages_hidden_and_spaces():
+    assert html_text.extract(page(f"<article>{PARAGRAPH}<div hidden>{PARAGRAPH}</div><p class='a hidden b' title='hidden'>Seen.</p><p aria-hidden=true>No</p></article>")) == f"{PLAIN}\nSeen."
+    assert html_text.extract(page("<p> a b　　c&nbsp;&#8195;d \n\t e </p>")) == "a b c d e"
+
+
+BAD = {
+    "no end": "<div ", "quote": '<a "><b>', "quotes": "<a '\"", "no opening": "</b>", "open blocks": "<div>", "headings": "<h2>", "items": "<span><li>", "paragraphs": "<b><p>", "comment": "<!-- ", "declaration": "<!x ",
+    "cells": "<td></b>", "rows": "<tr><td>", "bodies": "<body>", "script": "<script>", "less": "<", "attributes": "<a class = ", "ends": "<i><td></i></div>",
+}
+
+
+@pytest.mark.parametrize("name", BAD)
+def test_pages_malformed_take_linear_time(name):
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 20):
+        began = time.process_time()
+        assert isinstance(html_text.extract(BAD[name] * (size // len(BAD[name]))), str)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_densities_by_hand():
+    """Characters, tags and densities of every node, and density sums of block children, counted anew for each node from its own subtree."""
+    import math
+
+    tree = html_text.parse(page(f"<div id=a><h1>Head</h1>{PARAGRAPH}<p>With <a href=x>a link</a> in it, <b>bold</b>.</p></div><ul><li><a href=y>One</a></li><li>Two</li></ul>"))
+    body = next(x for x in tree.parts if isinstance(x, html_text.Node) and x.tag == "body")
+    order = html_text._measure(body)
+    html_text._densities(order, body)
+
+    def below(node):
+        return [y for x in node.parts if isinstance(x, html_text.Node) and not x.dropped for y in (x, *below(x))]
+
+    def text(node):
+        return "".join(x if isinstance(x, str) else "" if x.dropped else text(x) for x in node.parts).replace(" ", "").replace("\n", "")
+
+    links = lambda n: sum(len(text(x)) for x in below(n) if x.tag == "a") if n.tag != "a" else len(text(n))
+    share = links(body) / len(text(body))
+    assert len(order) == 1 + len(below(body))
+    want = {}
+    for n in order:
+        c, t, lc, lt = len(text(n)), len(below(n)), links(n), sum(x.tag == "a" for x in below(n))
+        base = math.log(max(c, 1) / max(c - lc, 1) * lc + share * c + math.e)
+        want[n] = c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1e-12) / max(math.log(base), 1) if c else 0.0
+        assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt) and n.density == pytest.approx(want[n])
+    for n in order:
+        assert n.total == pytest.approx(sum(want[x] for x in n.parts if isinstance(x, html_text.Node) and x.tag in html_text.BLOCK))

@@ -11,99 +11,207 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-SPACES = re.compile(r"[ \t\n\r\f\v\xa0]+")
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+TELLING = re.compile("class|id|role|hidden", re.I)
+SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag of the key ends open elements of the values, up to the nearest element that holds such ones.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol menu dl table body html article section div main aside nav select".split())
-#: Elements, roles and words of class and id that mark what is no part of an article (fixed values).
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea input head title object dialog".split())
+#: Elements that are never part of an article; elements, roles and words of class and id that mark what is none unless it holds most of a page (fixed values).
+UNSEEN = frozenset("script style noscript template iframe svg button select textarea input head title object dialog".split())
+DROPPED = frozenset("nav header footer aside form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs"
     " sidebar side aside widget footer header masthead comment comments disqus reply replies respond related recommended share sharing social subscribe newsletter signup login search pagination pager toolbar legal copyright".split()
 )
+#: Words beside which a mark keeps its meaning inside one class or id ("site-footer", "share-buttons").
+BESIDE = frozenset("a all area articles banner bar bottom box block button buttons container content dialog form global icons item items left links list main message page panel posts primary reader right row section secondary site slot text thread top unit user wrap wrapper".split())
+#: Tags that may be left open inside a cell: their closing tags end nothing outside it.
+INLINE = frozenset("b i em strong a span p".split())
+KEEPS_PARAGRAPH = HOLDS | {"li", "td", "th", "dd", "form", "header", "footer", "blockquote", "figure"}
 LINKED = 0.6
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "block")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "unseen", "block", "open", "scopes")
 
-    def __init__(self, tag: str, parent, dropped: bool):
-        self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+    def __init__(self, tag: str, parent, dropped: bool = False, unseen: bool = False):
+        self.tag, self.parent, self.dropped, self.unseen, self.parts = tag, parent, dropped, unseen, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.block = tag in BLOCK
 
 
-def _dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    for name, *values in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        words = set(re.split(r"[^a-z0-9]+", next((v for v in values if v), "").lower()))
-        name = name.lower()
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and words & MARKS or name == "role" and words & ROLES or name == "aria-hidden" and "true" in words:
+def _marked(value: str) -> bool:
+    """Whether a class or id has a mark: as a whole, or with words beside which it keeps its meaning."""
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+        if any(x in MARKS for x in parts) and all(x in MARKS or x in BESIDE or x.isdigit() for x in parts):
             return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The page's tree, by the common rules for tags that are not closed. Text stands in `parts` among child nodes."""
-    root = node = Node("html", None, False)
-    at = 0
+def _dropped(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a node is marked as no part of an article, and whether it is so for certain, as readers don't see it."""
+    if tag in UNSEEN:
+        return True, True
+    dropped = tag in DROPPED
+    if TELLING.search(attributes):
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), next((v for v in m.groups()[1:] if v), "")
+            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+                return True, True
+            if name == "role" and not ROLES.isdisjoint(value.lower().split()) or name in ("class", "id") and tag not in ("body", "html", "article", "main") and _marked(value):
+                dropped = True
+    return dropped, False
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name with a slash for closing tags, attributes) of the tags of a page; comments and declarations have no name. One pass: what has no end is seen
+    once. In a page with a quote that is never closed, quotes count no longer."""
+    at, last, quotes = 0, page.rfind(">"), True
     while True:
-        m = TOKEN.search(page, at)
-        if m is None:
-            if at < len(page):
-                node.parts.append(page[at:])
-            return root
-        if m.start() > at:
-            node.parts.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", ""
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = None if up.tag in ("td", "th") and tag in ("b", "i", "em", "strong", "a", "span", "p") else up.parent
-            if up is not None and up.parent is not None and tag not in ("html", "body"):
-                node = up.parent
+        at = start + 1
+        if at > last:
+            return
+        name = NAME.match(page, at)
+        if name is None:
+            if page[at] in "!?":
+                at = page.find(">", at) + 1
+                yield start, at, "", ""
+            continue
+        end = -1
+        stop = STOP.search(page, name.end()) if quotes else None
+        while stop is not None:
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            close = page.find(stop[0], stop.end())
+            if close < 0:
+                break
+            stop = STOP.search(page, close + 1)
+        if end < 0:
+            quotes, end = False, page.find(">", name.end())
+        at = end + 1
+        yield start, at, name[0].lower(), page[name.end() : end]
+
+
+def parse(page: str) -> Node:
+    """The page's tree, by the common rules for tags that are not closed. Text stands in `parts` among child nodes. Every node counts the open tags below the nearest
+    node where a search for one of them ends, so nothing is searched for in vain: the time is in proportion to the page."""
+    root = node = Node("html", None)
+    root.open, root.scopes = defaultdict(int), (defaultdict(int), defaultdict(int), defaultdict(int))  # open elements of the page; of the list or box; around the paragraph; of the cell
+    at, body = 0, False
+
+    def leave(up: Node) -> Node:
+        """Closes everything up to and with `up`."""
+        x = node
+        while x is not up.parent:
+            root.open[x.tag] -= 1
+            for scope in x.parent.scopes:
+                scope[x.tag] -= 1
+            x = x.parent
+        return up.parent
+
+    for start, end, tag, attributes in _tags(page):
+        if start < at:
+            continue
+        if start > at:
+            node.parts.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        if tag in BLOCK:  # ends an open paragraph
+        if tag[0] == "/":
+            tag = tag[1:]
+            if tag in ("html", "body") or not (node.scopes[2] if tag in INLINE else root.open)[tag]:
+                continue
             up = node
-            while up is not None and up.tag not in HOLDS and up.tag not in ("li", "td", "th", "dd", "form", "header", "footer", "blockquote", "figure"):
-                if up.tag == "p":
-                    node = up.parent
-                    break
+            while up.tag != tag:
                 up = up.parent
-        if tag in ENDS:
+            node = leave(up)
+            continue
+        if tag in BLOCK and node.scopes[1]["p"]:  # ends an open paragraph
             up = node
-            while up is not None and up.tag not in HOLDS:
-                if up.tag in ENDS[tag]:
-                    node = up.parent
+            while up.tag != "p":
                 up = up.parent
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(x, Node) and x.tag == "body" for x in root.parts)):
+            node = leave(up)
+        if tag in ENDS:
+            while node.tag not in HOLDS and any(node.scopes[0][x] for x in ENDS[tag]):
+                up = node
+                while up.tag not in ENDS[tag]:
+                    up = up.parent
+                node = leave(up)
+        if tag == "html" or tag == "body" and body:
             continue
         if tag == "body":
-            node = root
-        child = Node(tag, node, _dropped(tag, m[3]))
+            body = True
+            if node is not root:
+                up = node
+                while up.parent is not root:
+                    up = up.parent
+                node = leave(up)
+        child = Node(tag, node, *_dropped(tag, attributes))
         node.parts.append(child)
         if tag in RAW:
-            end = RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            close = RAW[tag].search(page, at)
+            at = close.end() if close else len(page)
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            root.open[tag] += 1
+            for scope in node.scopes:
+                scope[tag] += 1
+            child.scopes = tuple(defaultdict(int) if tag in ends else scope for scope, ends in zip(node.scopes, (HOLDS, KEEPS_PARAGRAPH, ("td", "th")), strict=True))
             node = child
+    if at < len(page):
+        node.parts.append(page[at:])
+    return root
+
+
+def _restore(body: Node) -> None:
+    """Takes back marks of nodes that hold most of the page's plain text and a first heading or article, or without which hardly any text and no such element is left: wrappers
+    of the whole page. Elements for menus, footers and asides stay marked."""
+    order, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.parts if isinstance(x, Node) and not x.unseen]
+    plain, heads, left, kept = {}, {}, {}, {}
+    for node in reversed(order):
+        size = keep = 0
+        head = node.tag in ("h1", "article", "main")
+        for x in node.parts:
+            if isinstance(x, str):
+                n = len(x) - x.count(" ") - x.count("\n")
+                size, keep = size + n, keep + n
+            elif not x.unseen:
+                size, keep, head = size + plain[x], keep + left[x], head or heads[x]
+        plain[node] = 0 if node.tag == "a" else size
+        left[node] = 0 if node.dropped or node.tag == "a" else keep
+        heads[node] = head
+        kept[node] = not node.dropped and (node.tag in ("h1", "article", "main") or any(kept[x] for x in node.parts if isinstance(x, Node) and not x.unseen))
+    for node in order:  # parents first
+        if node.dropped and node.tag not in ("nav", "footer", "aside") and 2 * plain[node] > plain[body] and (heads[node] or not kept[body] and 10 * left[body] < plain[body]):
+            node.dropped = False
 
 
 def _measure(root: Node) -> list[Node]:
@@ -179,6 +287,7 @@ def extract(page) -> str:
         return ""
     root = parse(page)
     body = next((x for x in root.parts if isinstance(x, Node) and x.tag == "body"), root)
+    _restore(body)
     order = _measure(body)
     _densities(order, body)
     best = max(order, key=lambda n: n.total)  # the first of equal ones, which holds the others
