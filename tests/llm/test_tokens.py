@@ -113,3 +113,41 @@ def test_children_are_packings():
         assert sorted(i for b in bins for i in b) == list(range(300)) and p.fills(bins).max() <= 100
         assert packing._unpack(packing._pack(bins, 300)) == [sorted(b) for b in bins if b]
     assert p.fitness(p.evolve(people, 0)[0]) >= max(map(p.fitness, people))
+
+
+@pytest.mark.parametrize(("path", "words"), [(WORDS, True), (BYTES, False)])
+def test_added_tokens_as_the_library_gives_them(path, words):
+    """The encoders of op2 and op3 set nothing on the library: names of added tokens at the start, inside and at the end of a text give these tokens."""
+    plain = Tokenizer.from_file(path)
+    names = [t.content for t in plain.get_added_tokens_decoder().values()]
+    own = tokens.encoder(path, words)
+    assert names
+    for n in [*names, names[0].upper(), names[0][:-1]]:
+        for text in (n, f"{n} x", f"hello {n} x", f"hello{n}", f"a {n}{n} b — ½", f"{n}\n", f"it's {n} 日本"):
+            assert np.frombuffer(own.encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_records_and_packing_of_added_tokens(spark):
+    df = spark.createDataFrame([(1, "hello <|endoftext|> x"), (2, "<|startoftext|>"), (3, "plain words")], "doc_id long, text string")
+    for got, path, end in ((records.read_records(spark, *stored(spark, df)).collect(), WORDS, 1), (packing.pack_documents(df, BYTES, 0, 64).collect(), BYTES, 0)):
+        encode = Tokenizer.from_file(path).encode
+        want = {d: np.array([*encode(t, add_special_tokens=False).ids, end], "<u4") for d, t in df.collect()}
+        assert {r.doc_id: r.ids_crc32 for r in got} == {d: zlib.crc32(x.tobytes()) for d, x in want.items()}
+
+
+def test_records_of_one_id(spark):
+    """Rows of one doc_id, and of none, are dealt over several shards, in order all the same."""
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 7, null) AS doc_id", "concat('text number ', id) AS text").repartition(4)
+    path, shards = stored(spark, df)
+    assert max(s.n_docs for s in shards) < 2000
+    rows = sorted(records.read_records(spark, path, shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 2000 + [7] * 2000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_one_operators_cache_is_held():
+    from tidewell.llm.common import held
+
+    a = tokens.encoder(WORDS, True)
+    assert tokens.encoder(WORDS, True) is a
+    assert held("another", list) == [] and tokens.encoder(WORDS, True) is not a

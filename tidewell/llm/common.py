@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,13 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of its own where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, a folder of its own on a local master (tests), an error on a
+    cluster, whose machines don't see each other's folders."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -49,6 +53,20 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+_held: list = []
+
+
+def held(key, build: Callable):
+    """What build() makes, kept by a worker for its next tasks under `key`. A worker holds one such object at most: it drops that of another operator before it makes
+    its own, so that a worker which serves several operators needs no more memory than the largest of them."""
+    if not _held or _held[0] != key:
+        _held.clear()
+        _powers.clear()
+        gc.collect()
+        _held[:] = [key, build()]
+    return _held[1]
+
+
 def utf8(text) -> bytes:
     """UTF-8 bytes; nulls (None, NaN) give none."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
@@ -100,6 +118,6 @@ def word_hashes(blobs: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     at = np.cumsum([0, *(len(b) + 1 for b in blobs)])
-    if len(_powers[0]) > (1 << 23):
+    if len(_powers[0]) > (1 << 21):  # those of a very long text are not kept
         _powers.clear()
     return hashes, np.searchsorted(start, at)

@@ -55,7 +55,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, words
     """Encodes every whole text, appends end_id and writes shards in ascending doc_id order below `path` (in the shared folder). Returns a row for each shard
     (SHARD), in order. Null text: only end_id. Null doc_ids come first. Repeated doc_ids: a record each. No documents: one shard at most, without records.
 
-    Rows are dealt by ranges of doc_id, so a shard is one task's sorted run. A task writes under a name of its own and renames at the end: a task that
+    Rows are dealt by ranges of doc_id and, among equal ones and nulls, of a hash of the text, so a shard is one task's sorted run and a doc_id of many rows isn't
+    one task's. A task writes under a name of its own and renames at the end: a task that
     runs again, after a lost executor, leaves the same files.
     """
 
@@ -83,7 +84,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, words
         yield pd.DataFrame({"shard": [shard], "path": [f"tokens-{shard:06d}"], "n_docs": [n], "n_tokens": [total]})
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("gone"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("gone").desc(), "doc_id").sortWithinPartitions(F.col("gone").desc(), "doc_id")
+    order = [F.col("gone").desc(), F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted(ordered.mapInPandas(write, SHARD).collect(), key=lambda r: r.shard)  # a row for each task
 
 

@@ -15,8 +15,10 @@ from array import array
 
 import numpy as np
 
-#: Pieces kept by a worker; beyond it the cache starts anew.
-CACHE = 1_200_000
+from tidewell.llm.common import held
+
+#: Pieces kept by a worker (about 60 MB); beyond it the cache starts anew.
+CACHE = 300_000
 #: Characters about whose class all Unicode tables agree: printable ASCII, Latin letters, common punctuation.
 _KNOWN = r"\n\x20-\x7e¡-¬®-įı-ſ–—‘’“”…•€"
 _ODD = re.compile(f"[^{_KNOWN}]")
@@ -61,28 +63,31 @@ def _has_runs(text: str) -> bool:
 class Encoder:
     """encode(text) gives the ids of a text as bytes of '<u2'. The vocabulary must have fewer than 65,536 ids.
 
-    words=True: the vocabulary lower-cases and drops white space (word ends are marked); otherwise it is byte-level and keeps it.
+    words=True: the vocabulary lower-cases and drops white space (word ends are marked); otherwise it is byte-level and keeps it. added=True: the name of an added
+    token inside a text gives that token, as the library does unless told otherwise; otherwise it is ordinary text.
     """
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        names = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
+        self.named = re.compile("|".join(map(re.escape, names))).search if names else None
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path}: more than 65,536 ids")
         self.words = words
         if sys.byteorder != "little":
             raise ValueError("ids are little-endian")
-        model = Tokenizer.from_file(path).model
-        model._resize_cache(0)  # pieces are cached here
-        self.pieces, self.cut = _Pieces(model), (_WORD_PIECES if words else _BYTE_PIECES).findall
+        self.pieces, self.cut = _Pieces(self.library.model), (_WORD_PIECES if words else _BYTE_PIECES).findall
 
     def encode(self, text) -> bytes:
         if not isinstance(text, str) or not text:
             return b""
-        if self.words:
+        if self.named and self.named(text):
+            pass
+        elif self.words:
             plain = text.replace("\t", " ").replace("\r", " ")
             if not _ODD.search(plain):
                 return b"".join(map(self.pieces.__getitem__, self.cut(unicodedata.normalize("NFC", plain).lower())))
@@ -91,11 +96,6 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, words: bool) -> Encoder:
-    """The worker's encoder of this vocabulary."""
-    if (path, words) not in _encoders:
-        _encoders[path, words] = Encoder(path, words)
-    return _encoders[path, words]
+    """The worker's encoder of this vocabulary; names of added tokens give these tokens."""
+    return held(("tokens", path, words), lambda: Encoder(path, words, added=True))
