@@ -282,3 +282,64 @@ def test_densities_by_hand():
         assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt) and n.density == pytest.approx(want[n])
     for n in order:
         assert n.total == pytest.approx(sum(want[x] for x in n.parts if isinstance(x, html_text.Node) and x.tag in html_text.BLOCK))
+
+
+def brute_language(model_counts, languages, text):
+    """A prediction from the definition: log frequencies of words, else the mean over the longest known n-grams, summed and weighted."""
+    import math
+
+    table, totals = {}, {}
+    for lang, n, entry, count in model_counts:
+        table[n, entry, lang] = count
+        totals[n, lang] = totals.get((n, lang), 0) + count
+    entries = {(n, e) for n, e, _ in table}
+    freq = lambda n, e, lang: math.log((table.get((n, e, lang), 0) + 0.5) / (totals.get((n, lang), 0) + 1))
+    words = langid.WORD.findall(text.lower())
+    if not words:
+        return "und", 0.0
+    score = dict.fromkeys(languages, 0.0)
+    for w in words:
+        if (0, w) in entries:
+            own, n = [w], 0
+        else:
+            for n in range(min(langid.LONGEST, len(w) + 2), 0, -1):
+                own = [g for g in langid.grams(w, n) if (n, g) in entries]
+                if own:
+                    break
+        for lang in languages if own else ():
+            score[lang] += sum(freq(n, g, lang) for g in own) / len(own)
+    power = {lang: math.exp(v / len(words) * min(len(words), langid.WEIGHT)) for lang, v in score.items()}
+    best = max(languages, key=lambda lang: power[lang])
+    return best, power[best] / sum(power.values())
+
+
+def test_language_against_the_definition():
+    rng = random.Random(8)
+    languages = ["de", "en", "fr"]
+    counts = {(rng.choice(languages), n, prose(rng, 1, "abc")[: n or 9], rng.randint(1, 9)) for n in range(6) for _ in range(25)}
+    counts = [*{(lang, n, e): (lang, n, e, c) for lang, n, e, c in counts if n == 0 or len(e) == n}.values()]
+    scorer = langid.Scorer(langid.Model(languages, counts))
+    for _ in range(300):
+        text = prose(rng, rng.randint(0, 40), "abcd").capitalize()
+        want = brute_language(counts, languages, text)
+        got = scorer.predict(text)
+        assert got[1] == pytest.approx(want[1]) and (got[0] == want[0] or want[1] < 0.51)
+
+
+def test_ties_of_languages_go_by_name():
+    model = langid.Model(["a", "b"], [("a", 0, "word", 3), ("b", 0, "word", 3)])
+    assert langid.Scorer(model).predict("word word") == ("a", pytest.approx(0.5))
+
+
+def test_three_hundred_languages(spark):
+    """Every language is learnt, however many there are, and scores are stored for those only that have a word."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(2)
+    alphabets = [("".join(rng.sample(letters, 6)), k) for k in range(300)]
+    vocabulary = {k: [prose(rng, 1, a) + str(letters[k % 26]) for _ in range(40)] for a, k in alphabets}
+    rows = [(k * 100 + i, " ".join(rng.choices(vocabulary[k], k=60)), f"l{k:03d}") for _, k in alphabets for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.learn(df)
+    assert len(model.languages) == 300 and len(model.gains) < 40 * len(model.words)
+    got = langid.predict(df, model).where("held_out").join(df, "doc_id").collect()
+    assert len(got) > 500 and sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)

@@ -11,16 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-#: Labelled documents to learn from, about so many of each language (drawn by a hash of doc_id), and languages, the most frequent ones.
-SAMPLE, LANGUAGES = 1500, 200
-#: Entries kept of each language: words, and n-grams of each length.
-WORDS, GRAMS = 20_000, 5_000
+from tidewell.llm.common import held
+
+#: Labelled documents to learn from: about so many in all, the same number of each language (drawn by a hash of doc_id), but LEAST of each language if it has them.
+SAMPLE, LEAST = 6000, 20
 LONGEST = 5
 #: A text's mean word score counts as that of so many words at most, so that the posterior says something of long texts too.
 WEIGHT = 25
-#: Unseen words remembered by a worker.
+#: Unseen words whose n-grams a worker remembers.
 CACHE = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -36,117 +35,131 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """languages: names; rows: entry -> its row of scores; scores: log frequencies, a column for each language. Entries are words and, as (n-gram,), n-grams."""
+    """Log frequencies of entries: words, and character n-grams of each length. An entry's frequency in a language is (count + 1/2) / (total + 1). Only the languages that
+    have an entry are stored with it, as log(2 count + 1); what all others have, log(1/2 / (total + 1)), is one table, `floors`, of a row for each length (0: words).
+
+    words, grams: entry -> number; its languages and scores stand at starts[number] to starts[number + 1] of langs and gains.
+    """
 
     def __init__(self, languages: list[str], counts: list[tuple[str, int, str, int]]):
-        self.languages = languages
         place = {x: k for k, x in enumerate(languages)}
-        totals = np.zeros((LONGEST + 1, len(languages)))
-        found: dict[tuple[int, str], int] = {}
-        cells = []
-        for lang, n, entry, count in counts:
-            row = found.setdefault((n, entry), len(found))
-            cells.append((row, place[lang], count))
-            totals[n, place[lang]] += count
-        table = np.zeros((len(found), len(languages)))
-        for row, k, count in cells:
-            table[row, k] = count
-        kinds = np.array([n for n, _ in found], int) if found else np.zeros(0, int)
-        self.scores = np.log((table + 0.5) / (totals[kinds] + 1.0)).astype(np.float32)
-        self.words = {e: row for (n, e), row in found.items() if n == 0}
-        self.grams = {e: row for (n, e), row in found.items() if n > 0}
+        rows = sorted((n, entry, place[lang], count) for lang, n, entry, count in counts)
+        n, entries, langs, count = zip(*rows, strict=True) if rows else ((), (), (), ())
+        self._set(languages, np.array(n, np.int64), np.array(entries, object), np.array(langs, np.int32), np.array(count, np.int64))
+
+    @classmethod
+    def of(cls, languages: list[str], n, entries, langs, counts) -> Model:
+        """From arrays in order of (n, entry)."""
+        self = cls.__new__(cls)
+        self._set(languages, n, entries, langs, counts)
+        return self
+
+    def _set(self, languages, n, entries, langs, counts) -> None:
+        self.languages, size = languages, len(languages)
+        totals = np.bincount(n * size + langs, counts, (LONGEST + 1) * size).reshape(-1, size) if size else np.zeros((LONGEST + 1, 0))
+        self.floors = np.log(0.5 / (totals + 1.0))
+        self.langs, self.gains = langs.astype(np.int32), np.log(2.0 * counts + 1.0).astype(np.float32)
+        new = np.ones(len(n), bool)
+        new[1:] = (n[1:] != n[:-1]) | (entries[1:] != entries[:-1])
+        first = np.flatnonzero(new)
+        self.starts = np.append(first, len(n)).astype(np.int64)
+        cut = int(np.searchsorted(n[first], 1))
+        self.words = dict(zip(entries[first[:cut]].tolist(), range(cut), strict=True))
+        self.grams = dict(zip(entries[first[cut:]].tolist(), range(cut, len(first)), strict=True))
 
 
 class Scorer:
-    """Scores texts with a model; unseen words' rows are remembered."""
+    """Scores texts with a model; the n-grams of unseen words are remembered."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.known = len(model.scores)
-        self.rows = np.zeros((self.known + CACHE, len(model.languages)), np.float32)
-        self.rows[: self.known] = model.scores
-        self.clear()
-
-    def clear(self) -> None:
-        self.at, self.next = dict(self.model.words), self.known
-
-    def unseen(self, word: str) -> int:
-        """The word's row: the mean over its known n-grams of the greatest length that has any; zero for all languages if none is known."""
-        row = self.next
-        self.rows[row] = 0
+        self.model, self.at = model, {}
+        self.floors = np.vstack([model.floors, np.zeros_like(model.floors[:1])])  # the last: words of which nothing is known
+
+    def unseen(self, word: str) -> tuple[int, tuple[int, ...]]:
+        """The greatest length of which the word has known n-grams, and these; if there is none, LONGEST + 1."""
+        known = self.model.grams.get
+        found = LONGEST + 1, ()
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [r for g in grams(word, n) if (r := self.model.grams.get(g)) is not None]
-            if known:
-                self.rows[row] = self.model.scores[known].mean(axis=0)
+            rows = tuple(r for g in grams(word, n) if (r := known(g)) is not None)
+            if rows:
+                found = n, rows
                 break
-        self.at[word] = row
-        self.next += 1
-        return row
+        if len(self.at) >= CACHE:
+            self.at.clear()
+        self.at[word] = found
+        return found
 
     def predict(self, text) -> tuple[str, float]:
+        """(language, probability); of languages that are equally likely the first by name."""
         words = Counter(WORD.findall(text.lower())) if isinstance(text, str) else {}
         if not words or not self.model.languages or not (any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)):
             return "und", 0.0
-        if self.next + len(words) > len(self.rows):
-            self.clear()
-            if self.next + len(words) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((len(words), self.rows.shape[1]), np.float32)])
-        get, unseen = self.at.get, self.unseen
-        rows = [r if (r := get(w)) is not None else unseen(w) for w in words]
-        counts = np.fromiter(words.values(), np.float32, len(words))
-        total = counts.sum()
-        mean = counts @ self.rows[rows] / total * min(float(total), WEIGHT)
-        odds = np.exp(mean - mean.max())
+        m, known, at = self.model, self.model.words.get, self.at.get
+        rows, weights, kinds = [], [], [0.0] * (LONGEST + 2)
+        for word, count in words.items():
+            row = known(word)
+            if row is not None:
+                rows.append(row)
+                weights.append(count)
+                kinds[0] += count
+            else:
+                n, own = at(word) or self.unseen(word)
+                kinds[n] += count
+                if own:
+                    rows += own
+                    weights += [count / len(own)] * len(own)
+        total = sum(kinds)
+        score = np.array(kinds) @ self.floors
+        if rows:
+            lo = m.starts[rows]
+            many = m.starts[1:][rows] - lo
+            ends = np.cumsum(many)
+            cells = np.arange(ends[-1]) + np.repeat(lo - ends + many, many)
+            score += np.bincount(m.langs[cells], m.gains[cells] * np.repeat(weights, many), len(m.languages))
+        score *= min(total, WEIGHT) / total
+        odds = np.exp(score - score.max())
         best = int(odds.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+        return m.languages[best], float(odds[best] / odds.sum())
 
 
 def learn(docs: DataFrame) -> Model:
-    """Learns from text and non-null lang of documents that are not held out. Sizes of languages are counted over all; words and n-grams over a sample of
-    about SAMPLE documents of each language, which bounds what comes to the driver together with WORDS and GRAMS. Whole texts are counted."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Learns from text and non-null lang of documents that are not held out. Sizes of languages are counted over all, and every language is learnt; words and n-grams are
+    counted over whole texts of the sample (SAMPLE, LEAST), which bounds what comes to the driver. Without labelled documents the model knows no language."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sizes = labelled.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not sizes:
         return Model([], [])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, SAMPLE / r["count"]))))
-    drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + 1) / float(1 << 20) <= share[F.col("lang").cast("string")]
+    wanted = max(SAMPLE / len(sizes), LEAST)
+    shares = docs.sparkSession.createDataFrame([(k, r.lang, min(1.0, wanted / r["count"])) for k, r in enumerate(sizes)], "place int, lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20) <= F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tables: dict[tuple[str, int], Counter] = {}
-            for lang, text in zip(batch.lang, batch.text, strict=True):
-                words = Counter(WORD.findall(text.lower()))
-                tables.setdefault((lang, 0), Counter()).update(words)
+            tables: dict[tuple[int, int], Counter] = {}
+            for place, text in zip(batch.place, batch.text, strict=True):
+                tables.setdefault((place, 0), Counter()).update(WORD.findall(text.lower()))
+            for (place, _), words in [*tables.items()]:
                 for n in range(1, LONGEST + 1):
-                    table = tables.setdefault((lang, n), Counter())
+                    table = tables[place, n] = Counter()
                     for w, k in words.items():
                         for g in grams(w, n):
                             table[g] += k
-            for (lang, n), table in tables.items():
-                yield pd.DataFrame({"lang": lang, "n": n, "entry": table.keys(), "count": table.values()})
-
-    counts = labelled.where(drawn).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInPandas(count, "lang string, n int, entry string, count long")
-    counts = counts.groupBy("lang", "n", "entry").agg(F.sum("count").alias("count"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "entry"))  # entries of the bounded sample
-    kept = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).orderBy("lang", "n", "rank")
-    return Model(sorted(r.lang for r in sizes), [(r.lang, r.n, r.entry, r["count"]) for r in kept.collect()])
-
+            for (place, n), table in tables.items():
+                yield pd.DataFrame({"place": place, "n": n, "entry": table.keys(), "count": table.values()})
 
-_scorers: list[Scorer] = []
+    counts = drawn.select("place", "text").mapInPandas(count, "place int, n int, entry string, count long").groupBy("n", "entry", "place").agg(F.sum("count").alias("count"))
+    found = counts.orderBy("n", "entry", "place").toArrow()  # of the bounded sample
+    n, entries, places, sums = (found.column(c).combine_chunks() if found.num_rows else found.column(c) for c in ("n", "entry", "place", "count"))
+    return Model.of([r.lang for r in sizes], np.asarray(n, np.int64), np.asarray(entries.to_pylist(), object), np.asarray(places, np.int32), np.asarray(sums, np.int64))
 
 
 def _scorer(shared) -> Scorer:
-    model = shared.value  # the same object as long as a worker lives
-    if _scorers and _scorers[0].model is not model:
-        _scorers.clear()
-    if not _scorers:
-        _scorers.append(Scorer(model))
-    return _scorers[0]
+    return held(("langid", shared.value), lambda: Scorer(shared.value))  # the same value as long as a worker lives
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text). A null text or one without a letter: `und` and 0. Other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES, WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(shared)
@@ -160,7 +173,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is known (not `und`) with a score of `least` or more; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES, WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf(T.BooleanType())
     def known(text: pd.Series) -> pd.Series:
