@@ -343,3 +343,109 @@ def test_three_hundred_languages(spark):
     assert len(model.languages) == 300 and len(model.gains) < 40 * len(model.words)
     got = langid.predict(df, model).where("held_out").join(df, "doc_id").collect()
     assert len(got) > 500 and sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+
+
+def random_field(rng):
+    import numpy as np
+
+    return quality.Field(rng.normal(size=(sum(quality.CLASSES), 2)), rng.normal(size=(2, 2)))
+
+
+def random_lines(rng, n):
+    import numpy as np
+
+    return np.stack([np.array([rng.integers(0, c) + o for c, o in zip(quality.CLASSES, quality.OFFSETS, strict=True)]) for _ in range(n)])
+
+
+def test_marginals_and_gradient_against_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    field, lengths = random_field(rng), [4, 1, 3]
+    marks = random_lines(rng, 8)
+    weight = np.repeat([0.5, 2.0, 1.0], lengths)
+    node, pairs = field.marginals(marks, quality.Chains(lengths), weight)
+    want, moves, at = np.zeros((8, 2)), np.zeros((2, 2)), 0
+    for n in lengths:
+        emit = field.emit[marks[at : at + n]].sum(axis=1)
+        power = {y: np.exp(sum(emit[i, v] for i, v in enumerate(y)) + sum(field.move[a, b] for a, b in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=n)}
+        total = sum(power.values())
+        for y, p in power.items():
+            for i, v in enumerate(y):
+                want[at + i, v] += p / total
+            for a, b in itertools.pairwise(y):
+                moves[a, b] += weight[at] * p / total
+        at += n
+    assert np.allclose(node, want) and np.allclose(pairs, moves)
+
+
+def test_constraint_on_line_labels():
+    """More than half of the words of a good document, less than half of a bad one; evidence alone where that holds."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        lengths = rng.integers(1, 8, 5).tolist()
+        sizes, evidence, good = rng.integers(1, 30, sum(lengths)).astype(float), rng.normal(size=sum(lengths)), rng.integers(0, 2, 5)
+        labels, at = quality.constrained(evidence, sizes, lengths, good), 0
+        for n, fine in zip(lengths, good, strict=True):
+            content = (labels[at : at + n] * sizes[at : at + n]).sum() / sizes[at : at + n].sum()
+            free = ((evidence[at : at + n] > 0) * sizes[at : at + n]).sum() / sizes[at : at + n].sum()
+            assert content > 0.5 if fine else content < 0.5
+            if (free > 0.5) if fine else (free < 0.5):
+                assert content == pytest.approx(free)
+            at += n
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Documents of both kinds of lines: the field is fitted on document labels alone, half of the documents are held out, and shares lie strictly between 0 and 1."""
+    rng = random.Random(12)
+    content = lambda: prose(rng, rng.randint(8, 14)).capitalize() + "."
+    junk = lambda: " ".join(w + rng.choice(["***", "$$$", "%%%"]) for w in prose(rng, rng.randint(8, 14)).split())
+    rows, labels, truth = [], [], {}
+    for k in range(300):
+        lines = [1] * rng.randint(6, 9) + [0] * rng.randint(1, 3) if k % 2 else [1] * rng.randint(1, 3) + [0] * rng.randint(6, 9)
+        if rng.random() < 0.5:
+            lines.reverse()
+        rows.append((k, "\n".join(content() if c else junk() for c in lines)))
+        truth[k] = sum(lines) / len(lines)
+        if k < 150:
+            labels.append((k, k % 2))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality.learn(docs_, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = [r for r in quality.assess(docs_, field).collect() if r.doc_id >= 150]
+    assert sum(0 < r.content_share < 1 for r in got) >= 0.95 * len(got)
+    assert sum(abs(r.content_share - truth[r.doc_id]) < 0.15 for r in got) >= 0.95 * len(got)
+    assert sum(r.kept == (r.doc_id % 2 == 1) for r in got) >= 0.98 * len(got)
+
+
+def test_quality_held_out():
+    """Half of the labelled documents fit the field, the other half judges it; some documents have lines of both kinds."""
+    import pandas as pd
+
+    table = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
+    import numpy as np
+
+    made = [(np.asarray(quality.binned(f)), np.array(n), int(q)) for t, q in zip(table.text[::2], table.quality[::2], strict=True) for f, n in [quality.line_features(t)] if n]
+    rest = table.iloc[1::2].reset_index(drop=True)
+    got = rest.join(quality.judge(rest.text.tolist(), quality.fit_documents(made)))
+    got = got[~got.base_failed]
+    assert got[got.quality == 1].kept.mean() >= 0.99 and got[got.quality == 0].kept.mean() <= 0.1
+    assert ((got.content_share > 0) & (got.content_share < 1)).sum() > 0
+
+
+def test_labelled_text_of_many_lines(spark):
+    """Memory goes by the lines, not by the longest text times the documents."""
+    texts = [(0, "word***\n" * 200_000, 0), *((k, "A line of words.\n" * 3, 1) for k in range(1, 40)), *((k, "w$$$ x%%%\n" * 3, 0) for k in range(40, 80))]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    field = quality.learn(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    assert quality.judge([texts[1][1] * 10, texts[50][1] * 10], field).content_share.tolist() == [pytest.approx(1), pytest.approx(0)]
+
+
+def test_labelled_ids_of_several_texts(spark):
+    rows = [(1, "A line of words.\n" * 4), (1, "Another text of words.\n" * 4), (2, "w$$$ x%%%\n" * 4), (2, None), (2, "w$$$ x%%%\n" * 4)]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    fields = [quality.learn(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1])]
+    assert (fields[0].emit == fields[1].emit).all()

@@ -1,5 +1,10 @@
 """Quality rules: a linear-chain conditional random field labels each line of a text as content or boilerplate; Viterbi decoding finds the likeliest labels
-of all lines together, and the share of words in content lines decides whether a document is kept."""
+of all lines together, and the share of words in content lines decides whether a document is kept.
+
+Labelled are documents, not lines. So the lines of labelled documents get labels of their own: at first by evidence of each line alone (how much more frequent its
+features are in good documents), later by the field fitted on the labels before. A document's label is a constraint: more than half of the words of a good one, and
+less than half of a bad one, are in content lines; lines change sides in order of their evidence until that holds. Fitting and labelling take turns TURNS times.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +24,9 @@ from tidewell.llm.common import utf8, word_hashes
 SAMPLE = 1500
 #: Least share of a kept document's words that are in content lines.
 CONTENT = 0.5
-STEPS, RATE, PENALTY = 120, 0.15, 2e-3
+STEPS, RATE, PENALTY, TURNS = 60, 0.15, 2e-3, 3
+#: Lines of a chain in fitting, at most: longer documents are several chains, so a step goes over many chains at once. Decoding doesn't cut.
+CHAIN = 64
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -51,6 +58,21 @@ def binned(lines: list[tuple]) -> np.ndarray:
     return np.stack([np.searchsorted(x, table[:, k], side="right") + OFFSETS[k] for k, x in enumerate(LIMITS)], axis=1)
 
 
+class Chains:
+    """The lines of several chains in one flat array, chain after chain. at(t): the places of the t-th lines of all chains that are so long; these chains are the first
+    ones in order of falling length, so `n` of them have more than t lines."""
+
+    def __init__(self, lengths):
+        lengths = np.asarray(lengths, np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        self.size, self.first = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        self.longest = int(self.size[0]) if len(self.size) else 0
+        self.alive = np.searchsorted(-self.size, -np.arange(self.longest), side="left")
+
+    def at(self, t: int) -> np.ndarray:
+        return self.first[: self.alive[t]] + t
+
+
 @dataclass
 class Field:
     """emit: indicator x label; move: label x label; label 1 is content."""
@@ -59,86 +81,123 @@ class Field:
     move: np.ndarray
 
     def decode(self, indicators: np.ndarray, lengths: list[int]) -> np.ndarray:
-        """The likeliest labels of the lines of several documents, the documents side by side: step t takes the t-th line of all that are so long."""
-        scores = self.emit[indicators].sum(axis=1)
-        order = np.argsort(-np.array(lengths), kind="stable")
-        size, first = np.array(lengths)[order], (np.cumsum([0, *lengths])[:-1])[order]
-        labels, back = np.ones(len(scores), np.int64), np.zeros((len(scores), 2), np.int64)
-        best = np.zeros((len(order), 2))
-        for t in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -t, side="left"))  # documents with more than t lines
-            at = first[:n] + t
+        """The likeliest labels of the lines of several documents."""
+        chains, scores = Chains(lengths), self.emit[indicators].sum(axis=1)
+        labels, back = np.ones(len(scores), np.int64), np.zeros((len(scores), 2), np.int8)
+        best = np.zeros((len(chains.size), 2))
+        for t in range(chains.longest):
+            at = chains.at(t)
+            n = len(at)
             if t:
                 paths = best[:n, :, None] + self.move[None]
                 back[at] = paths.argmax(axis=1)
                 best[:n] = paths.max(axis=1)
             best[:n] += scores[at]
         state = best.argmax(axis=1)
-        for t in range(int(size[0]) - 1 if len(size) else -1, -1, -1):
-            n = int(np.searchsorted(-size, -t, side="left"))
-            labels[first[:n] + t] = state[:n]
+        for t in range(chains.longest - 1, -1, -1):
+            at = chains.at(t)
+            n = len(at)
+            labels[at] = state[:n]
             if t:
-                state[:n] = back[first[:n] + t, state[:n]]
+                state[:n] = back[at, state[:n]]
         return labels
 
-
-def fit(documents: list[tuple[np.ndarray, int]]) -> Field:
-    """Field of greatest penalised likelihood for documents (indicators of each line, label of all its lines), by gradient steps of adaptive size; expected
-    label pairs come from the forward-backward recursions, all documents side by side."""
-    documents = sorted((d for d in documents if len(d[0])), key=lambda d: -len(d[0]))
-    sizes = np.array([len(d[0]) for d in documents])
-    longest, many = int(sizes[0]), len(documents)
-    marks = np.full((longest, many, len(LIMITS)), sum(CLASSES), np.int64)
-    for k, (x, _) in enumerate(documents):
-        marks[: len(x), k] = x
-    truth = np.array([y for _, y in documents])
-    weight = 1 / sizes / np.maximum(np.bincount(truth, minlength=2)[truth], 1) / 2  # a document, and either label, counts alike
-    live = np.arange(longest)[:, None] < sizes[None]
-    width = sum(CLASSES) + 1  # the last indicator stands for no line
-    params, first, second = np.zeros(width * 2 + 4), 0.0, 0.0
+    def marginals(self, indicators: np.ndarray, chains: Chains, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the labels of each line (forward-backward), and the weighted sum of those of neighbours' label pairs; a pair has its later line's weight."""
+        score = self.emit[indicators].sum(axis=1)
+        ahead, behind, pairs = score.copy(), np.zeros_like(score), np.zeros((2, 2))
+        for t in range(1, chains.longest):
+            at = chains.at(t)
+            ahead[at] += np.logaddexp(ahead[at - 1, 0, None] + self.move[0], ahead[at - 1, 1, None] + self.move[1])
+        for t in range(chains.longest - 1, 0, -1):
+            at = chains.at(t)
+            tail = score[at] + behind[at]
+            behind[at - 1] = np.logaddexp(self.move[:, 0] + tail[:, 0, None], self.move[:, 1] + tail[:, 1, None])
+            both = ahead[at - 1, :, None] + self.move + tail[:, None, :]
+            both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
+            pairs += (both * (weight[at] / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
+        node = ahead + behind
+        node = np.exp(node - node.max(axis=1, keepdims=True))
+        return node / node.sum(axis=1, keepdims=True), pairs
+
+
+def cut_chains(lengths: list[int]) -> Chains:
+    return Chains([min(CHAIN, n - lo) for n in lengths for lo in range(0, n, CHAIN)])
+
+
+def fit(indicators: np.ndarray, labels: np.ndarray, weight: np.ndarray, lengths: list[int], start: Field | None = None) -> Field:
+    """Field of greatest penalised likelihood for labelled lines of several documents, by gradient steps of adaptive size from `start`. Arrays are flat: memory is in
+    proportion to the lines."""
+    chains = cut_chains(lengths)
+    width = sum(CLASSES)
+    inner = np.ones(len(labels), bool)
+    inner[chains.first] = False
+    later = np.flatnonzero(inner)
+    truth = np.bincount(labels[later - 1] * 2 + labels[later], weight[later], 4).reshape(2, 2)
+    params = np.zeros(width * 2 + 4) if start is None else np.concatenate([start.emit.ravel(), start.move.ravel()])
+    first, second = 0.0, 0.0
+    rows = np.arange(len(labels))
     for step in range(1, STEPS + 1):
-        emit, move = params[:-4].reshape(width, 2), params[-4:].reshape(2, 2)
-        score = emit[marks].sum(axis=2)
-        ahead = np.zeros((longest, many, 2))
-        ahead[0] = score[0]
-        for t in range(1, longest):
-            n = int(live[t].sum())
-            ahead[t, :n] = np.logaddexp.reduce(ahead[t - 1, :n, :, None] + move, axis=1) + score[t, :n]
-        behind = np.zeros((longest, many, 2))
-        grad_move = np.zeros((2, 2))
-        total = np.logaddexp.reduce(ahead[sizes - 1, np.arange(many)], axis=1)
-        for t in range(longest - 1, 0, -1):
-            n = int(live[t].sum())
-            tail = score[t, :n] + behind[t, :n]
-            behind[t - 1, :n] = np.logaddexp.reduce(move[None] + tail[:, None, :], axis=2)
-            pair = np.exp(ahead[t - 1, :n, :, None] + move + tail[:, None, :] - total[:n, None, None])
-            pair[np.arange(n), truth[:n], truth[:n]] -= 1
-            grad_move += (pair * weight[:n, None, None]).sum(axis=0)
-        node = np.exp(np.minimum(ahead + behind - total[None, :, None], 0)) * live[..., None]
-        node[:, np.arange(many), truth] -= live
-        node *= weight[None, :, None]
-        grad_emit = np.stack([np.bincount(marks.ravel(), np.repeat(node[..., y].ravel(), len(LIMITS)), minlength=width) for y in (0, 1)], axis=1)
-        grad = np.concatenate([grad_emit.ravel(), grad_move.ravel()]) + PENALTY * params
+        node, pairs = Field(params[:-4].reshape(width, 2), params[-4:].reshape(2, 2)).marginals(indicators, chains, weight)
+        node[rows, labels] -= 1
+        node *= weight[:, None]
+        emit = np.stack([np.bincount(indicators.ravel(), np.repeat(node[:, y], len(LIMITS)), width) for y in (0, 1)], axis=1)
+        grad = np.concatenate([emit.ravel(), (pairs - truth).ravel()]) + PENALTY * params
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         params = params - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Field(params[:-4].reshape(width, 2)[:-1], params[-4:].reshape(2, 2))
+    return Field(params[:-4].reshape(width, 2), params[-4:].reshape(2, 2))
+
+
+def constrained(evidence: np.ndarray, sizes: np.ndarray, lengths: list[int], good: np.ndarray) -> np.ndarray:
+    """Labels of lines: content (1) where evidence is above 0. If half of a good document's words or more aren't content then, further lines become content, those of
+    most evidence first; likewise boilerplate in a bad one, those of least evidence first."""
+    labels = (evidence > 0).astype(np.int64)
+    for lo, hi, fine in zip(np.cumsum([0, *lengths[:-1]]), np.cumsum(lengths), good, strict=True):
+        own = labels[lo:hi] if fine else 1 - labels[lo:hi]
+        words = sizes[lo:hi]
+        if 2 * (own * words).sum() <= words.sum():
+            order = np.argsort(-evidence[lo:hi] if fine else evidence[lo:hi], kind="stable")
+            enough = int(np.searchsorted(2 * np.cumsum(words[order]), words.sum(), side="right")) + 1
+            labels[lo:hi][order[:enough]] = int(fine)
+    return labels
+
+
+def fit_documents(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
+    """A field for documents (indicators of each line, words of each line, label of the document), whose lines get labels of their own."""
+    indicators = np.concatenate([d[0] for d in documents])
+    sizes = np.concatenate([d[1] for d in documents]).astype(np.float64)
+    lengths = [len(d[0]) for d in documents]
+    good = np.array([d[2] for d in documents])
+    words = np.add.reduceat(sizes, np.cumsum([0, *lengths[:-1]]))
+    own = 1 / np.bincount(good, minlength=2)[good] / 2  # a document, and either label, counts alike
+    weight = np.repeat(own / words, lengths) * sizes
+    seen = [np.bincount(indicators.ravel(), np.repeat(weight * (np.repeat(good, lengths) == y), len(LIMITS)), sum(CLASSES)) for y in (0, 1)]
+    evidence = np.log((seen[1] + 1e-4) / (seen[0] + 1e-4))[indicators].sum(axis=1)
+    field = None
+    for _ in range(TURNS):
+        field = fit(indicators, constrained(evidence, sizes, lengths, good), weight, lengths, field)
+        node, _ = field.marginals(indicators, cut_chains(lengths), weight)
+        evidence = np.log((node[:, 1] + 1e-12) / (node[:, 0] + 1e-12))
+    return field
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
-    """A field fitted on at most SAMPLE labelled documents, whole texts: all lines of a document have its label. None if there aren't documents of both
-    labels; then the rules alone decide."""
+    """A field fitted on at most SAMPLE labelled documents, whole texts. None if there aren't documents of both labels; then the rules alone decide. Of a doc_id with
+    several labels the best counts; of one with several texts the one whose hash is least."""
     drawn = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "marks": [binned(line_features(t)[0]).astype("<i2").tobytes() for t in batch.text]})
+            found = [line_features(t) for t in batch.text]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "draw": batch.draw, "marks": [binned(x).astype("<i2").tobytes() for x, _ in found], "sizes": [np.array(n, "<i4").tobytes() for _, n in found]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(drawn), "doc_id").mapInPandas(lines, "doc_id long, quality int, marks binary")  # SAMPLE rows at most but for repeated ids
-    found = [(np.frombuffer(r.marks, "<i2").reshape(-1, len(LIMITS)).astype(np.int64), int(r.quality > 0)) for r in rows.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("draw", F.xxhash64("text"))
+    rows = texts.join(F.broadcast(drawn), "doc_id").mapInPandas(lines, "doc_id long, quality int, draw long, marks binary, sizes binary")  # SAMPLE rows at most but for repeated ids
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", "marks", "sizes"), F.struct("draw", "sizes", "marks")).alias("d")).select("doc_id", "d.*").orderBy("doc_id")
+    found = [(np.frombuffer(r.marks, "<i2").reshape(-1, len(LIMITS)).astype(np.int64), np.frombuffer(r.sizes, "<i4"), int(r.quality > 0)) for r in rows.collect()]
     found = [x for x in found if len(x[0])]
-    return fit(found) if {y for _, y in found} == {0, 1} else None
+    return fit_documents(found) if {x[2] for x in found} == {0, 1} else None
 
 
 def repeated_words(hashes: np.ndarray) -> int:
