@@ -102,3 +102,52 @@ def test_sketch_collides_as_sets_agree():
             b[: max(1, n // 10)] = rng.integers(0, 1 << 63, max(1, n // 10), dtype=np.uint64)
             hits += bool((neardup.band_keys(np.sort(a)) == neardup.band_keys(np.sort(b))).any())
         assert hits >= 198
+
+
+def by_row(rows, words, percent=80):
+    """(n_shingles, component) of each row, all pairs of rows; rows of one doc_id are one document."""
+    sets = []
+    for _, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, (d, *_) in enumerate(rows):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if d is not None and rows[j][0] is not None and (d == rows[j][0] or both and 100 * both >= percent * len(sets[i] | sets[j])):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return [(len(s), None if rows[i][0] is None else low[find(i)]) for i, s in enumerate(sets)]
+
+
+def test_ids_of_several_texts(spark):
+    """A doc_id on rows of different texts: no link of either text is lost, and what they link is one component."""
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(5, "alpha beta gamma delta epsilon zeta eta theta"), (5, ten), (7, ten + " eleven"), (8, ten + " twelve"), (9, "alpha beta gamma delta epsilon zeta eta theta"), (10, "else"), (10, None), (11, None), (None, ten), (12, "x"), (3, "x"), (12, "no")]
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    want = sorted(((r[0] is not None, r[0] or 0, *w) for r, w in zip(rows, by_row(rows, 4), strict=True)), key=str)
+    assert sorted(((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert {r.component_id for r in got if r.doc_id in (5, 7, 8, 9)} == {5}
+
+
+def test_many_ids_of_several_texts(spark):
+    rows = [(d % 150, t, *rest) for d, t, *rest in cluster_rows()]
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(4), 4).collect()
+    want = sorted((r[0], *w) for r, w in zip(rows, by_row(rows, 4), strict=True))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 7)
+    rows = cluster_rows()
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4)

@@ -10,6 +10,9 @@ has (100 + percent) / percent * c - n shingles at most; a member for which that
 members with fewest shingles of their own, which are near the original of a group of edited copies. A member that is not linked with its hub and has i
 shingles in common with it can have partners of more than (100 + percent) / percent * i - n shingles only if it shares a shingle outside the hub with them:
 these are found by an index of such shingles, rarest first, and the member leaves the buckets that have no smaller ones.
+
+A class goes by the number of its first row, so a doc_id may stand on rows of different texts; classes that share a doc_id are linked at the end. Rows of a large
+bucket are dealt over several tasks, by a hash of their ids, wherever they meet their hubs.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)[:BINS].astype(np.uint64)
 _SALT = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-SKETCH = "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCH = "row long, doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
+#: Members of a bucket that meet a hub in one task, about.
+SPLIT = 400
 
 
 def shingle_sets(texts: list, words: int) -> Iterator[np.ndarray]:
@@ -85,17 +90,21 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
-            for doc_id, grams in zip(batch.doc_id, shingle_sets(batch.text.tolist(), words), strict=True):
+            for doc_id, text_hash, grams in zip(batch.doc_id, batch.text_hash, shingle_sets(batch.text.tolist(), words), strict=True):
                 if len(grams):
                     a, b = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (mix(grams + _SALT[0]), mix(grams ^ _SALT[1])))
-                    out.append((row, doc_id, len(grams), a, b, band_keys(grams).view(np.int64)))
+                    out.append((row, doc_id, text_hash, len(grams), a, b, band_keys(grams).view(np.int64)))
                 else:
-                    out.append((row, doc_id, 0, 0, 0, np.zeros(0, np.int64)))
+                    out.append((row, doc_id, text_hash, 0, 0, 0, np.zeros(0, np.int64)))
                 row += 1
-            frame = pd.DataFrame(out, columns=["row", "doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            frame = pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"])
             yield frame.assign(doc_id=frame.doc_id.astype("Int64"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(sketch, SKETCH)
+    return _texts(docs).mapInPandas(sketch, SKETCH)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -115,12 +124,8 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-#: So many ids or fewer are broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, grams): the full shingle sets of the documents with these ids, made anew from their texts."""
+    """(id, grams): the full shingle sets of the classes in ids (id, doc_id, text_hash), made anew from the texts of these rows."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -128,15 +133,26 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 part = batch.iloc[lo : lo + 500]
                 yield pd.DataFrame({"id": part.id, "grams": [g.view(np.int64) for g in shingle_sets(part.text.tolist(), words)]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(texts.join(near, "id").dropDuplicates(["id"]).mapInPandas(sets, "id long, grams array<long>"), "sets")
+    texts = _texts(docs).join(ids.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
+    return written(texts.mapInPandas(sets, "id long, grams array<long>"), "sets")
+
+
+def _part(id_: str) -> Column:
+    """Which of its bucket's `parts` a member is in."""
+    return F.pmod(F.xxhash64(id_), F.col("parts"))
+
+
+def _to_parts(df: DataFrame) -> DataFrame:
+    """A row for each of a bucket's parts."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids with `both`, the size of the intersection of their full shingle sets, and `total`, the sum of the sets' sizes."""
-    met = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
-    return met.select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"), (F.size("grams_a") + F.size("grams_b")).alias("total"))
+    """The pairs (hub, id, parts) of classes with `both`, the size of the intersection of their full shingle sets, and `total`, the sum of the sets' sizes. A hub of many
+    pairs meets them in `parts` tasks."""
+    hubs = _to_parts(sets.withColumnRenamed("id", "hub").join(pairs.groupBy("hub").agg(F.max("parts").alias("parts")), "hub").withColumnRenamed("grams", "hub_grams"))
+    met = pairs.withColumn("part", _part("id")).join(hubs, ["hub", "part"]).join(sets, "id")
+    return met.select("hub", "id", F.size(F.array_intersect("hub_grams", "grams")).alias("both"), (F.size("hub_grams") + F.size("grams")).alias("total"))
 
 
 def _linked(percent: int) -> Column:
@@ -144,22 +160,24 @@ def _linked(percent: int) -> Column:
 
 
 def _candidates(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, id, n, most, own) for the members of buckets that can have a partner there, and the shingle sets of all of them. own: shingles that no other
+    """(bucket, parts, part, id, n, most, own) for the members of buckets that can have a partner there, and the shingle sets of all of them. own: shingles that no other
     candidate of a bucket of three or more has; most: shingles that a partner can have at most."""
-    members = classes.select("id", F.explode("bands").alias("bucket"))
+    members = classes.select("id", "doc_id", "text_hash", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("members"), F.max("id").alias("top"), F.min("id").alias("low")).where("members > 1 and top > low").select("bucket", "members")
-    buckets = written(members.join(shared, "bucket"), "buckets")
-    ids = written(buckets.groupBy("id").agg(F.max("members").alias("members")), "candidates")
-    sets = shingle_table(docs, ids.select("id"), words)
+    buckets = written(members.join(written(shared, "shared"), "bucket"), "buckets")
+    ids = written(buckets.groupBy("id").agg(F.max("members").alias("members"), F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash")), "candidates")
+    sets = shingle_table(docs, ids, words)
     several = sets.join(ids.where("members > 2").select("id"), "id", "left_semi")
     single = several.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
     own = single.groupBy("id").agg(F.count("*").alias("own"))
     sizes = sets.select("id", F.size("grams").cast("long").alias("n")).join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     sizes = sizes.withColumn("most", F.floor((100 + percent) * (F.col("n") - F.col("own")) / percent - F.col("n")).cast("long"))
     most = F.when(F.col("members") > 2, F.col("most")).otherwise(2 * F.col("n"))  # own shingles are counted among members of the larger buckets only
-    sized = written(buckets.join(sizes, "id").withColumn("most", most).drop("members"), "sized")
-    least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
-    return written(sized.join(least, "bucket").where("most >= least").drop("least"), "open"), sets
+    parts = F.ceil(F.col("members") / SPLIT).cast("long")
+    sized = buckets.select("bucket", "id", "members").join(sizes, "id").withColumns({"most": most, "parts": parts}).drop("members").withColumn("part", _part("id"))
+    sized = written(sized, "sized")
+    least = _to_parts(sized.groupBy("bucket").agg(F.min("n").alias("least"), F.max("parts").alias("parts")))
+    return written(sized.join(least, ["bucket", "part"]).where("most >= least").drop("least"), "open"), sets
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -167,34 +185,44 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their shingle sets A, B; a component is what links connect, its id the smallest
     doc_id in it, and that document is kept. Null texts and texts without words have no shingles and are linked with nothing. Rows that repeat a doc_id
-    give a row each. A null doc_id is never linked: component_id null, kept true. Other columns are ignored; an empty table gives no rows.
+    give a row each and are one document in links: what is linked with one of its texts is linked with all. A null doc_id is never linked: component_id null, kept
+    true. Other columns are ignored; an empty table gives no rows.
     """
     sketch = written(sketches(docs, words), "sketch")
     known = sketch.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    classes = written(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    keys = ["set_a", "set_b", "n_shingles"]
+    classes = known.groupBy(*keys).agg(F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
+    classes = written(classes.select(*keys, F.col("first.row").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "low", "bands"), "classes")
+    rows = written(known.select("doc_id", *keys).join(classes.select(*keys, "id"), keys).select("doc_id", "n_shingles", "id"), "rows")
+    repeated = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("doc_id", "a")
+    same = written(rows.join(repeated, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct(), "same-ids")
+    roots = _joined(None, same)
     buckets, sets = _candidates(classes, docs, words, percent)
-    roots, turn = None, 0
+    turn = 0
     while True:
         found = written(_open_buckets(buckets, roots), "unsolved")
         if found.isEmpty():
             break
         stars = written(_stars(found, 1 << 3 * turn, turn, percent), "stars")
-        met = written(compared(stars.where("a is not null").select("a", "b").distinct(), sets), "compared")
-        roots = _joined(roots, met.where(_linked(percent)).select("a", "b"))
+        met = written(compared(stars.where("id is not null").groupBy("hub", "id").agg(F.max("parts").alias("parts")), sets), "compared")
+        roots = _joined(roots, met.where(_linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")))
         buckets = found.drop("root").join(stars.select("bucket", F.col("hub").alias("id")).distinct(), ["bucket", "id"], "left_anti")
         if turn == 0:
-            buckets, more = _beside_hubs(written(_open_buckets(buckets, roots), "beside"), stars, met, sets, percent)
+            buckets, more = _beside_hubs(written(_open_buckets(buckets, roots), "beside"), met, sets, percent)
             roots = _joined(roots, more)
         turn += 1
+    named = classes.select("id", "low")
     if roots is not None:
-        classes = classes.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        classes = classes.withColumn("root", F.coalesce("root", "id"))
+        rooted = named.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("root", "component_id")
+        named = rooted.join(least, "root", "left").select("id", F.coalesce("component_id", "low").alias("component_id"))
     else:
-        classes = classes.withColumn("root", F.col("id"))
-    out = known.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "n_shingles", "root"), ["set_a", "set_b", "n_shingles"])
-    alone = sketch.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
-    out = out.select("doc_id", "n_shingles", F.col("root").alias("component_id")).union(alone.select("doc_id", "n_shingles", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        named = named.withColumnRenamed("low", "component_id")
+    out = rows.join(named, "id").select("doc_id", "n_shingles", "component_id")
+    alone = sketch.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles")
+    # a text without shingles goes with the other texts of its doc_id
+    alone = alone.join(rows.join(named, "id").groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -205,53 +233,56 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _open_buckets(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows (bucket, id, root) of the buckets that hold two components or more."""
+    """The rows of the buckets that hold two components or more, with `root`."""
     if roots is None:
         rooted = buckets.withColumn("root", F.col("id"))
     else:
         rooted = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("bucket")
-    return rooted.join(mixed, "bucket")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("top"), F.max("parts").alias("parts")).where("low < top").select("bucket", "parts")
+    return rooted.join(_to_parts(mixed), ["bucket", "part"])
 
 
 def _stars(rows: DataFrame, hubs: int, turn: int, percent: int) -> DataFrame:
-    """(bucket, hub, id, a, b): edges of up to `hubs` hubs of each bucket to the members of other components, after the first turn to those whose sizes allow
-    a link; id, a and b are null for a hub without any. At first hubs are the members with fewest shingles of their own, later those of the components with
-    fewest members in the bucket, so that what is left soon is of one component. Hubs are found by aggregation, so no bucket is sorted or gathered in one task."""
-    ranked = rows.join(rows.groupBy("bucket", "root").agg(F.count("*").alias("size")), ["bucket", "root"]) if turn else rows.withColumn("size", F.lit(1).cast("long"))
-    draw: Column = F.struct("size", "own", F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "root", "n", "most")
+    """(bucket, parts, hub, id): edges of up to `hubs` hubs of each bucket to the members of other components, after the first turn to those whose sizes allow a link; id is
+    null for a hub itself. At first hubs are the members with fewest shingles of their own, later those of the components with fewest members in the bucket, so that
+    what is left soon is of one component. Hubs are found by aggregation, so no bucket is sorted or gathered in one task."""
     slot = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(7)), F.lit(hubs))
-    hub = ranked.groupBy("bucket", slot.alias("slot")).agg(F.min(draw).alias("h")).select("bucket", "h")
+    best = F.struct("own", F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "root", "n", "most")
+    if turn:
+        each = rows.groupBy("bucket", "root", slot.alias("slot")).agg(F.count("*").alias("k"), F.min(best).alias("h"), F.max("parts").alias("parts"))
+        each = each.withColumn("size", F.sum("k").over(Window.partitionBy("bucket", "root")))  # `hubs` rows at most
+    else:
+        each = rows.groupBy("bucket", slot.alias("slot")).agg(F.min(best).alias("h"), F.max("parts").alias("parts")).withColumn("size", F.lit(1).cast("long"))
+    hub = each.groupBy("bucket", "slot").agg(F.min(F.struct("size", "h")).alias("s"), F.max("parts").alias("parts")).select("bucket", "parts", F.col("s.h").alias("h"))
     other = F.col("root") != F.col("h.root")
     if turn:
         other = other & (F.col("n") <= F.col("h.most")) & (F.col("h.n") <= F.col("most")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
-    met = rows.join(hub, "bucket").where(other).select("bucket", F.col("h.id").alias("hub"), "id", F.least("h.id", "id").alias("a"), F.greatest("h.id", "id").alias("b"))
-    none = F.lit(None).cast("long")
-    return met.unionByName(hub.select("bucket", F.col("h.id").alias("hub"), none.alias("id"), none.alias("a"), none.alias("b")))
+    met = rows.join(_to_parts(hub), ["bucket", "part"]).where(other).select("bucket", "parts", F.col("h.id").alias("hub"), "id")
+    return met.unionByName(hub.select("bucket", "parts", F.col("h.id").alias("hub"), F.lit(None).cast("long").alias("id")))
 
 
-def _beside_hubs(rows: DataFrame, stars: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _beside_hubs(rows: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """For the rows of open buckets after the first turn: the rows with a smaller `most` where a member is linked with none of its hubs, less those that can have no
-    partner left; and the links (a, b) of such members by shingles outside the hub that has most in common with them. A member that lacks d shingles of the least intersection with a partner, apart
-    from those it has in common with the hub, shares one of its m - d + 1 rarest others with any partner."""
-    tried = stars.where("a is not null").select("id", "hub", "a", "b").distinct().join(met, ["a", "b"]).withColumn("linked", _linked(percent))
-    tried = tried.groupBy("id").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"), F.max("both").alias("both"), F.max("linked").alias("linked"))
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = written(rows.join(tried, "id", "left").join(least, "bucket"), "tried")
+    partner left; and the links (a, b) of such members by shingles outside the hub that has most in common with them. A member that lacks d shingles of the least
+    intersection with a partner, apart from those it has in common with the hub, shares one of its m - d + 1 rarest others with any partner."""
+    tried = met.withColumn("linked", _linked(percent)).groupBy("id").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"), F.max("both").alias("both"), F.max("linked").alias("linked"))
+    least = _to_parts(rows.groupBy("bucket").agg(F.min("n").alias("least"), F.max("parts").alias("parts")))
+    rows = written(rows.join(tried, "id", "left").join(least, ["bucket", "part"]), "tried")
     apart = rows.where(~F.col("linked"))
     lack = F.ceil(F.lit(percent) * (F.col("n") + F.min("least")) / (100 + percent)) - F.col("both")
-    needs = apart.groupBy("id", "hub", "n", "both").agg(F.greatest(lack, F.lit(1)).cast("int").alias("lack"))
+    needs = apart.groupBy("id", "hub", "n", "both").agg(F.greatest(lack, F.lit(1)).cast("int").alias("lack"), F.max("parts").alias("parts"))
     grams = sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("gram"))
-    own = needs.join(sets, "id").join(sets.toDF("hub", "hub_grams"), "hub").select("id", "hub", "lack", F.explode(F.array_except("grams", "hub_grams")).alias("gram"))
+    hubs = _to_parts(sets.withColumnRenamed("id", "hub").join(needs.groupBy("hub").agg(F.max("parts").alias("parts")), "hub").withColumnRenamed("grams", "hub_grams"))
+    own = needs.withColumn("part", _part("id")).join(hubs, ["hub", "part"]).join(sets, "id").select("id", "hub", "lack", F.explode(F.array_except("grams", "hub_grams")).alias("gram"))
     own = written(own, "outside")
     counts = grams.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     order = Window.partitionBy("id", "hub")  # as many rows as a set has shingles at most
     rare = own.join(counts, "gram").withColumn("place", F.row_number().over(order.orderBy("k", "gram"))).withColumn("m", F.count("*").over(order)).where("place <= m - lack + 1")
-    pairs = rare.select(F.col("id").alias("x"), "gram").distinct().join(grams, "gram").where("x != id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    links = written(compared(pairs, sets).where(_linked(percent)).select("a", "b"), "outer-links")
+    pairs = rare.select(F.col("id").alias("x"), "gram").distinct().join(grams, "gram").where("x != id").select(F.least("x", "id").alias("hub"), F.greatest("x", "id").alias("id")).distinct()
+    links = written(compared(pairs.withColumn("parts", F.lit(1).cast("long")), sets).where(_linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")), "outer-links")
     reach = F.floor((100 + percent) * F.col("both") / percent - F.col("n")).cast("long")
     rows = rows.withColumn("most", F.when(~F.coalesce("linked", F.lit(True)), F.least("most", reach)).otherwise(F.col("most")))
-    return rows.where("most >= least").select("bucket", "id", "n", "most", "own"), links
+    return rows.where("most >= least").select("bucket", "parts", "part", "id", "n", "most", "own"), links
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
