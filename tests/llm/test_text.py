@@ -449,3 +449,45 @@ def test_labelled_ids_of_several_texts(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
     fields = [quality.learn(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1])]
     assert (fields[0].emit == fields[1].emit).all()
+
+
+def test_filters_act_and_lose_nothing():
+    """Over real documents with pieces of templates put in: the same matches as all windows of all templates, and both filters stop work before it is done."""
+    import pandas as pd
+
+    rng = random.Random(15)
+    texts = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.tolist()[:60]
+    for k, (_, wording) in enumerate(licenses.TEMPLATES):
+        words = wording.split()
+        drop = rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 6)))
+        texts[k] = f"{texts[k][:500]}\n{' '.join(w for i, w in enumerate(words) if i not in drop)}\n{texts[k][500:900]}"
+    counts = {}
+    for t in texts:
+        for w in set(licenses.words_of(t)):
+            counts[w] = counts.get(w, 0) + 1
+    index, found = licenses.Index(counts), 0
+    stops = {"length": 0, "position": 0, "whole": 0}
+    plain = index.common
+
+    def watched(template, block):
+        _, ranks, own, need, _ = index.templates[template]
+        both = plain(template, block)
+        assert both == (len(own.intersection(block)) if len(own.intersection(block)) >= need else 0)
+        stops["length" if len(block) < need else "whole" if both else "position"] += 1
+        return both
+
+    index.common = watched
+    for text in texts:
+        words = licenses.words_of(text)
+        want = {}
+        for label, wording in licenses.TEMPLATES:
+            own, width = set(licenses.words_of(wording)), licenses.WIDTH * len(licenses.words_of(wording))
+            share = max((len(own.intersection(words[i : i + width])) / len(own) for i in range(len(words)) if words[i] in own), default=0)
+            if share >= licenses.THRESHOLD - 1e-9:
+                want[label] = share
+        got = {}
+        for _, label, share in index.scan(words, set(words)):
+            got[label] = max(share, got.get(label, 0))
+        assert got == want
+        found += len(got)
+    assert found >= 15 and all(stops.values())
