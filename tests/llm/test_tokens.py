@@ -155,3 +155,39 @@ def test_one_operators_cache_is_held():
     a = tokens.encoder(WORDS, True)
     assert tokens.encoder(WORDS, True) is a
     assert held("another", list) == [] and tokens.encoder(WORDS, True) is not a
+
+
+def triplets(n, seed):
+    """Three pieces of 250 to 490 for each full sequence of 1000: the least number of sequences is n, and best fit by falling length needs far more."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(380, 491))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_search_beats_best_fit(spark):
+    """On hard lengths the genetic search saves most of what best fit wastes, and the job gives the same as its parts."""
+    for n, seed in ((40, 1), (83, 2), (167, 3)):
+        p = packing.Packer(np.sort(triplets(n, seed))[::-1], 1000, 5)
+        people = [p.first(k) for k in range(packing.POPULATION)]
+        fitted = min(map(len, people))
+        best = p.evolve(people, n)[0]
+        assert sorted(i for b in best for i in b) == list(range(3 * n)) and p.fills(best).max() <= 1000
+        assert len(best) - n <= 0.25 * (fitted - n)
+    table = packing.written(spark.createDataFrame([(k, v) for k, v in enumerate(triplets(100, 7))], "piece_key long, length long"), "hard")
+    got = packing.pack(table, 1000).toPandas()
+    assert got.sequence_id.nunique() <= 103 and got.groupby("sequence_id").length.sum().max() <= 1000
+
+
+def test_cells_join_their_worst_sequences(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 40)
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 60, 2000).tolist()
+    table = packing.written(spark.createDataFrame([(k, v) for k, v in enumerate(lengths)], "piece_key long, length long"), "cells")
+    got = packing.pack(table, 100).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got.piece_key) == list(range(2000))
+    for _, s in got.groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 100
+    assert got.sequence_id.nunique() <= -(-sum(lengths) // 100) + 2

@@ -1,14 +1,17 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
 Documents longer than a sequence are cut into full pieces; their first piece is what is left over. Full pieces are sequences of their own. The others are
-dealt at random into cells of about CELL pieces, and each cell is a bin-packing problem of bounded size, however large the table or any document group is;
-a cell wastes about half a sequence beyond what its lengths force. For each cell some islands evolve populations of packings apart from each other, as
-separate rows of a Spark job; after each round an island's best packing migrates to the next island of its cell.
+dealt at random into cells of about CELL pieces, and each cell is a bin-packing problem of bounded size, however large the table or any document group is. For each cell
+some islands evolve populations of packings apart from each other, as separate rows of a Spark job; after each round an island's best packing migrates to the next
+island of its cell. The WORST least filled sequences of every cell then meet those of other cells in new cells, level by level until one cell is left, so that a cell's
+last sequence doesn't stay half empty. Best fit by falling length often needs no more sequences than the lengths force; then a cell is done at once, and the search
+works where it does not.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,11 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import written
 from tidewell.llm.tokens import encoder
 
-CELL, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3000, 2, 2, 6, 4
+CELL, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3000, 2, 2, 60, 8
+#: Generations without a better packing after which an island ends its round.
+PATIENCE = 20
+#: Sequences of a cell that go on to the next level, and loose pieces that take part in exchanges at once.
+WORST, LOOSE = 6, 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, piece_key long"
 STATE = "cell long, island int, lengths binary, keys binary, kind string, packings array<binary>"
 
@@ -91,9 +98,35 @@ class Packer:
         """Fewer bins first; then uneven filling, which leaves bins that are easy to empty."""
         return -len(bins), float(np.square(self.fills(bins) / self.capacity).sum())
 
+    def exchange(self, bins: list[list[int]], loose: list[int]) -> list[list[int]]:
+        """Goes over the bins in random order and exchanges one or two items of a bin for one or two loose ones that fill it best; what is loose then is put by best fit."""
+        sizes, free, sums = self.sizes, sorted(loose)[:LOOSE], None
+        rest = sorted(loose)[LOOSE:]
+        for k in self.rng.permutation(len(bins)).tolist() if free else ():
+            b = bins[k]
+            room = self.capacity - sum(map(sizes.__getitem__, b))
+            if not room:
+                continue
+            if sums is None:
+                sums = sorted([(sizes[i], (i,)) for i in free] + [(sizes[i] + sizes[j], (i, j)) for n, i in enumerate(free) for j in free[:n]])
+            best = (0, (), ())
+            few = b if len(b) <= 12 else self.rng.choice(b, 12, replace=False).tolist()
+            for size, out in [(0, ())] + [(sizes[i], (i,)) for i in few] + [(sizes[i] + sizes[j], (i, j)) for n, i in enumerate(few) for j in few[:n]]:
+                at = bisect_right(sums, size + room, key=lambda x: x[0]) - 1
+                if at >= 0 and sums[at][0] - size > best[0]:
+                    best = (sums[at][0] - size, out, sums[at][1])
+                    if best[0] == room:
+                        break
+            if best[0]:
+                bins[k] = [i for i in b if i not in best[1]] + [*best[2]]
+                free, sums = sorted([i for i in free if i not in best[2]] + [*best[1]]), None
+                if not free:
+                    break
+        return self.best_fit(sorted(free + rest), bins)
+
     def cross(self, mother: list[list[int]], father: list[list[int]]) -> list[list[int]]:
         """Injects a random half of the mother's well-filled bins whole; of the father's bins those without any of their items stay; the other items,
-        and those of two badly filled bins, are put by best fit."""
+        and those of some badly filled bins, are exchanged for items that fill bins worse and put by best fit."""
         fill = self.fills(mother)
         good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
         taken = [mother[k] for k in good[self.rng.random(len(good)) < 0.5]]
@@ -109,18 +142,31 @@ class Packer:
                 kept.append(b)
         for k in sorted(np.argsort(self.fills(kept), kind="stable")[:2].tolist(), reverse=True):
             loose += kept.pop(k)
-        return self.best_fit(sorted(loose), [[*b] for b in taken + kept])
+        return self.exchange([[*b] for b in taken + kept], loose)
+
+    def mutate(self, bins: list[list[int]]) -> list[list[int]]:
+        """Empties the worst filled bin and some at random, the badly filled rather, and puts their items anew."""
+        fill = self.fills(bins)
+        n = min(len(bins), 2 + int(self.rng.integers(0, 4)))
+        odds = self.capacity - fill + 0.02 * self.capacity
+        gone = {int(fill.argmin()), *self.rng.choice(len(bins), n, replace=False, p=odds / odds.sum()).tolist()}
+        return self.exchange([[*b] for k, b in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k]])
 
     def evolve(self, population: list[list[list[int]]], least: int) -> list[list[list[int]]]:
-        """GENERATIONS steps, each replacing the worst packing by a child of two others; ends early once no packing can be better."""
+        """Up to GENERATIONS steps, each replacing the worst packing by a child of two others that won against another each, or by a changed copy of one; ends early once
+        no packing can be better, or after PATIENCE steps without a better one."""
         scored = sorted(((self.fitness(p), p) for p in population), key=lambda x: x[0], reverse=True)
+        idle = 0
         for _ in range(GENERATIONS):
-            if len(scored[0][1]) <= least or len(scored) < 2:
+            if len(scored[0][1]) <= least or len(scored) < 2 or idle >= PATIENCE:
                 break
-            a, b = self.rng.choice(len(scored), 2, replace=False)
-            child = self.cross(scored[a][1], scored[b][1])
-            scored[-1] = (self.fitness(child), child)
-            scored.sort(key=lambda x: x[0], reverse=True)
+            a, b = (int(self.rng.integers(0, len(scored), 2).min()) for _ in range(2))
+            child = self.mutate(scored[a][1]) if a == b or self.rng.random() < 0.4 else self.cross(scored[a][1], scored[b][1])
+            new = self.fitness(child)
+            idle = 0 if new > scored[0][0] else idle + 1
+            if all(new != f for f, _ in scored):  # equal packings would fill the population
+                scored[-1] = (new, child)
+                scored.sort(key=lambda x: x[0], reverse=True)
         return [p for _, p in scored]
 
 
@@ -137,28 +183,31 @@ def _unpack(data: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(at[order])) + 1)] if len(at) else []
 
 
-def _start(capacity: int):
-    def start(group: pd.DataFrame) -> pd.DataFrame:
-        """The cell's items by falling length, one state row for each island."""
-        group = group.sort_values(["length", "piece_key"], ascending=[False, True])
-        lengths, keys = group.length.to_numpy("<i4").tobytes(), group.piece_key.to_numpy("<i8").tobytes()
-        return pd.DataFrame({"cell": group.cell.iloc[0], "island": range(ISLANDS), "lengths": lengths, "keys": keys, "kind": "own", "packings": [[] for _ in range(ISLANDS)]})
-
-    return start
+def _start(group: pd.DataFrame) -> pd.DataFrame:
+    """The cell's items by falling length, one state row for each island; a packing that they have already is in every island's population."""
+    group = group.sort_values(["length", "piece_key"], ascending=[False, True])
+    lengths, keys = group.length.to_numpy("<i4").tobytes(), group.piece_key.to_numpy("<i8").tobytes()
+    known = [] if group.sequence_id.isna().any() else [pd.factorize(group.sequence_id)[0].astype("<i4").tobytes()]
+    return pd.DataFrame({"cell": group.cell.iloc[0], "island": range(ISLANDS), "lengths": lengths, "keys": keys, "kind": "own", "packings": [known for _ in range(ISLANDS)]})
 
 
 def _round(capacity: int, turn: int):
     def step(group: pd.DataFrame) -> pd.DataFrame:
-        """One island's round: its own packings (none at first) and the migrant evolve; then its best goes on to the next island as well."""
+        """One island's round: its own packings (in the first round, new ones) and the migrant evolve; then its best goes on to the next island as well."""
         own, cell, island = group[group.kind == "own"].iloc[0], int(group.cell.iloc[0]), int(group.island.iloc[0])
         lengths = np.frombuffer(own.lengths, "<i4")
         packer = Packer(lengths, capacity, (cell * ISLANDS + island) * 1000 + turn)
+        least = -(-int(lengths.sum()) // capacity)
         population = [_unpack(p) for p in own.packings]
-        population = population or [packer.first(k if island == 0 else k + (k > 0) * island * POPULATION) for k in range(POPULATION)]
+        if turn == 0:
+            for k in range(POPULATION):
+                population.append(packer.first(k if island == 0 else k + (k > 0) * island * POPULATION))
+                if len(population[-1]) <= least:
+                    break
         for p in group[group.kind == "migrant"].packings:
-            population[-1] = _unpack(p[0])
-        population = packer.evolve(population, -(-int(lengths.sum()) // capacity))
-        packed = [_pack(p, len(lengths)) for p in population]
+            population.append(_unpack(p[0]))
+        population = packer.evolve(population, least)[:POPULATION]
+        packed = [_pack(p, len(lengths)) for p in (population[:1] if len(population[0]) <= least else population)]
         rows = [(cell, island, own.lengths, own["keys"], "own", packed)]
         if turn < ROUNDS - 1:
             rows.append((cell, (island + 1) % ISLANDS, b"", b"", "migrant", packed[:1]))
@@ -167,15 +216,17 @@ def _round(capacity: int, turn: int):
     return step
 
 
-def _result(capacity: int):
+def _result(level: int):
     def best(group: pd.DataFrame) -> pd.DataFrame:
-        """Of the cell's islands the best packing: for each piece the sequence and its place in it."""
+        """Of the cell's islands the best packing: for each piece the sequence and its place in it; `more` for the pieces of the worst filled sequences."""
         row = min((r for r in group.itertuples()), key=lambda r: (max(np.frombuffer(r.packings[0], "<i4"), default=0), r.island))
         at, lengths, keys = np.frombuffer(row.packings[0], "<i4"), np.frombuffer(row.lengths, "<i4"), np.frombuffer(row.keys, "<i8")
         order = np.lexsort((keys, at))
         total = np.cumsum(lengths[order]) - lengths[order]
         first = np.searchsorted(at[order], at[order])
-        return pd.DataFrame({"piece_key": keys[order], "sequence_id": (int(row.cell) << 20 | at[order].astype(np.int64)) << 1, "offset": (total - total[first]).astype(np.int64)})
+        worst = np.argsort(np.bincount(at, lengths), kind="stable")[:WORST]
+        sequence = ((int(row.cell) << 5 | level) << 20 | at[order].astype(np.int64)) << 1
+        return pd.DataFrame({"piece_key": keys[order], "sequence_id": sequence, "offset": (total - total[first]).astype(np.int64), "length": lengths[order], "more": np.isin(at[order], worst)})
 
     return best
 
@@ -183,12 +234,23 @@ def _result(capacity: int):
 def pack(table: DataFrame, capacity: int) -> DataFrame:
     """sequence_id and offset for every row of a stored pieces() table (columns length, piece_key). Pieces must be 1 to capacity long."""
     whole, part = table.where(F.col("length") == capacity), table.where(F.col("length") < capacity)
-    cells = max(1, round(part.count() / CELL))
-    items = part.select(F.pmod(F.xxhash64("piece_key"), F.lit(cells)).alias("cell"), "length", "piece_key")
-    state = items.groupBy("cell").applyInPandas(_start(capacity), STATE)
-    for turn in range(ROUNDS):
-        state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn), STATE)
-    placed = state.groupBy("cell").applyInPandas(_result(capacity), "piece_key long, sequence_id long, offset long")
+    items, placed, level = part.select("length", "piece_key", F.lit(None).cast("long").alias("sequence_id")), None, 0
+    count = items.count()
+    while True:
+        cells = max(1, round(count / CELL))
+        state = items.withColumn("cell", F.pmod(F.xxhash64(F.coalesce("sequence_id", "piece_key"), F.lit(level)), F.lit(cells))).groupBy("cell").applyInPandas(_start, STATE)
+        for turn in range(ROUNDS):
+            state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn), STATE)
+        done = written(state.groupBy("cell").applyInPandas(_result(level), "piece_key long, sequence_id long, offset long, length int, more boolean"), "placed")
+        final = (done.where("not more") if cells > 1 else done).select("piece_key", "sequence_id", "offset")
+        placed = final if placed is None else placed.unionByName(final)
+        if cells == 1:
+            break
+        items, level, before = done.where("more").select("length", "piece_key", "sequence_id"), level + 1, count
+        count = items.count()
+        if count >= before or level == 31:  # nothing but worst sequences is left: cells of few, long pieces
+            placed = placed.unionByName(done.where("more").select("piece_key", "sequence_id", "offset"))
+            break
     return part.join(placed, "piece_key").unionByName(whole.withColumns({"sequence_id": F.col("piece_key") * 2 + 1, "offset": F.lit(0).cast("long")}))
 
 
