@@ -181,3 +181,61 @@ def test_ranked_levels(spark):
 def test_cut_at_the_second_frame():
     dark, light = np.zeros((20, media.FRAME), np.uint8), np.full((20, media.FRAME), 200, np.uint8)
     assert media.cuts(np.concatenate([dark[:1], light])) == [1] and media.cuts(np.concatenate([dark[:1], light, dark])) == [1, 21]
+
+
+def test_spread_levels(spark):
+    """A value's level is the middle of its rows in the cumulative share, for strings of all kinds, nulls first."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "", *(f"same start {k:03d}" for k in range(100))]), rng.choice(["de", *["en"] * 6, "es", "fr", None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string").selectExpr("a", "b", "a AS a0", "b AS b0")
+    got = sharding.ranked(df, ["a", "b"], spread=True).collect()
+    for k in (0, 1):
+        values = sorted((r[k] for r in rows), key=lambda v: (v is not None, v or ""))
+        want = {v: (values.index(v) + values.count(v) - (values.count(v) + 1) // 2) * 32 // len(rows) for v in set(values)}
+        assert all(r["ab"[k]] == want[r["ab"[k] + "0"]] for r in got)
+    assert len({r.b for r in got}) == 5 and max(r.b for r in got) >= 24
+    assert sharding.ranked(df.limit(0), ["a", "b"], spread=True).count() == 0
+
+
+def test_equal_numbers_keep_their_share(spark):
+    df = spark.createDataFrame([(1,)] * 500 + [(k,) for k in range(2, 502)], "v long")
+    got = sharding.quantised(df.withColumn("v0", F.col("v")), ["v"]).groupBy("v0").agg(F.max("v").alias("v")).collect()
+    level = {r.v0: r.v for r in got}
+    assert level[1] == 0 and 14 <= level[2] <= 16 and level[501] == 31
+
+
+def test_shards_prune_languages_and_sources(spark):
+    """Of the driver's documents a shard holds few languages and a narrow part of the sources."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.shard_documents(docs_).join(docs_.select("doc_id", "source", "lang"), "doc_id").toPandas()
+    assert rows.groupby("shard").lang.nunique().mean() <= 2.2 and rows.lang.nunique() == 4
+    assert rows.groupby("shard").source.nunique().mean() <= 0.5 * rows.source.nunique()
+
+
+def test_inclusion_shares(spark):
+    """Over many draws a document is taken as often as its inclusion probability says: certain large ones always, others in proportion to their size."""
+    rng = random.Random(3)
+    sizes = [300, 200, *(rng.randint(1, 40) for _ in range(60))]
+    hits, draws, rest = np.zeros(len(sizes)), 250, None
+    for turn in range(draws):
+        u = np.random.default_rng(turn).random(len(sizes))
+        rows = [("s", k, n, float(x)) for k, (n, x) in enumerate(zip(sizes, u, strict=True))]
+        if turn == 0:
+            sources = mixing._targets(spark.createDataFrame(rows, "source string, doc_id long, size long, u double"), 0.6, (1,), 2)
+            source = mixing._factors(spark.createDataFrame(rows, "source string, doc_id long, size long, u double"), sources).first()
+            rest, factor, largest = source.rest, source.factor, source.largest
+        if turn < 2:  # the job itself
+            got = mixing.mix_sizes(mixing.written(spark.createDataFrame(rows, "source string, doc_id long, size long, u double"), "drawn"), 0.6, (1,), 2).collect()
+            taken = {r.doc_id for r in got if r.copies}
+        p = np.minimum(factor * np.array(sizes), 1)
+        p[np.array(sizes) > largest] = 1
+        v = np.where(p == 1, 0, u / (u + p / (1 - np.where(p == 1, 0, p)) * (1 - u)))
+        order = np.lexsort((np.arange(len(sizes)), v))
+        cum = np.cumsum(np.array(sizes)[order])
+        own = {int(k) for k, c in zip(order, cum, strict=True) if c - sizes[k] / 2 < rest}
+        if turn < 2:
+            assert taken == own
+        hits[list(own)] += 1
+    assert abs((p * sizes).sum() - rest) < 1e-6 and (p == 1).sum() >= 1
+    assert (hits[p == 1] == draws).all()
+    assert np.abs(hits / draws - p).max() < 0.13 and np.corrcoef(hits / draws, p)[0, 1] > 0.97

@@ -6,6 +6,8 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,10 +20,11 @@ BITS = 5
 RUN = 50_000
 
 
-def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with text columns replaced by levels as quantised() makes them, by the order of whole strings, nulls first. The limits come from counts of all values:
-    those are sorted in ranges, and the rows before each range come from its sum, so no task sorts more than a range. At most 2 ** BITS - 1 limits of a column
-    reach the driver."""
+def ranked(df: DataFrame, columns: list[str], spread: bool = False) -> DataFrame:
+    """df with text columns replaced by levels, by the order of whole strings, nulls first: as many as there are, up to 2 ** BITS, of about equally many rows. spread: a
+    value's level is its place in the cumulative share of rows times 2 ** BITS, so that few values, too, lie apart over all bits. The limits come from counts of all
+    values: those are sorted in ranges, and the rows before each range come from its sum, so no task sorts more than a range. At most 2 ** BITS limits of a column reach
+    the driver."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).alias("value")) for c in columns)))
     counts = df.select(pairs.alias("pair")).groupBy("pair.axis", "pair.value").agg(F.count("*").alias("n"))
     counts = written(counts.repartitionByRange(F.asc("axis"), F.asc_nulls_first("value")).withColumn("part", F.spark_partition_id()), "values")
@@ -31,16 +34,27 @@ def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     within = Window.partitionBy("axis", "part").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
     rows = counts.join(F.broadcast(parts), ["axis", "part"]).withColumn("upto", F.col("part_start") + F.sum("n").over(within))
     at = lambda x: F.expr(f"({x}) * {1 << BITS} div total")
+    if spread:
+        firsts = rows.groupBy("axis", at("upto - (n + 1) div 2").cast("int").alias("level")).agg(F.min("value").alias("value")).collect()
+        out = {}
+        for c in columns:
+            levels = sorted(((r.level, r.value) for r in firsts if r.axis == c), key=lambda x: x[0])
+            expr = F.lit(levels[0][0] if levels else 0)
+            for (low, _), (level, first) in zip(levels, levels[1:], strict=False):  # only the lowest level can hold nulls alone
+                expr = expr + F.when(F.coalesce(F.col(c) >= F.lit(first), F.lit(False)), level - low).otherwise(0)
+            out[c] = expr
+        return df.withColumns(out)
     limits = rows.where(F.least(at("upto"), F.lit((1 << BITS) - 1)) > at("upto - n")).select("axis", "value").collect()
     above = lambda c, x: F.col(c).isNotNull() if x is None else F.coalesce(F.col(c) > F.lit(x), F.lit(False))
     return df.withColumns({c: sum((above(c, r.value).cast("int") for r in limits if r.axis == c), F.lit(0)) for c in columns})
 
 
 def quantised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with numeric columns replaced by levels 0 to 2 ** BITS - 1 of about equally many rows. The limits come from quantile summaries of all rows."""
+    """df with numeric columns replaced by levels 0 to 2 ** BITS - 1 of about equally many rows; a value of many rows leaves the levels that it fills over unused. The limits
+    come from quantile summaries of all rows."""
     shares = [k / (1 << BITS) for k in range(1, 1 << BITS)]
     limits = df.agg(*(F.percentile_approx(c, shares, 10_000).alias(c) for c in columns)).first()
-    return df.withColumns({c: sum(((F.col(c) > x).cast("int") for x in sorted(set(limits[c] or []))), F.lit(0)) for c in columns})
+    return df.withColumns({c: sum(((F.col(c) > x).cast("int") * n for x, n in sorted(Counter(limits[c] or []).items())), F.lit(0)) for c in columns})
 
 
 def hilbert_index(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
@@ -79,7 +93,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.col("source").cast("string").alias("d1"), F.col("lang").cast("string").alias("d2"), size.alias("d3"))
-    rows = quantised(ranked(written(rows, "metadata"), ["d1", "d2"]), ["d3"])
+    rows = quantised(ranked(written(rows, "metadata"), ["d1", "d2"], spread=True), ["d3"])
     rows = rows.select("doc_id", "size", "text_crc32", hilbert_index(F.col("d1"), F.col("d2"), F.col("d3")).alias("curve"), F.xxhash64("doc_id", "text_crc32").alias("draw"))
     rows = written(rows, "curve")
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)  # one row for each cell: 2 ** 15 at most
