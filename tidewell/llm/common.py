@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words: space and U+0009 to U+000D. No byte of a multi-byte UTF-8 character is among them.
@@ -53,6 +56,22 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+def trim() -> None:
+    """Gives back to the system what a worker has freed: Arrow's pool and the C library keep it otherwise, and workers live as long as the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches, with memory given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 _held: list = []
 
 
@@ -62,7 +81,7 @@ def held(key, build: Callable):
     if not _held or _held[0] != key:
         _held.clear()
         _powers.clear()
-        gc.collect()
+        trim()
         _held[:] = [key, build()]
     return _held[1]
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import held
+from tidewell.llm.common import held, trim, trimmed
 
 #: Labelled documents to learn from: about so many in all, the same number of each language (drawn by a hash of doc_id), but LEAST of each language if it has them.
 SAMPLE, LEAST = 6000, 20
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(shared)
-        for batch in batches:
+        for batch in trimmed(batches):
             found = [scorer.predict(t) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "held_out": batch.held_out, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
@@ -179,6 +179,7 @@ def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def known(text: pd.Series) -> pd.Series:
         scorer = _scorer(shared)
         found = [scorer.predict(t) for t in text]
+        trim()
         return pd.Series([lang != "und" and score >= least for lang, score in found], dtype=bool)
 
     return docs.where(known(F.col("text").cast("string")))

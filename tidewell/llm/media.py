@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import utf8
+from tidewell.llm.common import chunks, trimmed, utf8
 
 SIDE, RATE = 24, 25
 FRAME = SIDE * SIDE
@@ -147,9 +147,8 @@ def cuts(frames: np.ndarray) -> list[int]:
     return (np.flatnonzero((diff > LEAST) & (diff > mean + CUT * spread)) + 1).tolist()
 
 
-def payload_of(text) -> bytes:
-    """UTF-8 bytes of a text and bytes 255 up to a positive multiple of FRAME."""
-    data = utf8(text)
+def padded(data: bytes) -> bytes:
+    """The bytes, and bytes 255 up to a positive multiple of FRAME."""
     return data + b"\xff" * (FRAME - len(data) % FRAME if len(data) % FRAME or not data else 0)
 
 
@@ -160,8 +159,7 @@ def to_media(df: DataFrame, payload: Column, name: str = "media") -> DataFrame:
     def encode(data: pd.Series) -> pd.Series:
         out = []
         for x in data:
-            x = bytes(x) if x is not None else b""
-            x += b"\xff" * (FRAME - len(x) % FRAME if len(x) % FRAME or not x else 0)
+            x = padded(bytes(x) if x is not None else b"")
             frames = np.frombuffer(x, np.uint8).reshape(-1, FRAME)
             out.append(write_avi([f for lo in range(0, len(frames), RUN) for f in encode_frames(frames[lo : lo + RUN])]))
         return pd.Series(out, dtype=object)
@@ -198,31 +196,37 @@ def digest(docs: DataFrame) -> DataFrame:
     cuts and the mean sample. Equal texts have equal values. Other columns are ignored. Files live in a column between the two steps."""
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 256):  # bounded memory: files of a few documents at a time
-                part = batch.iloc[lo : lo + 256]
-                blobs = [payload_of(t) for t in part.text]
+        for batch in trimmed(batches):
+            at = 0
+            for blobs in chunks(map(utf8, batch.text), RUN * FRAME):  # bounded memory: files of so many bytes at a time
+                sizes = list(map(len, blobs))
+                blobs = [padded(b) for b in blobs]
                 frames = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, FRAME)
                 images = [f for k in range(0, len(frames), RUN) for f in encode_frames(frames[k : k + RUN])]
                 ends = np.cumsum([0, *(len(b) // FRAME for b in blobs)]).tolist()
                 media = [write_avi(images[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pd.DataFrame({"doc_id": pd.array(part.doc_id, "Int64"), "n_bytes": [len(utf8(t)) for t in part.text], "media": media})
+                yield pd.DataFrame({"doc_id": pd.array(batch.doc_id.iloc[at : at + len(blobs)], "Int64"), "n_bytes": sizes, "media": media})
+                at += len(blobs)
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            files = [read_avi(bytes(m))[1] for m in batch.media]
-            images = [x for f in files for x in f]
-            frames = np.concatenate([decode_frames(images[k : k + RUN]) for k in range(0, len(images), RUN)]) if images else np.zeros((0, FRAME), np.uint8)
-            ends, rows = np.cumsum([0, *map(len, files)]).tolist(), []
-            for media, a, b in zip(batch.media, ends, ends[1:], strict=False):
-                own = frames[a:b]
-                data, found = own.tobytes(), cuts(own)
-                feature = f"frames={b - a};shots={len(found) + 1};cuts={'/'.join(map(str, found))};mean={int(own.sum(dtype=np.int64)) // len(data)}"
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            out.insert(0, "n_bytes", batch.n_bytes.to_numpy())
-            out.insert(0, "doc_id", pd.array(batch.doc_id, "Int64"))
-            yield out
+        for batch in trimmed(batches):
+            at = 0
+            for part in chunks(map(bytes, batch.media), 2 * RUN * FRAME):
+                files = [read_avi(m)[1] for m in part]
+                images = [x for f in files for x in f]
+                frames = np.concatenate([decode_frames(images[k : k + RUN]) for k in range(0, len(images), RUN)]) if images else np.zeros((0, FRAME), np.uint8)
+                ends, rows = np.cumsum([0, *map(len, files)]).tolist(), []
+                for media, a, b in zip(part, ends, ends[1:], strict=False):
+                    own = frames[a:b]
+                    data, found = own.tobytes(), cuts(own)
+                    feature = f"frames={b - a};shots={len(found) + 1};cuts={'/'.join(map(str, found))};mean={int(own.sum(dtype=np.int64)) // len(data)}"
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                here = batch.iloc[at : at + len(part)]
+                out.insert(0, "n_bytes", here.n_bytes.to_numpy())
+                out.insert(0, "doc_id", pd.array(here.doc_id, "Int64"))
+                yield out
+                at += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored = rows.mapInPandas(store, "doc_id long, n_bytes long, media binary")

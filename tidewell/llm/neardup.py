@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.llm.common import chunks, mix, utf8, word_hashes, written
+from tidewell.llm.common import chunks, mix, trimmed, utf8, word_hashes, written
 
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in trimmed(batches):
             out = []
             for doc_id, text_hash, grams in zip(batch.doc_id, batch.text_hash, shingle_sets(batch.text.tolist(), words), strict=True):
                 if len(grams):
@@ -128,7 +128,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, grams): the full shingle sets of the classes in ids (id, doc_id, text_hash), made anew from the texts of these rows."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for lo in range(0, len(batch), 500):  # sets of some documents at a time
                 part = batch.iloc[lo : lo + 500]
                 yield pd.DataFrame({"id": part.id, "grams": [g.view(np.int64) for g in shingle_sets(part.text.tolist(), words)]})

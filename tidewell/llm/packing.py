@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import written
+from tidewell.llm.common import trimmed, written
 from tidewell.llm.tokens import encoder
 
 CELL, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3000, 2, 2, 60, 8
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         from pyspark import TaskContext
 
         encode, key = encoder(tokenizer, False).encode, TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in trimmed(batches):
             rows = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 ids = np.append(np.frombuffer(encode(text), "<u2"), np.uint16(end_id)).astype("<u4")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import utf8, word_hashes
+from tidewell.llm.common import trim, trimmed, utf8, word_hashes
 
 #: Labelled documents that the field is fitted on, at most (drawn by a hash of doc_id).
 SAMPLE = 1500
@@ -249,7 +249,7 @@ def assess(docs: DataFrame, field: Field | None) -> DataFrame:
     are judged, however long. Other columns are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
                 found = judge(part.text.tolist(), field)
@@ -265,6 +265,8 @@ def good(docs: DataFrame, field: Field | None) -> DataFrame:
 
     @F.pandas_udf(T.BooleanType())
     def kept(text: pd.Series) -> pd.Series:
-        return pd.concat([judge(text.iloc[lo : lo + 500].tolist(), field).kept for lo in range(0, len(text), 500)], ignore_index=True) if len(text) else pd.Series([], dtype=bool)
+        found = pd.concat([judge(text.iloc[lo : lo + 500].tolist(), field).kept for lo in range(0, len(text), 500)], ignore_index=True) if len(text) else pd.Series([], dtype=bool)
+        trim()
+        return found
 
     return docs.where(kept(F.col("text").cast("string")))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import open_fs
+from tidewell.llm.common import open_fs, trimmed
 from tidewell.llm.tokens import encoder
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("n_tokens", "<u8")])
@@ -70,7 +70,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, words
         end, encode = np.array([end_id], "<u2").tobytes(), encoder(tokenizer, words).encode
         index, at, total, n = [], 0, 0, 0
         with fs.open_output_stream(f"{name}.{own}") as out:
-            for batch in batches:
+            for batch in trimmed(batches):
                 for doc_id, null, text in zip(batch.doc_id, batch.gone, batch.text, strict=True):
                     ids = encode(text) + end
                     data = frame(None if null else int(doc_id), ids)

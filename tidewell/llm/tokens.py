@@ -17,8 +17,8 @@ import numpy as np
 
 from tidewell.llm.common import held
 
-#: Pieces kept by a worker (about 60 MB); beyond it the cache starts anew.
-CACHE = 300_000
+#: Pieces kept by a worker (about 40 MB); beyond it the cache starts anew.
+CACHE = 200_000
 #: Characters about whose class all Unicode tables agree: printable ASCII, Latin letters, common punctuation.
 _KNOWN = r"\n\x20-\x7e¡-¬®-įı-ſ–—‘’“”…•€"
 _ODD = re.compile(f"[^{_KNOWN}]")
