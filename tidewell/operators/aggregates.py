@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.functions.numeric import LEVELS
+
 
 def geo_mean(df: DataFrame, value: str, by: Sequence[str], within: str | None = None, name: str = "geo_mean") -> DataFrame:
     """exp of the mean log of positive finite values; with `within`, of the means inside each of its groups. Groups without such a value give null."""
@@ -42,6 +44,17 @@ def fit_lm(df: DataFrame, y: str, x: str, by: Sequence[str] | str | None = None)
     return out.withColumn("t_value", F.when(F.col("n") > 2, F.try_divide(F.col("slope"), error))).drop("sxx", "syy", "sxy")
 
 
+def fit_lm_pooled(df: DataFrame, y: str, x: str) -> DataFrame:
+    """fit_lm() over all rows, with the slope's two-sided p-value (Student's t with n - 2 degrees of freedom) by the normal solver of MLlib."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    known = df.select(F.col(y).cast("double").alias("__y"), F.col(x).cast("double").alias("__x")).where(F.col("__y").isNotNull() & F.col("__x").isNotNull())
+    rows = VectorAssembler(inputCols=["__x"], outputCol="__v").transform(known)
+    summary = LinearRegression(featuresCol="__v", labelCol="__y", solver="normal").fit(rows).summary
+    return fit_lm(df, y, x).withColumn("p_value", F.lit(float(summary.pValues[0])))
+
+
 def predict_lm(df: DataFrame, model: DataFrame, x: str, back: str | None = None) -> DataFrame:
     """Adds `pred` by a one-row model; back='exp-1': max(0, round(exp(pred) - 1, 2))."""
     out = df.crossJoin(F.broadcast(model.select("intercept", "slope")))  # one row
@@ -88,6 +101,14 @@ def forecast_summary(rows: DataFrame, key: str = "location") -> DataFrame:
     )
 
 
+def prospective_summary(fc: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """(location, forecast_date, target_date, horizon, mu, sigma, median_forecast, lower_95, upper_95) of forecasts (location, reference_date, h, mu, sigma, quantiles): the
+    median and the values at levels 0.025 and 0.975. `horizon` is h."""
+    at = lambda q: F.get("quantiles", F.lit(list(levels).index(q)))
+    ahead = F.date_add("reference_date", (F.col("h") * 7).cast("int"))
+    return fc.select("location", F.col("reference_date").alias("forecast_date"), ahead.alias("target_date"), F.col("h").alias("horizon"), "mu", "sigma", at(0.5).alias("median_forecast"), at(0.025).alias("lower_95"), at(0.975).alias("upper_95"))
+
+
 def error_statistics(errors: DataFrame, by: Sequence[str] = ("location", "h")) -> DataFrame:
     return errors.groupBy(*by).agg(F.avg("error").alias("mean"), F.stddev_pop("error").alias("std"), F.count("error").alias("n"))
 

@@ -32,9 +32,9 @@ def ensemble_weights(scores: DataFrame, models: DataFrame, as_of, lookback: int
     return rows.select("h", "model", F.coalesce(share, 1.0 / F.count("*").over(w)).alias("weight"))
 
 
-def rolling_weights(scores: DataFrame, lookback: int = 4, known_by_as_of: bool = False, models: Sequence[str] | None = None) -> DataFrame:
+def rolling_weights(scores: DataFrame, lookback: int = 4, known_by_as_of: bool = True, models: Sequence[str] | None = None) -> DataFrame:
     """(h, reference_date, model, weight) at every reference date, from the scores of the `lookback` reference dates before it. If any model has no score there, all are equal.
-    known_by_as_of: the window ends h reference dates back (weekly ones), where the target is known."""
+    known_by_as_of: the window ends h reference dates back (weekly ones), where the target is known; without it scores of targets that lie ahead count as well."""
     names = [r.model for r in scores.select("model").distinct().orderBy("model").collect()] if models is None else list(models)
     per = scores.groupBy("h", "reference_date").pivot("model", names).agg(F.sum("wis").alias("s"), F.count("wis").alias("n"))
     week = F.datediff("reference_date", F.lit("1970-01-01").cast("date")).cast("long")

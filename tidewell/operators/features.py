@@ -137,6 +137,13 @@ def detrended_std(df: DataFrame, y: str = "y", key: str = "location", date: str
     return df.withColumn("detrended_std", F.sqrt(left)).withColumn("n_seen", F.count(y).over(so_far)).drop("__t")
 
 
+def future_weeks(df: DataFrame, n: int = 4, key: str = "location", date: str = "date") -> DataFrame:
+    """(key, date, week_num): n weeks after the last one of each series, with their ISO week, for forecasts beyond the panel."""
+    last = df.groupBy(key).agg(F.max(date).alias("__d")).where("__d is not null")
+    rows = last.select(key, F.explode(F.sequence(F.date_add("__d", 7), F.date_add("__d", 7 * n), F.expr("interval 7 days"))).alias(date))
+    return rows.withColumn("week_num", iso_week(F.col(date)))
+
+
 def gap_check(df: DataFrame, key: str = "location", date: str = "date") -> DataFrame:
     """(gap, n): the differences in days between neighbouring rows and how often they occur."""
     return df.select(F.datediff(F.col(date), F.lag(date).over(series(key, date))).alias("gap")).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))

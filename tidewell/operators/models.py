@@ -75,8 +75,22 @@ def solve(xx: np.ndarray, xy: np.ndarray, ridge: float) -> np.ndarray:
     return np.einsum("rij,rj->ri", np.linalg.pinv(full, hermitian=True), xy)
 
 
+def determined(xx: np.ndarray, k: int, least: float = 1e-6) -> np.ndarray:
+    """Which rows' sums tell the coefficients apart without a penalty: each column varies, and the determinant of their correlations is above `least`."""
+    full = np.zeros((len(xx), k, k))
+    i, j = np.triu_indices(k)
+    full[:, i, j] = full[:, j, i] = xx
+    mean = full[:, 0, 1:] / np.maximum(full[:, :1, 0], 1e-12)
+    spread = full[:, 1:, 1:] / np.maximum(full[:, :1, :1], 1e-12) - mean[:, :, None] * mean[:, None, :]
+    own = np.einsum("rkk->rk", spread)
+    varies = (own > least * (1 + mean * mean)).all(axis=1)
+    root = np.sqrt(np.where(varies[:, None], own, 1.0))
+    return varies & (np.linalg.det(np.where(varies[:, None, None], spread, np.eye(k - 1)) / root[:, :, None] / root[:, None, :]) > least)
+
+
 def forecast_ar(df: DataFrame, p: int = 2, horizons: Sequence[int] = HORIZONS, ridge: float = 1e-8, log: bool = False, min_n: int = 10, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
-    """Autoregression of order p refitted at every date; on log(y + 1) if `log`; persistence with fewer than min_n + p fitted rows. Values are not negative."""
+    """Autoregression of order p refitted at every date; on log(y + 1) if `log`; persistence with fewer than min_n + p fitted rows, and, without
+    a penalty, where these don't determine the coefficients. Values are not negative."""
     df = df.withColumn(y, F.log1p(F.greatest(F.col(y), F.lit(0.0))) if log else F.col(y))
     w = series(key, date)
     past = {f"lag{k}": F.lag(y, k).over(w) for k in range(1, p + 1)}
@@ -92,6 +106,8 @@ def forecast_ar(df: DataFrame, p: int = 2, horizons: Sequence[int] = HORIZONS, r
             now = np.array([[np.nan if v is None else v for v in x] for x in b.now], float)
             coef = solve(np.stack(b.xx.to_numpy()), np.stack(b.xy.to_numpy()), ridge)
             known = (b.n.to_numpy() >= min_n + p) & ~np.isnan(now).any(axis=1)
+            if not ridge:
+                known &= determined(np.stack(b.xx.to_numpy()), p + 1)
             path, state = np.zeros((len(b), steps)), now.copy()
             for h in range(steps):
                 path[:, h] = coef[:, 0] + (coef[:, 1:] * state).sum(axis=1)
@@ -104,7 +120,7 @@ def forecast_ar(df: DataFrame, p: int = 2, horizons: Sequence[int] = HORIZONS, r
     return sums.mapInPandas(ahead, "location string, reference_date date, h int, point double")
 
 
-def select_order(df: DataFrame, candidates: Sequence[int] = (1, 2, 3), min_rows: int = 20, default: int = 1, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
+def select_order(df: DataFrame, candidates: Sequence[int] = (1, 2, 3), min_rows: int = 20, default: int = 1, ridge: float = 1e-8, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
     """(location, p): the order of least mean absolute one-step error over the first half of each series; `default` with fewer than min_rows rows."""
     from tidewell.operators.select import split_half
 
@@ -112,15 +128,24 @@ def select_order(df: DataFrame, candidates: Sequence[int] = (1, 2, 3), min_rows:
     truth = half.select(F.col(key).alias("location"), F.date_sub(date, 7).alias("reference_date"), F.col(y).alias("obs")).where("obs is not null")
     errors = None
     for p in candidates:
-        e = forecast_ar(half, p, (1,), key=key, date=date, y=y).join(truth, ["location", "reference_date"]).select("location", F.lit(p).alias("p"), F.abs(F.col("obs") - F.col("point")).alias("e"))
+        e = forecast_ar(half, p, (1,), ridge, key=key, date=date, y=y).join(truth, ["location", "reference_date"]).select("location", F.lit(p).alias("p"), F.abs(F.col("obs") - F.col("point")).alias("e"))
         errors = e if errors is None else errors.unionByName(e)
-    best = errors.groupBy("location", "p").agg(F.avg("e").alias("e")).groupBy("location").agg(F.min_by("p", F.struct("e", "p")).alias("best"))
+    best = errors.groupBy("location", "p").agg(F.avg("e").alias("e")).groupBy("location").agg(F.min_by("p", F.struct(F.round("e", 9), "p")).alias("best"))
     sizes = df.groupBy(F.col(key).alias("location")).agg(F.count(y).alias("n"))
     return sizes.join(best, "location", "left").select("location", F.when(F.col("n") >= min_rows, F.coalesce("best", F.lit(default))).otherwise(default).alias("p"))
 
 
+def with_covariates(df: DataFrame, selected: DataFrame, k: int = 3, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
+    """df with x1 to xk, the values on the same date of the series' covariate locations in `selected` (target, covariate, rank); 0 where there is none."""
+    other = df.select(F.col(key).alias("covariate"), F.col(date), F.col(y).alias("__x"))
+    pairs = selected.where(F.col("rank") <= k).select(F.col("target").alias(key), "covariate", "rank").join(other, "covariate")
+    wide = pairs.groupBy(key, date).agg(*(F.max(F.when(F.col("rank") == r, F.col("__x"))).alias(f"x{r}") for r in range(1, k + 1)))
+    return df.join(wide, [key, date], "left").fillna(0.0, subset=[f"x{r}" for r in range(1, k + 1)])
+
+
 def forecast_linear(df: DataFrame, features: Sequence[str], horizons: Sequence[int] = HORIZONS, ridge: float = 1e-3, min_n: int = 25, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
-    """Direct ridge regression of y on the features h rows before, refitted at every date on labels known by then; persistence with fewer than min_n rows."""
+    """Direct ridge regression of y on the features h rows before, refitted at every date on labels known by then; persistence with fewer than min_n rows, and,
+    without a penalty, where these don't determine the coefficients."""
     out = None
     w = series(key, date)
     for h in horizons:
@@ -136,6 +161,8 @@ def forecast_linear(df: DataFrame, features: Sequence[str], horizons: Sequence[i
                 coef = solve(np.stack(b.xx.to_numpy()), np.stack(b.xy.to_numpy()), ridge)
                 value = coef[:, 0] + (coef[:, 1:] * now).sum(axis=1)
                 known = (b.n.to_numpy() >= min_n) & np.isfinite(value)
+                if not ridge:
+                    known &= determined(np.stack(b.xx.to_numpy()), len(features) + 1)
                 point = np.maximum(np.where(known, value, b["last"].to_numpy()), 0.0)
                 yield pd.DataFrame({"location": b.location, "reference_date": b.reference_date, "h": h, "point": point})
 
@@ -151,15 +178,21 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(filled)
 
 
-def forecast_trees_mu(df: DataFrame, features: Sequence[str], h: int, cutoff, trees: int = 20, depth: int = 4, seed: int = 1, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
+def forecast_trees_mu(df: DataFrame, features: Sequence[str], h: int, cutoff, trees: int = 20, depth: int = 4, seed: int = 1, location_index: bool = True, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
     """One boosted-tree model of all series for y at h weeks, fitted on labels known by the cut-off, applied to every row: df with `mu` and, where known, `label`
-    and `label_date`."""
+    and `label_date`. location_index: the series' place by name among all is a feature (one row for each series is counted)."""
+    from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import GBTRegressor
 
+    if location_index:
+        df = StringIndexer(inputCol=key, outputCol="__location", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df.select(key)).transform(df)
+        features = [*features, "__location"]
+
     labels = label_at_horizon(df.select(key, date, y), (h,), key, date, y).select(key, date, "label", "label_date")
     rows = _vectors(df, features).join(labels, [key, date], "left")
     train = rows.where((F.col("label_date") <= F.lit(cutoff).cast("date")) & F.col("label").isNotNull())
-    model = GBTRegressor(featuresCol="__x", labelCol="label", predictionCol="mu", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
+    bins = max(32, df.select("__location").distinct().count() + 1) if location_index else 32  # a tree cuts between any two series only if it has so many bins
+    model = GBTRegressor(maxBins=bins, featuresCol="__x", labelCol="label", predictionCol="mu", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
     return model.transform(rows)
 
 
@@ -208,4 +241,4 @@ def tune(df: DataFrame, grid: Sequence[dict], cutoff, horizons: Sequence[int] =
         e = fc.join(truth, ["location", "__t"]).groupBy("location").agg(F.avg(F.abs(F.col("obs") - F.col("point"))).alias("mae"))
         e = e.select("location", F.lit(k).alias("k"), F.create_map(*(F.lit(x) for n, v in params.items() for x in (n, float(v)))).alias("params"), "mae")
         out = e if out is None else out.unionByName(e)
-    return out.groupBy("location").agg(F.min_by("params", F.struct("mae", "k")).alias("params"), F.min("mae").alias("mae"))
+    return out.groupBy("location").agg(F.min_by("params", F.struct(F.round("mae", 9), "k")).alias("params"), F.min("mae").alias("mae"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,13 +38,29 @@ def _shifted(point: Column, offsets: Column) -> Column:
     return F.transform(offsets, lambda e: F.greatest(F.lit(0.0), point + e))
 
 
+def _running_percentiles(group: pd.DataFrame) -> pd.DataFrame:
+    """Percentiles at LEVELS of the errors so far at each date of one series and lead. The errors so far are one sorted list, into which each new one is put at its place."""
+    rows, seen, at = group.sort_values("target_date"), [], np.array(LEVELS)
+    out = []
+    for e in rows.error:
+        if e == e:
+            insort(seen, e)
+        if not seen:
+            out.append(None)
+            continue
+        place = at * (len(seen) - 1)
+        low = np.floor(place).astype(int)
+        a, b = (np.fromiter(map(seen.__getitem__, x), float, len(at)) for x in (low, np.ceil(place).astype(int)))
+        out.append(np.where(a == b, a, (low + 1 - place) * a + (place - low) * b))
+    return pd.DataFrame({"location": rows.location, "h": rows.h, "reference_date": rows.target_date, "__q": out, "__n": rows.error.notna().cumsum()})
+
+
 def error_quantiles(fc: DataFrame, errors: DataFrame, min_n: int = 10, expanding: bool = True) -> DataFrame:
     """Point plus percentiles of the errors of the same location and lead; a normal of deviation max(0.25 |point|, 5) with fewer than min_n errors. `expanding`: only
     errors whose target date is at or before the reference date count; otherwise all. None is below 0."""
     levels = F.array(*map(F.lit, LEVELS))
     if expanding:
-        w = Window.partitionBy("location", "h").orderBy("target_date").rowsBetween(Window.unboundedPreceding, 0)
-        known = errors.select("location", "h", F.col("target_date").alias("reference_date"), F.percentile("error", levels).over(w).alias("__q"), F.count("error").over(w).alias("__n"))
+        known = errors.select("location", "h", "target_date", "error").groupBy("location", "h").applyInPandas(_running_percentiles, "location string, h int, reference_date date, __q array<double>, __n long")
         rows = fc.join(known, ["location", "h", "reference_date"], "left")
     else:
         known = errors.groupBy("location", "h").agg(F.percentile("error", levels).alias("__q"), F.count("error").alias("__n"))

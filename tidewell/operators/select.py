@@ -16,7 +16,8 @@ def filter_strata(df: DataFrame, **equals) -> DataFrame:
 
 
 def exclude_locations(df: DataFrame, names, key: str = "location") -> DataFrame:
-    return df.where(~F.col(key).isin(list(names)))
+    """Rows of other locations; those without a location stay."""
+    return df.where(~F.coalesce(F.col(key).isin(list(names)), F.lit(False)))
 
 
 def normalise_label(df: DataFrame, col: str, mapping: dict[str, str]) -> DataFrame:
@@ -25,9 +26,11 @@ def normalise_label(df: DataFrame, col: str, mapping: dict[str, str]) -> DataFra
     return df.withColumn(col, F.coalesce(table[F.col(col)], F.col(col)))
 
 
-def map_code(df: DataFrame, dim: DataFrame, key: str = "location", name: str = "location_name", code: str = "location_code", keep_unknown: bool = True) -> DataFrame:
-    """Adds `code` from a dimension (name, code); an unknown name keeps itself or gives null. The join is left to Spark, which broadcasts a small dimension by its size."""
+def map_code(df: DataFrame, dim: DataFrame, key: str = "location", name: str = "location_name", code: str = "location_code", keep_unknown: bool = True, drop_unknown: bool = False) -> DataFrame:
+    """Adds `code` from a dimension (name, code); an unknown name keeps itself or gives null, or its rows go (drop_unknown). The join is left to Spark, which broadcasts a small dimension by its size."""
     small = dim.select(F.col(name).alias(key), F.col(code).alias(code))
+    if drop_unknown:
+        return df.join(small, key).where(F.col(code).isNotNull())
     out = df.join(small, key, "left")
     return out.withColumn(code, F.coalesce(F.col(code), F.col(key))) if keep_unknown else out
 

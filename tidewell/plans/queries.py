@@ -185,10 +185,10 @@ _STITCH = {
 
 @query(_with("filled", "shipped", "population", **_STITCH, final=f"SELECT location, date, {_r('total', digits=4)} FROM cubic"))
 def stitch_panel(spark, sf_dir):
-    rate = filled(spark, sf_dir).withColumn("y", F.ln(F.col("y") + 1))
-    feed = shipped(spark, sf_dir)
+    panel = tables.stored(weekly_panel(spark, sf_dir), "weekly")
+    rate = impute.interpolate(impute.complete_weekly(panel)).withColumn("y", F.ln(F.col("y") + 1))
+    feed = tables.stored(shipped(spark, sf_dir), "shipped")
     modelled = impute.backfill_history(rate, feed.select("location", "date", F.ln(F.col("x") + 1).alias("x")))
-    panel = weekly_panel(spark, sf_dir)
     truth = panel.withColumnRenamed("y", "obs")
     people = population(spark, sf_dir).select("location", (F.col("population") * 1000).alias("population"))
     return _rounded(impute.stitch(modelled, truth, feed.select("location", "date", "share"), people, panel.withColumnRenamed("y", "total"), _CUT), 4)
@@ -379,12 +379,12 @@ def ar_p(spark, sf_dir):
 
 @query()
 def order_choice(spark, sf_dir):
-    return models.select_order(filled(spark, sf_dir))
+    return models.select_order(_panel(spark, sf_dir))
 
 
 @query()
 def tuned(spark, sf_dir):
-    return models.tune(filled(spark, sf_dir), [{"p": 1}, {"p": 2}, {"p": 4, "ridge": 1e-2}], "1999-06-05")
+    return models.tune(_panel(spark, sf_dir), [{"p": 1}, {"p": 2}, {"p": 4, "ridge": 1e-2}], "1999-06-05")
 
 
 @query()
@@ -395,7 +395,7 @@ def linear(spark, sf_dir):
 
 @query()
 def two_stage(spark, sf_dir):
-    rows = features.build_features(filled(spark, sf_dir), groups=("rolling", "season"))
+    rows = features.build_features(_panel(spark, sf_dir), groups=("rolling", "season"))
     return models.forecast_two_stage(rows, features.feature_names(rows) + ["y"], "1999-06-05")
 
 
@@ -417,11 +417,11 @@ _ERR = {
 
 @query(_with(
     "ar", "filled", "levels", **_ERR,
-    known=f"SELECT location, h, target_date, quantile_cont(error, {_QS}) OVER w AS qs, count(error) OVER w AS n FROM err WINDOW w AS (PARTITION BY location, h ORDER BY target_date ROWS UNBOUNDED PRECEDING)",
+    known=f"SELECT a.location, a.h, a.target_date, quantile_cont(b.error, {_QS}) AS qs, count(b.error) AS n FROM err a JOIN err b ON a.location = b.location AND a.h = b.h AND b.target_date <= a.target_date GROUP BY 1, 2, 3",
     final=f"SELECT a.location, a.reference_date, a.h, k, {_r('greatest(0, CASE WHEN n >= 10 THEN point + qs[k + 1] ELSE point + z * greatest(0.25 * abs(point), 5.0) END) AS value', digits=5)} FROM ar a LEFT JOIN known n ON n.location = a.location AND n.h = a.h AND n.target_date = a.reference_date, levels",
 ))
 def error_quantiles(spark, sf_dir):
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     fc = models.forecast_ar1(panel)
     return _levels_out(quantiles.error_quantiles(fc, quantiles.validation_errors(fc, panel)), 5)
 
@@ -445,7 +445,7 @@ def difference_quantiles(spark, sf_dir):
     final=f"SELECT a.location, a.reference_date, a.h, k, {_r('greatest(0, exp(ln(greatest(point, 0) + 1) + qs[k + 1]) - 1) AS value', digits=5)} FROM ar a JOIN own o ON o.location = a.location AND o.h = a.h, levels WHERE a.reference_date >= DATE '1999-06-05'",
 ))
 def residual_quantiles(spark, sf_dir):
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     fc = models.forecast_ar1(panel)
     early, late = fc.where("reference_date < '1999-06-05'"), fc.where("reference_date >= '1999-06-05'")
     resid = quantiles.scaled_residuals(quantiles.validation_errors(early, panel))
@@ -456,7 +456,7 @@ def residual_quantiles(spark, sf_dir):
 
 @query(_with("ar", "filled", **_ERR, final=f"SELECT location, h, {_r('avg(error) AS mean', 'stddev_pop(error) AS std', digits=5)}, count(error) AS n, {_r('CASE WHEN count(*) >= 5 THEN quantile_cont(error, 0.5) ELSE 0 END AS bias', 'avg(abs(error)) AS mae', digits=5)} FROM err GROUP BY 1, 2"))
 def error_statistics(spark, sf_dir):
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     errors = quantiles.validation_errors(models.forecast_ar1(panel), panel)
     out = aggregates.error_statistics(errors).join(aggregates.median_bias(errors), ["location", "h"]).join(scoring.mae(errors, ["location", "h"]), ["location", "h"])
     return _rounded(out, 5)
@@ -473,7 +473,7 @@ _BLEND = {
 
 @query(_with("ar", "filled", **_ERR, **_BLEND, final=f"SELECT location, h, n, {_r('bias')}, {_r('CASE WHEN n >= 20 THEN alpha ELSE 1.0 END AS alpha')} FROM bias JOIN best USING (location, h)"))
 def bias_blend(spark, sf_dir):
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     errors = quantiles.validation_errors(models.forecast_ar1(panel), panel)
     rows = errors.join(panel.select("location", F.col("date").alias("anchor"), F.col("y").alias("last")), ["location", "anchor"])
     return _rounded(models.calibrate_bias_blend(rows))
@@ -481,17 +481,28 @@ def bias_blend(spark, sf_dir):
 
 @query(_with("fc", "levels", final=f"SELECT reference_date, CAST(h - 1 AS INTEGER) AS horizon, 'wk inc' AS target, CAST(target_end_date AS DATE) AS target_end_date, location, 'quantile' AS output_type, q AS output_type_id, {_r('greatest(0, point + z * sigma) AS value', digits=5)} FROM fc, levels WHERE model = 'ar1'"))
 def forecast_table(spark, sf_dir):
-    return _rounded(select.format_forecast(views.forecasts(filled(spark, sf_dir)).where("model = 'ar1'")), 5)
+    return _rounded(select.format_forecast(views.forecasts(_panel(spark, sf_dir)).where("model = 'ar1'")), 5)
 
 
 # ---------------------------------------------------------------------------------------------- scores and ensembles
 
 
+def _panel(spark, sf_dir) -> DataFrame:
+    """The filled panel, stored: for queries that use it several times."""
+    return tables.stored(filled(spark, sf_dir), "panel")
+
+
 def _scores(spark, sf_dir, variant="weighted_sum", with_components=False) -> DataFrame:
-    panel = filled(spark, sf_dir)
+    """Scored forecasts of three models."""
+    panel = _panel(spark, sf_dir)
     return scoring.wis(views.forecasts(panel), panel, variant, with_components)
 
 
+def _stored_scores(spark, sf_dir) -> DataFrame:
+    """The same without quantiles, stored: for queries that use them several times."""
+    return tables.stored(_scores(spark, sf_dir).drop("quantiles"), "scores")
+
+
 _KEYS = ("model", "location", "reference_date", "h")
 
 
@@ -522,7 +533,7 @@ _GEO = "exp(avg(CASE WHEN round(wis, 6) > 0 THEN ln(round(wis, 6)) END))"  # rou
 
 @query(_with("wis", geo=f"SELECT h, model, {_GEO} AS g, avg(wis) AS m FROM wis GROUP BY 1, 2", final=f"SELECT a.h, a.model, {_r('a.g AS geo_wis', 'b.g AS base_wis', 'a.g / b.g AS relative_wis', 'a.m AS mean_wis', digits=5)} FROM geo a JOIN geo b ON a.h = b.h AND b.model = 'persistence'"))
 def relative_wis(spark, sf_dir):
-    scores = _scores(spark, sf_dir).withColumn("wis", F.round("wis", 6))
+    scores = _stored_scores(spark, sf_dir).withColumn("wis", F.round("wis", 6))
     return _rounded(scoring.relative_wis(scores, "persistence").join(scoring.mean_wis(scores, ["h", "model"]), ["h", "model"]), 5)
 
 
@@ -543,7 +554,7 @@ _ASOF = "1999-06-05"
     final=f"SELECT m.h, m.model, {_r('coalesce(coalesce(1 / s.score, 0) / nullif(sum(1 / s.score) OVER (PARTITION BY m.h), 0), 1.0 / count(*) OVER (PARTITION BY m.h)) AS weight')} FROM m LEFT JOIN s ON m.h = s.h AND m.model = s.model",
 ))
 def ensemble_weights(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
+    scores = _stored_scores(spark, sf_dir)
     return _rounded(ensemble.ensemble_weights(scores, scores.select("h", "model").distinct(), _ASOF))
 
 
@@ -557,7 +568,7 @@ _ROLL = {
 
 @query(_with("wis", **_ROLL, final=f"SELECT h, reference_date, model, {_r('weight')} FROM weights"))
 def rolling_weights(spark, sf_dir):
-    return _rounded(ensemble.rolling_weights(_scores(spark, sf_dir), 4, models=("ar1", "persistence", "seasonal")))
+    return _rounded(ensemble.rolling_weights(_stored_scores(spark, sf_dir), 4, False, models=("ar1", "persistence", "seasonal")))
 
 
 def _long(fc: DataFrame) -> DataFrame:
@@ -571,9 +582,9 @@ def _long(fc: DataFrame) -> DataFrame:
     final=f"SELECT h, reference_date, CAST(target_end_date AS DATE) AS target_end_date, location, q AS output_type_id, {_r('coalesce(sum(value * weight) FILTER (WHERE weight > 0) / nullif(sum(weight) FILTER (WHERE weight > 0), 0), avg(value)) AS value', digits=5)}, CAST(h - 1 AS INTEGER) AS horizon FROM lg GROUP BY 1, 2, 3, 4, 5",
 ))
 def ensemble_combine(spark, sf_dir):
-    panel = filled(spark, sf_dir)
-    fc = views.forecasts(panel)
-    weights = ensemble.rolling_weights(scoring.wis(fc, panel), 4, models=("ar1", "persistence", "seasonal"))
+    panel = _panel(spark, sf_dir)
+    fc = tables.stored(views.forecasts(panel), "forecasts")
+    weights = ensemble.rolling_weights(scoring.wis(fc, panel), 4, False, models=("ar1", "persistence", "seasonal"))
     out = ensemble.ensemble_combine(_long(fc), weights, ("h", "reference_date", "model"))
     return _rounded(out.drop("target", "output_type", "model"), 5)
 
@@ -586,7 +597,7 @@ def ensemble_combine(spark, sf_dir):
     final=f"SELECT h, model, {_r('g AS geo_wis', 'g / max(CASE WHEN model = ' + chr(39) + 'persistence' + chr(39) + ' THEN g END) OVER (PARTITION BY h) AS relative_wis', digits=5)} FROM geo",
 ))
 def evaluation_report(spark, sf_dir):
-    return _rounded(ensemble.evaluate(_scores(spark, sf_dir).withColumn("wis", F.round("wis", 6)), "persistence", "1998-01-03", ["NATION_5"]), 5)
+    return _rounded(ensemble.evaluate(_stored_scores(spark, sf_dir).withColumn("wis", F.round("wis", 6)), "persistence", "1998-01-03", ["NATION_5"]), 5)
 
 
 _Q = {n: z_values()[LEVELS.index(q)] for n, q in ensemble.BANDS.items()}
@@ -594,13 +605,13 @@ _Q = {n: z_values()[LEVELS.index(q)] for n, q in ensemble.BANDS.items()}
 
 @query(_with("fc", last="SELECT location, max(date) AS d FROM filled GROUP BY 1", final="SELECT location, reference_date, CAST(target_end_date AS DATE) AS target_end_date, " + ", ".join(_r(f"greatest(0, point + {z!r} * sigma) AS {n}", digits=5) for n, z in _Q.items()) + " FROM fc JOIN last USING (location) WHERE model = 'persistence' AND target_end_date > d"))
 def fan_chart(spark, sf_dir):
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     return _rounded(ensemble.fan_chart(_long(views.forecasts(panel).where("model = 'persistence'")), panel), 5)
 
 
 @query(_with("scored", final=f"SELECT location, count(*) AS n_forecasts, {_r('avg(obs) AS actual_mean', 'stddev_pop(obs) AS actual_std', 'avg(point) AS model_median_mean', 'avg(base) AS baseline_median_mean', digits=5)}, min(reference_date) AS first_date, max(reference_date) AS last_date FROM (SELECT s.*, f.y AS base FROM scored s JOIN filled f ON f.location = s.location AND f.date = s.reference_date WHERE model = 'ar1' AND h = 1) GROUP BY 1"))
 def forecast_summary(spark, sf_dir):
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     rows = joins.attach_truth(views.forecasts(panel).where("model = 'ar1' AND h = 1"), panel)
     base = panel.select("location", F.col("date").alias("reference_date"), F.col("y").alias("baseline_median"))
     rows = rows.join(base, ["location", "reference_date"]).select("location", F.col("reference_date").alias("date"), "obs", F.col("point").alias("model_median"), "baseline_median")
@@ -610,7 +621,7 @@ def forecast_summary(spark, sf_dir):
 @query(_with("wis", final=f"SELECT location, h, {_r('avg(wis) AS mean_wis', digits=5)} FROM wis WHERE model = 'persistence' GROUP BY 1, 2"))
 def baseline_scores(spark, sf_dir):
     """The minimum slice: weekly panel, completed and filled, persistence quantiles, scored."""
-    panel = filled(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     fc = quantiles.baseline_quantiles(panel).withColumn("target_end_date", F.date_add("reference_date", F.col("h") * 7))
     return _rounded(scoring.mean_wis(scoring.wis(fc, panel), ["location", "h"]), 5)
 
@@ -631,3 +642,6 @@ def backtest_anchors(spark, sf_dir):
 @query(_with("filled", final=f"SELECT a.location, a.date, {_r('a.y AS y')}, CAST(3 AS INTEGER) AS h, b.date AS label_date, {_r('b.y AS label')}, CASE WHEN b.date <= DATE '1998-01-03' THEN 'train' ELSE 'test' END AS split FROM filled a JOIN filled b ON b.location = a.location AND b.date = a.date + 21 WHERE b.date <= DATE '1998-01-03' OR a.date > DATE '1998-01-03'"))
 def assemble_rows(spark, sf_dir):
     return _rounded(backtest.assemble(filled(spark, sf_dir), 3, "1998-01-03"))
+
+
+from tidewell.plans import more_queries  # noqa: E402, F401 (registers its queries)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewell.functions.calendar import mmwr_to_date
@@ -13,10 +16,31 @@ from tidewell.functions.numeric import number_of
 
 LOCATIONS = "abbreviation string, location string, location_name string, population long, count_rate1per100k long, count_rate2per100k long"
 PANEL = "date date, location_name string, ili double, pred_hosp double, true_hosp double, scale_factor double, population long, prelim_hosp double, total_hosp double"
+PARAMS = "location string, h int, params map<string, double>, lags array<int>, residuals array<double>, residual_scale string, bias double, alpha double"
 FORECAST = ("reference_date", "horizon", "target", "target_end_date", "location", "output_type", "output_type_id", "value")
 _FORECAST_TYPES = ("date", "int", "string", "date", "string", "string", "double", "double")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Without that setting a local master gets a folder of its own; a cluster is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once into a Parquet table of the shared folder and read from there: what several steps use is read, not computed anew, and a lost executor costs its
+    tasks only."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_locations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOCATIONS).option("header", True).csv(path)
 
@@ -102,17 +126,19 @@ def write_panel(panel: DataFrame, root: str, as_of: str) -> None:
 
 
 def write_forecasts(fc: DataFrame, root: str) -> None:
-    """Eight columns in fixed order, partitioned by model and h; rows of a partition go through several tasks, by location, so no writer gets all of a model."""
+    """Eight columns in fixed order, partitioned by model and h; Spark deals the rows of a partition to as many writers as their size asks for."""
     rows = fc.select(*FORECAST, "model", "h")
-    rows.repartition("model", "h", F.pmod(F.xxhash64("location"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "h").parquet(root)
+    rows.hint("rebalance", F.col("model"), F.col("h")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "h").parquet(root)
 
 
 def write_params(params: DataFrame, root: str) -> None:
-    params.write.mode("overwrite").parquet(root)
+    """One row for each (location, h), columns as in PARAMS; those that are missing are null."""
+    fields = T.StructType.fromDDL(PARAMS).fields
+    params.select(*((F.col(f.name) if f.name in params.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(root)
 
 
 def read_params(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root)
+    return spark.read.schema(PARAMS).parquet(root)
 
 
 def validate_params(params: DataFrame, required: Sequence[str] = ("p", "ridge"), lags: str | None = "lags") -> DataFrame:
