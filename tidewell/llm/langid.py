@@ -150,7 +150,10 @@ def learn(docs: DataFrame) -> Model:
     counts = drawn.select("place", "text").mapInPandas(count, "place int, n int, entry string, count long").groupBy("n", "entry", "place").agg(F.sum("count").alias("count"))
     found = counts.orderBy("n", "entry", "place").toArrow()  # of the bounded sample
     n, entries, places, sums = (found.column(c).combine_chunks() if found.num_rows else found.column(c) for c in ("n", "entry", "place", "count"))
-    return Model.of([r.lang for r in sizes], np.asarray(n, np.int64), np.asarray(entries.to_pylist(), object), np.asarray(places, np.int32), np.asarray(sums, np.int64))
+    model = Model.of([r.lang for r in sizes], np.asarray(n, np.int64), np.asarray(entries.to_pylist(), object), np.asarray(places, np.int32), np.asarray(sums, np.int64))
+    del found, n, entries, places, sums
+    trim()
+    return model
 
 
 def _scorer(shared) -> Scorer:

@@ -4,8 +4,8 @@ Documents longer than a sequence are cut into full pieces; their first piece is
 dealt at random into cells of about CELL pieces, and each cell is a bin-packing problem of bounded size, however large the table or any document group is. For each cell
 some islands evolve populations of packings apart from each other, as separate rows of a Spark job; after each round an island's best packing migrates to the next
 island of its cell. The WORST least filled sequences of every cell then meet those of other cells in new cells, level by level until one cell is left, so that a cell's
-last sequence doesn't stay half empty. Best fit by falling length often needs no more sequences than the lengths force; then a cell is done at once, and the search
-works where it does not.
+last sequence doesn't stay half empty. Best fit by falling length often needs no more sequences than the lengths force, and one more that the next level takes back;
+then a cell is done at once, and the search works where it is not, and in the last cell.
 """
 
 from __future__ import annotations
@@ -191,13 +191,14 @@ def _start(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell": group.cell.iloc[0], "island": range(ISLANDS), "lengths": lengths, "keys": keys, "kind": "own", "packings": [known for _ in range(ISLANDS)]})
 
 
-def _round(capacity: int, turn: int):
+def _round(capacity: int, turn: int, spare: int):
     def step(group: pd.DataFrame) -> pd.DataFrame:
-        """One island's round: its own packings (in the first round, new ones) and the migrant evolve; then its best goes on to the next island as well."""
+        """One island's round: its own packings (in the first round, new ones) and the migrant evolve; then its best goes on to the next island as well. A packing with
+        `spare` sequences more than the lengths force is good enough."""
         own, cell, island = group[group.kind == "own"].iloc[0], int(group.cell.iloc[0]), int(group.island.iloc[0])
         lengths = np.frombuffer(own.lengths, "<i4")
         packer = Packer(lengths, capacity, (cell * ISLANDS + island) * 1000 + turn)
-        least = -(-int(lengths.sum()) // capacity)
+        least = -(-int(lengths.sum()) // capacity) + spare
         population = [_unpack(p) for p in own.packings]
         if turn == 0:
             for k in range(POPULATION):
@@ -240,7 +241,7 @@ def pack(table: DataFrame, capacity: int) -> DataFrame:
         cells = max(1, round(count / CELL))
         state = items.withColumn("cell", F.pmod(F.xxhash64(F.coalesce("sequence_id", "piece_key"), F.lit(level)), F.lit(cells))).groupBy("cell").applyInPandas(_start, STATE)
         for turn in range(ROUNDS):
-            state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn), STATE)
+            state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn, int(cells > 1)), STATE)  # what a cell spares, the next level takes back
         done = written(state.groupBy("cell").applyInPandas(_result(level), "piece_key long, sequence_id long, offset long, length int, more boolean"), "placed")
         final = (done.where("not more") if cells > 1 else done).select("piece_key", "sequence_id", "offset")
         placed = final if placed is None else placed.unionByName(final)

@@ -17,7 +17,7 @@ import numpy as np
 
 from tidewell.llm.common import held
 
-#: Pieces kept by a worker (about 40 MB); beyond it the cache starts anew.
+#: Pieces of a generation of the cache (about 40 MB). When one is full the one before goes, so a worker keeps two at most, and what is in use stays.
 CACHE = 200_000
 #: Characters about whose class all Unicode tables agree: printable ASCII, Latin letters, common punctuation.
 _KNOWN = r"\n\x20-\x7e¡-¬®-įı-ſ–—‘’“”…•€"
@@ -44,11 +44,16 @@ class _Pieces(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model = model
+        self.model, self.old = model, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
+        ids = self.old.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         name = piece.replace(" ", _NAMES[32]).replace("\n", _NAMES[10]) if piece.isascii() else "".join(map(_NAMES.__getitem__, piece.encode()))
         ids = array("H", [t.id for t in self.model.tokenize(name)]).tobytes()
         self[piece] = ids
