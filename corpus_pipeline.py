@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", rules), ("near duplicates", near_duplicates), ("mixture", mixture), ("packing", packed)]
 
-#: SQL can't express the language model, the random field and the packing; tests hold each stage against brute force.
+#: SQL can't express the language model, the random field and the packing; tests hold the operators against brute force, and the stages by counts and odd rows.
 ORACLE_SQL = None
 
 
