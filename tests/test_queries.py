@@ -8,7 +8,7 @@ from tidewell.plans import queries as plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-HEAVY = {"two_stage", "tuned", "order_choice", "build_features"}
+APART = {"two_stage"}  # has a test of its own below
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_against_sql(spark, duck, name):
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, rtol=1e-9, atol=1.1e-4)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - APART))
 def test_has_rows(spark, name):
     assert plans.QUERIES[name](spark, DIR).count() > 0
 
