@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import chunks, trimmed, utf8
+from tidewell.llm.jpeg import brightness
 
 SIDE, RATE = 24, 25
 FRAME = SIDE * SIDE
@@ -129,14 +130,30 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
     return rate, [data[movie + a + 8 : movie + a + 8 + s] for a, s in zip(index["at"].tolist(), index["size"].tolist(), strict=True)]
 
 
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """For each frame (n, samples) the share of its samples in each of HISTOGRAM classes."""
+    n = len(frames)
+    flat = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * HISTOGRAM
+    return np.bincount(flat.ravel(), minlength=n * HISTOGRAM).reshape(n, HISTOGRAM) / max(frames.shape[1], 1)
+
+
+def image_histograms(images: list[bytes]) -> np.ndarray:
+    """The histograms of JPEG images: those written here all at once, baseline images one by one, so that memory holds one of them; ValueError for any other."""
+    if all(x.startswith(HEADER) for x in images):
+        return histograms(decode_frames(images))
+    return np.concatenate([histograms((decode_frames([x]) if x.startswith(HEADER) else brightness(x)).reshape(1, -1)) for x in images])
+
+
 def cuts(frames: np.ndarray) -> list[int]:
+    """shot_starts() of frames (n, samples)."""
+    return shot_starts(histograms(frames)) if len(frames) else []
+
+
+def shot_starts(shares: np.ndarray) -> list[int]:
     """Frames at which a shot begins, 0 left out: the histogram differs from the one before by far more than those of the last WINDOW frames did. The first
     difference has none before it and needs LEAST only."""
-    n = len(frames)
-    if n < 2:
+    if len(shares) < 2:
         return []
-    flat = (frames >> 4).astype(np.int64) + np.arange(n)[:, None] * HISTOGRAM
-    shares = np.bincount(flat.ravel(), minlength=n * HISTOGRAM).reshape(n, HISTOGRAM) / FRAME
     diff = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
     one, two = (np.concatenate(([0], np.cumsum(x))) for x in (diff, diff * diff))
     at = np.arange(len(diff))
@@ -168,8 +185,8 @@ def to_media(df: DataFrame, payload: Column, name: str = "media") -> DataFrame:
 
 
 def clips(df: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """A row for each shot of each file: key, clip, first_frame, n_frames, start_s, end_s, error. A file that can't be read gives one row with its error; a null
-    file none."""
+    """A row for each shot of each file: key, clip, first_frame, n_frames, start_s, end_s, error. Frames may be those written here or
+    baseline images of any size. A file that can't be read gives one row with its error; a null file none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,8 +194,8 @@ def clips(df: DataFrame, key: str, media: str = "media") -> DataFrame:
             for k, data in zip(batch.key, batch.media, strict=True):
                 try:
                     rate, images = read_avi(bytes(data))
-                    frames = np.concatenate([decode_frames(images[lo : lo + RUN]) for lo in range(0, len(images), RUN)])
-                    edges = [0, *cuts(frames), len(frames)]
+                    shares = np.concatenate([image_histograms(images[lo : lo + RUN]) for lo in range(0, len(images), RUN)])
+                    edges = [0, *shot_starts(shares), len(shares)]
                     rows += [(k, n, lo, hi - lo, lo / rate, hi / rate, None) for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
                 except (ValueError, struct.error) as e:
                     rows.append((k, None, None, None, None, None, str(e)))
