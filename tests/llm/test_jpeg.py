@@ -10,8 +10,25 @@ from tidewell.llm import jpeg, media
 AC = [0, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 11))]
 
 
-def coded(planes: list[np.ndarray], shape: tuple[int, int], factors: list[tuple[int, int]], every: int = 0) -> bytes:
-    """All code words have one length: 4 bits for the first coefficient, 8 for the others."""
+#: Own tables: all code words have one length, 4 bits for the first coefficient, 8 for the others.
+OWN = {0: (bytes([0, 0, 0, 12, *[0] * 12]), bytes(range(12))), 16: (bytes([*[0] * 7, len(AC), *[0] * 8]), bytes(AC))}
+
+
+def words(counts: bytes, symbols: bytes) -> dict[int, str]:
+    """Code words in rising order, one bit more for each length."""
+    out, code, at = {}, 0, 0
+    for size, n in enumerate(counts, 1):
+        for s in symbols[at : at + n]:
+            out[s] = format(code, f"0{size}b")
+            code += 1
+        at, code = at + n, code << 1
+    return out
+
+
+def coded(planes: list[np.ndarray], shape: tuple[int, int], factors: list[tuple[int, int]], every: int = 0, own: bool = True) -> bytes:
+    """An image with tables of its own, or with the standard ones left out (components after the first use table 1)."""
+    place = lambda c: 0 if own or not c else 1
+    table = {p: words(*(OWN[p] if own else jpeg.standard(p))) for p in ((0, 16) if own else (0, 1, 16, 17))}
     units = -(-shape[0] // (8 * factors[0][1])), -(-shape[1] // (8 * factors[0][0]))
     segments, bits, last = [], "", [0] * len(planes)
 
@@ -34,38 +51,46 @@ def coded(planes: list[np.ndarray], shape: tuple[int, int], factors: list[tuple[
                 f = np.rint(jpeg.COSINE @ (plane[r : r + 8, q : q + 8].astype(float) - 128) @ jpeg.COSINE.T / 2).astype(int).ravel()[jpeg.ZIGZAG]
                 s, tail = number(int(f[0]) - last[c])
                 last[c], run = int(f[0]), 0
-                bits += format(s, "04b") + tail
+                bits += table[place(c)][s] + tail
                 for z in f[1:].tolist():
                     if not z:
                         run += 1
                         continue
                     while run > 15:
-                        bits, run = bits + format(AC.index(0xF0), "08b"), run - 16
+                        bits, run = bits + table[16 + place(c)][0xF0], run - 16
                     s, tail = number(z)
-                    bits, run = bits + format(AC.index(run << 4 | s), "08b") + tail, 0
+                    bits, run = bits + table[16 + place(c)][run << 4 | s] + tail, 0
                 if run:
-                    bits += format(AC.index(0), "08b")
+                    bits += table[16 + place(c)][0]
     close()
     part = lambda mark, body: bytes([255, mark]) + struct.pack(">H", len(body) + 2) + body
     n = len(planes)
     head = part(0xDB, bytes([0] + [2] * 64)) + part(0xC0, struct.pack(">BHHB", 8, *shape, n) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(factors)))
-    head += part(0xC4, bytes([0, 0, 0, 0, 12, *[0] * 12, *range(12)])) + part(0xC4, bytes([16, *[0] * 7, len(AC), *[0] * 8, *AC]))
-    head += (part(0xDD, struct.pack(">H", every)) if every else b"") + part(0xDA, bytes([n, *(b for c in range(n) for b in (c + 1, 0)), 0, 63, 0]))
+    head += b"".join(part(0xC4, bytes([p]) + counts + symbols) for p, (counts, symbols) in OWN.items()) if own else b""
+    head += (part(0xDD, struct.pack(">H", every)) if every else b"") + part(0xDA, bytes([n, *(b for c in range(n) for b in (c + 1, place(c) * 17)), 0, 63, 0]))
     return b"\xff\xd8" + head + b"".join(s + (bytes([255, 0xD0 + k % 8]) if k + 1 < len(segments) else b"") for k, s in enumerate(segments)) + b"\xff\xd9"
 
 
-@pytest.mark.parametrize("every", [0, 2])
-def test_baseline_images(every):
+@pytest.mark.parametrize(("every", "own"), [(0, True), (2, True), (0, False), (3, False)])
+def test_baseline_images(every, own):
     rng = np.random.default_rng(3)
     grey = rng.integers(0, 256, (32, 40), dtype=np.uint8)
-    got = jpeg.brightness(coded([grey], (27, 37), [(1, 1)], every))
+    got = jpeg.brightness(coded([grey], (27, 37), [(1, 1)], every, own))
     assert got.shape == (27, 37) and np.abs(got.astype(int) - grey[:27, :37]).max() <= 8
     smooth = np.add.outer(np.arange(32), 3 * np.arange(48)).astype(np.uint8)
     colour = rng.integers(0, 256, (2, 16, 24), dtype=np.uint8)
-    got = jpeg.brightness(coded([smooth, *colour], (30, 45), [(2, 2), (1, 1), (1, 1)], every))
+    got = jpeg.brightness(coded([smooth, *colour], (30, 45), [(2, 2), (1, 1), (1, 1)], every, own))
     assert got.shape == (30, 45) and np.abs(got.astype(int) - smooth[:30, :45]).max() <= 8
 
 
+def test_standard_tables():
+    for p in (16, 17):
+        counts, symbols = jpeg.standard(p)
+        assert sum(counts) == 162 and sorted(symbols) == sorted(AC)
+    for p in (0, 1, 16, 17):  # complete but for the word of ones only, as the format asks
+        assert sum(n << (16 - k) for k, n in enumerate(jpeg.standard(p)[0], 1)) < 1 << 16
+
+
 def test_broken_images():
     image = coded([np.full((16, 16), 77, np.uint8)], (16, 16), [(1, 1)])
     assert (jpeg.brightness(image) == 77).all()

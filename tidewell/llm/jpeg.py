@@ -5,6 +5,7 @@ Only entropy decoding goes coefficient by coefficient; dequantisation and the in
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -17,6 +18,30 @@ COSINE = np.cos((2 * _K[None] + 1) * _K[:, None] * np.pi / 16) * np.where(_K[:,
 _SCAN_END, _RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]"), re.compile(rb"\xff[\xd0-\xd7]")
 
 
+_DC = bytes(range(12))
+_AC = {0, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}
+# The code tables that motion-JPEG files leave out (the standard's examples): code words of each length, and the symbols of those shorter than 16 bits.
+_DC_COUNTS = (bytes.fromhex("00010501010101010100000000000000"), bytes.fromhex("00030101010101010101010000000000"))
+_AC_COUNTS = (bytes.fromhex("0002010303020403050504040000017d"), bytes.fromhex("00020102040403040705040400010277"))
+_AC_SHORT = (
+    bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+)
+
+
+def standard(place: int) -> tuple[bytes, bytes]:
+    """Counts by length and symbols of the table that place (0, 1: first coefficients; 16, 17: others) has where a file gives none."""
+    which = place & 15
+    if place < 16:
+        return _DC_COUNTS[which], _DC
+    return _AC_COUNTS[which], _AC_SHORT[which] + bytes(sorted(_AC - set(_AC_SHORT[which])))
+
+
+@functools.cache
+def _standard(place: int) -> tuple[list[int], list[int]]:
+    return _huffman(*standard(place))
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data + b"\0" * 8, 0, 8 * len(data)
@@ -73,7 +98,7 @@ def _block(bits: _Bits, dc, ac, before: int) -> tuple[int, list[tuple[int, int]]
 
 def brightness(image: bytes) -> np.ndarray:
     """The samples (height, width), uint8, of the first component of a baseline JPEG image: the brightness, at that component's own resolution. Any size, sampling,
-    tables, restart intervals and order of scans; ValueError for other processes, images without code tables of their own, and broken ones."""
+    tables (where it gives none: the standard ones), restart intervals and order of scans; ValueError for other processes and broken images."""
     try:
         return _decode(image)
     except (IndexError, KeyError, TypeError) as e:
@@ -118,7 +143,8 @@ def _decode(image: bytes) -> np.ndarray:
                 raise ValueError("scan before frame header")
             end = _SCAN_END.search(image, at)
             data, at = image[at : end.start() if end else len(image)], end.start() if end else len(image)
-            tables = [(body[k], codes[body[k + 1] >> 4], codes[16 | body[k + 1] & 15]) for k in range(1, 1 + 2 * body[0], 2)]
+            pairs = [(body[k], body[k + 1] >> 4, 16 | body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2)]
+            tables = [(c, codes.get(dc) or _standard(dc), codes.get(ac) or _standard(ac)) for c, dc, ac in pairs]
             if frame[2] in [t[0] for t in tables]:
                 return _scan(data, tables, frame, quant, every)
     raise ValueError("no scan of the first component")

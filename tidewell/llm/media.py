@@ -126,7 +126,10 @@ def read_avi(data: bytes) -> tuple[int, list[bytes]]:
         at += 8 + size + (size & 1)
     if movie is None or index is None:
         raise ValueError("no frames or no index")
-    index = index[index["name"] == b"00dc"]
+    index = index[np.isin(index["name"], [b"00dc", b"00db"])]
+    if len(index):  # places count from the list's name, in some files from the start of the file
+        first = int(index["at"][0])
+        movie = 0 if data[movie + first : movie + first + 4] != index["name"][0] else movie
     return rate, [data[movie + a + 8 : movie + a + 8 + s] for a, s in zip(index["at"].tolist(), index["size"].tolist(), strict=True)]
 
 
