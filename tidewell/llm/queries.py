@@ -78,11 +78,33 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.runs import digest, periodic_runs, with_periodic_tails
+
+    return digest(periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents"))))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.privacy import personal_spans, report
+
+    return report(personal_spans(_table(spark, sf_dir, "documents")))
+
+
 def _sql() -> dict[str, str]:
     from tidewell.llm.mixing import SQL
 
     return {"op10_mixture": SQL}
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_packing, op4_media, op5_main_text, op6_near_duplicates, op7_quality, op8_shards, op9_licenses, op10_mixture)}
+_FUNCTIONS = (
+    op1_language, op2_records, op3_packing, op4_media, op5_main_text, op6_near_duplicates, op7_quality, op8_shards, op9_licenses, op10_mixture,
+    op11_runs, op12_spelling, op13_personal,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
 ORACLE_SQL = _sql()
