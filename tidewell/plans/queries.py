@@ -644,4 +644,4 @@ def assemble_rows(spark, sf_dir):
     return _rounded(backtest.assemble(filled(spark, sf_dir), 3, "1998-01-03"))
 
 
-from tidewell.plans import more_queries  # noqa: E402, F401 (registers its queries)
+from tidewell.plans import model_queries, more_queries  # noqa: E402, F401 (register their queries)
