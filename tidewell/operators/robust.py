@@ -1,7 +1,8 @@
 """Robust direct regressions at every anchor date: large errors pull linearly, not quadratically.
 
 Weights are found by steps. In each, a row's error under the coefficients of the step before, as they stood before that row, decides what the row counts; weighted sums over the
-rows so far then give this step's coefficients. A row's weight rests on earlier rows only, so one pass in order of date makes all steps for all anchors, and nothing is refitted.
+rows so far then give this step's coefficients. A row's weight rests on earlier rows only (that of the first rows, before there are forecasts, on all of those), so one pass in order
+of date makes all steps for all anchors, and nothing is refitted.
 """
 
 from __future__ import annotations
@@ -52,28 +53,43 @@ def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, fine: np.ndarray, starts: np.ndarray, carried: dict | None, ridge: float, steps: int, bend: float, min_n: int) -> tuple[np.ndarray, np.ndarray, dict]:
-    """(rows so far, coefficients at each row, what goes on into the next block); `fine` are the rows that count."""
+    """(rows so far, coefficients at each row, what goes on into the next block); `fine` are the rows that count. A series' first min_n rows are weighed together, by the coefficients at
+    the last of them; a series that ends the block with fewer hands its rows on."""
+    held = 0
+    if carried and "rows" in carried:
+        px, py = carried["rows"]
+        held, carried = len(py), None
+        x, y, fine, starts = np.concatenate([px, x]), np.concatenate([py, y]), np.concatenate([np.ones(held, bool), fine]), np.append(0, starts[1:] + held)
     had = carried or {"count": None, "coef": [None] * steps, "scale": [None] * steps, "sums": [None] * (steps + 1)}
     count = running(fine.astype(float), starts, had["count"])
+    own = np.searchsorted(starts, np.arange(len(y)), "right") - 1
+    first = fine & (count <= min_n)
+    full = np.full(len(starts), -1)
+    full[own[fine & (count == min_n)]] = np.flatnonzero(fine & (count == min_n))
+    known = fine & (~first | (full[own] >= 0))
     goes_on = {"count": count[-1], "coef": [], "scale": [], "sums": []}
     terms = _products(np.where(fine[:, None], x, 0.0), np.where(fine, y, 0.0)) * fine[:, None]
     weight, coef = fine.astype(float), None
     for step in range(steps + 1):
         if step:
-            beta = before(coef, starts, had["coef"][step - 1])
+            beta = np.where(first[:, None], coef[full[own]], before(coef, starts, had["coef"][step - 1]))
             goes_on["coef"].append(coef[-1])
-            known = fine & (before(count, starts, had["count"]) >= min_n)
             error = np.where(known, np.abs(y - beta[:, 0] - (x * beta[:, 1:]).sum(axis=1)), 0.0)
-            seen = running(np.column_stack([weight * error, weight * known]), starts, had["scale"][step - 1])
-            prior = before(seen, starts, had["scale"][step - 1])
+            both = np.column_stack([weight * error, weight * known])
+            seen = running(both, starts, had["scale"][step - 1])
             goes_on["scale"].append(seen[-1])
+            prior = before(seen, starts, had["scale"][step - 1])
+            prior[first] = np.column_stack([np.bincount(own[first], c[first], len(starts)) for c in both.T])[own[first]]
             limit = np.maximum(bend * SPREAD * np.divide(prior[:, 0], prior[:, 1], out=np.zeros(len(y)), where=prior[:, 1] > 0), TUBE * (1 + np.abs(y)))
             heavy = known & (prior[:, 1] > 0) & (error > limit)
             weight = np.divide(limit, error, out=np.ones(len(y)), where=heavy) * fine
         sums = running(terms * weight[:, None], starts, had["sums"][step])
         goes_on["sums"].append(sums[-1])
         coef = standard_solution(sums, x.shape[1], ridge)
-    return count, coef, goes_on
+    if count[-1] < min_n:
+        last = np.flatnonzero(fine[starts[-1] :]) + starts[-1]
+        goes_on = {"rows": (x[last], y[last])}
+    return count[held:], coef[held:], goes_on
 
 
 def forecast_robust(df: DataFrame, features: Sequence[str], horizons: Sequence[int] = HORIZONS, ridge: float = 1e-3, steps: int = 3, bend: float = BEND, log: bool = False, min_n: int = 25, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:

@@ -17,12 +17,15 @@ def _robust(ridge: float, steps: int, bend: float, min_n: int) -> dict[str, str]
     out = {"step_0": "SELECT *, CASE WHEN x1 IS NOT NULL AND y IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w0 FROM lagged"}
     for k in range(steps + 1):
         if k:
+            later = f"first_value(CASE WHEN n{k - 1} >= {min_n} THEN {{0}}{k - 1} END IGNORE NULLS) OVER (s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+            at = {c: f"CASE WHEN n{k - 1} <= {min_n} THEN {later.format(c)} ELSE lag({c}{k - 1}) OVER s END" for c in "ab"}
             out[f"error_{k}"] = f"""
-                SELECT *, CASE WHEN w0 = 1 AND coalesce(lag(n{k - 1}) OVER s, 0) >= {min_n} THEN abs(y - lag(a{k - 1}) OVER s - lag(b{k - 1}) OVER s * x1) END AS e{k}
+                SELECT *, CASE WHEN w0 = 1 THEN abs(y - {at['a']} - {at['b']} * x1) END AS e{k}, w0 = 1 AND n{k - 1} <= {min_n} AS first{k}
                 FROM fit_{k - 1} WINDOW s AS ({series})"""
+            total = f"{bend * robust.SPREAD!r} * sum(w{k - 1} * e{k}) OVER {{0}} / nullif(sum(CASE WHEN e{k} IS NOT NULL THEN w{k - 1} END) OVER {{0}}, 0)"
             out[f"scale_{k}"] = f"""
-                SELECT *, {bend * robust.SPREAD!r} * sum(w{k - 1} * e{k}) OVER p / nullif(sum(CASE WHEN e{k} IS NOT NULL THEN w{k - 1} END) OVER p, 0) AS q{k}
-                FROM error_{k} WINDOW p AS ({series} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+                SELECT *, CASE WHEN first{k} THEN {total.format('f')} ELSE {total.format('p')} END AS q{k}
+                FROM error_{k} WINDOW p AS ({series} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY location, h, first{k})"""
             out[f"limit_{k}"] = f"SELECT *, CASE WHEN q{k} IS NOT NULL THEN greatest(q{k}, {robust.TUBE} * (1 + abs(y))) END AS m{k} FROM scale_{k}"
             out[f"step_{k}"] = f"SELECT *, CASE WHEN e{k} > m{k} THEN m{k} / e{k} ELSE w0 END AS w{k} FROM limit_{k}"
         w = f"w{k}"
