@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import backtest, covariates, grid, robust
+from tidewell.operators import aggregates, backtest, covariates, features, grid, pooled, robust, scoring
 from tidewell.plans.queries import _COV, _W, _panel, _r, _rounded, _with, query
 from tidewell.plans.views import filled
 
@@ -167,3 +167,61 @@ def forecast_by_order(spark, sf_dir):
     """The order of each location chosen on its first half, then forecasts of four weeks on the log scale at every anchor."""
     panel, orders = _panel(spark, sf_dir), ((1, 0), (2, 0), (1, 1), (2, 1))
     return _rounded(grid.forecast_orders(panel, grid.select_orders(panel, orders, log=True), orders, log=True))
+
+
+# ---------------------------------------------------------------------------------------------- pooled models at several cut-offs
+
+_CUTOFFS = ("1997-06-07", "1998-12-05", "2000-06-03")
+
+
+def _features(spark, sf_dir):
+    rows = features.build_features(_panel(spark, sf_dir), groups=("rolling", "season"))
+    return rows, [*features.feature_names(rows), "y"]
+
+
+@query()
+def trees_by_fold(spark, sf_dir):
+    """Errors of pooled trees at three cut-offs, one and three weeks ahead, beside those of the last value."""
+    rows, names = _features(spark, sf_dir)
+    return _rounded(pooled.fold_errors(pooled.forecast_pooled(rows, names, _CUTOFFS, (1, 3), trees=5), rows))
+
+
+@query()
+def two_stage_by_fold(spark, sf_dir):
+    """Location and scale by trees on the log scale, fitted at two cut-offs: interval scores and coverage of the middle 80 %."""
+    rows, names = _features(spark, sf_dir)
+    fc = pooled.forecast_pooled(rows, names, _CUTOFFS[1:], (1, 2), scale="trees", log=True, trees=5).where("label is not null").withColumnRenamed("label", "obs")
+    inside = F.avg(((F.col("obs") >= F.col("quantiles")[3]) & (F.col("obs") <= F.col("quantiles")[19])).cast("double")).alias("coverage")
+    scored = scoring.wis(fc)
+    return _rounded(scored.groupBy("h", "fold").agg(F.avg("wis").alias("mean_wis"), inside, F.count("*").alias("n")))
+
+
+@query()
+def feature_gains(spark, sf_dir):
+    rows, names = _features(spark, sf_dir)
+    return _rounded(pooled.tree_importances(rows, names, 1, _CUTOFFS[-1], trees=5))
+
+
+_MOVED = "CASE WHEN row_number() OVER s = count(*) OVER (PARTITION BY location) THEN first_value({0}) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lead({0}) OVER s END AS m_{0}"
+
+
+@query(_with(
+    "filled", "shipped",
+    joined="SELECT f.location, f.date, f.y, s.x, lag(f.y) OVER (PARTITION BY f.location ORDER BY f.date) AS l FROM filled f JOIN shipped s ON f.location = s.location AND f.date = s.date",
+    rows_i="SELECT * FROM joined WHERE l IS NOT NULL",
+    fits_i="SELECT location, regr_slope(y, x) AS bx, regr_intercept(y, x) AS ax, regr_slope(y, l) AS bl, regr_intercept(y, l) AS al FROM rows_i GROUP BY 1",
+    moved_i=f"SELECT *, {_MOVED.format('x')}, {_MOVED.format('l')} FROM rows_i WINDOW s AS (PARTITION BY location ORDER BY (CAST(date - DATE '1970-01-01' AS HUGEINT) * 2654435763) % 4294967296, date)",
+    both_i="SELECT *, (ax + bx * x + al + bl * l) / 2 AS p0, (ax + bx * m_x + al + bl * l) / 2 AS px, (ax + bx * x + al + bl * m_l) / 2 AS pl FROM moved_i JOIN fits_i USING (location)",
+    worth="SELECT location, 'x' AS feature, avg(abs(y - px) - abs(y - p0)) AS importance FROM both_i GROUP BY 1 UNION ALL SELECT location, 'l', avg(abs(y - pl) - abs(y - p0)) FROM both_i GROUP BY 1",
+    final=f"SELECT location, feature, {_r('importance', digits=5)} FROM worth",
+))
+def permuted_features(spark, sf_dir):
+    """The worth of last week's value and of the quantity shipped, in the mean of two lines fitted for each location."""
+    from tidewell.plans.views import shipped
+
+    w = features.series()
+    rows = filled(spark, sf_dir).join(shipped(spark, sf_dir).select("location", "date", "x"), ["location", "date"]).withColumn("l", F.lag("y").over(w)).where("l is not null")
+    lines = {f: aggregates.fit_lm(rows, "y", f, "location").select("location", F.col("intercept").alias(f"a{f}"), F.col("slope").alias(f"b{f}")) for f in ("x", "l")}
+    rows = rows.join(lines["x"], "location").join(lines["l"], "location")
+    line = lambda c: (F.col("ax") + F.col("bx") * c["x"] + F.col("al") + F.col("bl") * c["l"]) / 2
+    return _rounded(pooled.permutation_importance(rows, ["x", "l"], line).drop("rank"), 5)
