@@ -199,3 +199,61 @@ def test_orders_with_differences(spark):
     assert got == {"walk": (1, 1), "back": (1, 0), "short": (1, 0)}
     made = grid.forecast_orders(rows, grid.select_orders(rows, ((1, 0), (1, 1))), ((1, 0), (1, 1)), 2)
     assert made.count() == 2 * (120 + 120 + 5)
+
+
+def test_faded_means_over_blocks_and_gaps(spark):
+    """As many values as several blocks hold, with nulls at their ends, and a fast decay whose powers need blocks of their own."""
+    from tidewell.operators.features import ewm_features
+
+    rng = np.random.default_rng(1)
+    values = [None if k % 351 in (0, 1) or k % 97 == 5 else float(rng.normal(50, 20)) for k in range(1500)]
+    rows = frame(spark, {"a": values, "b": [None, 3.0], "c": [1e6] * 400 + [1.0] * 30})
+    got = ewm_features(rows, (0.1, 0.3, 0.5, 0.9)).orderBy("date").toPandas()
+    assert list(got.columns) == ["location", "date", "y", "y_ewm10", "y_ewm30", "y_ewm50", "y_ewm90"]
+    for name, g in got.groupby("location"):
+        for a in (0.1, 0.3, 0.5, 0.9):
+            s, w, want = 0.0, 0.0, []
+            for v in g.y:
+                if v == v:
+                    s, w = s * (1 - a) + v, w * (1 - a) + 1
+                want.append(s / w if w else np.nan)
+            assert np.allclose(g[f"y_ewm{round(a * 100)}"], want, rtol=1e-12, equal_nan=True), (name, a)
+
+
+def test_running_percentiles_of_a_long_series(spark):
+    """20,000 weeks of one series in small blocks, against numpy at some dates; differences likewise."""
+    from tidewell.functions.numeric import LEVELS
+    from tidewell.operators.quantiles import error_quantiles, expanding_difference_quantiles
+
+    rng = np.random.default_rng(4)
+    y = rng.normal(0, 10, 20_000).round(1)
+    rows = spark.createDataFrame(pd.DataFrame({"location": "a", "h": 1, "d": np.arange(len(y)), "error": y})).selectExpr("location", "cast(h as int) h", "date_add(date '1600-01-01', cast(d * 7 as int)) target_date", "error")
+    fc = rows.selectExpr("location", "h", "target_date as reference_date", "100.0D as point")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "999")
+    try:
+        got = error_quantiles(fc, rows).orderBy("reference_date").toPandas()
+        panel = rows.selectExpr("location", "target_date as date", "error + 100 as y")
+        moved = expanding_difference_quantiles(panel, (3,)).orderBy("reference_date").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for t in (10, 998, 999, 5000, 19_999):
+        assert np.allclose(got.quantiles[t], np.maximum(100 + np.quantile(y[: t + 1], LEVELS), 0))
+        diff = (y[3 : t + 1] + 100) - (y[: t - 2] + 100)
+        q1, q3 = np.quantile(diff, [0.25, 0.75])
+        fine = diff[(diff >= q1 - 1.5 * (q3 - q1)) & (diff <= q3 + 1.5 * (q3 - q1))]
+        assert np.allclose(moved.quantiles[t], np.quantile(np.maximum(y[t] + 100 + fine, 0), LEVELS))
+    assert moved.quantiles[0][11] == pytest.approx(y[0] + 100)  # no difference yet: the normal fallback
+
+
+def test_weights_of_models_with_missing_dates(spark):
+    """Model b lacks a date: its window still ends at the same dates. Where a model has no score, all are equal."""
+    from tidewell.operators.ensemble import rolling_weights
+
+    rows = [(h, START + dt.timedelta(7 * k), m, w) for h in (1, 2) for k in range(8) for m, w in (("a", 1.0), ("b", 3.0 if k < 5 else 1.0)) if not (m == "b" and k == 4)]
+    scores = spark.createDataFrame(rows, "h int, reference_date date, model string, wis double")
+    got = {(r.h, (r.reference_date - START).days // 7, r.model): r.weight for r in rolling_weights(scores, 2).collect()}
+    assert len(got) == 2 * 8 * 2
+    assert got[1, 2, "a"] == got[1, 3, "a"] == got[2, 4, "a"] == pytest.approx(0.75) and got[1, 0, "a"] == got[2, 1, "b"] == 0.5
+    assert got[1, 5, "b"] == pytest.approx(0.25)  # of dates 3 and 4 it has the first only
+    assert got[2, 6, "b"] == pytest.approx(0.25) and got[1, 7, "b"] == got[2, 7, "b"] + 0.0 == pytest.approx(0.5)

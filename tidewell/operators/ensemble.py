@@ -34,27 +34,25 @@ def ensemble_weights(scores: DataFrame, models: DataFrame, as_of, lookback: int
 
 def rolling_weights(scores: DataFrame, lookback: int = 4, known_by_as_of: bool = True, models: Sequence[str] | None = None) -> DataFrame:
     """(h, reference_date, model, weight) at every reference date, from the scores of the `lookback` reference dates before it. If any model has no score there, all are equal.
-    known_by_as_of: the window ends h reference dates back (weekly ones), where the target is known; without it scores of targets that lie ahead count as well."""
-    names = [r.model for r in scores.select("model").distinct().orderBy("model").collect()] if models is None else list(models)
-    per = scores.groupBy("h", "reference_date").pivot("model", names).agg(F.sum("wis").alias("s"), F.count("wis").alias("n"))
-    week = F.datediff("reference_date", F.lit("1970-01-01").cast("date")).cast("long")
-    order = Window.partitionBy("h").orderBy(week)
-
-    def so_far(column: str):
-        """Sum over the lookback reference dates before this one, or before the last one whose target was known."""
-        if not known_by_as_of:
-            return F.sum(column).over(Window.partitionBy("h").orderBy("reference_date").rowsBetween(-lookback, -1))
-        steps = [F.sum(column).over(order.rowsBetween(1 - lookback - k, -k)) for k in range(1, 1 + top)]
-        return F.get(F.array(*steps), (F.col("h") - 1).cast("int"))
-
-    top = (scores.agg(F.max("h")).first()[0] or 1) if known_by_as_of else 1  # one number
-    means = per.select("h", "reference_date", *(F.try_divide(so_far(f"`{m}_s`"), so_far(f"`{m}_n`")).alias(m) for m in names))
-    total = None
-    for m in names:
-        inv = F.try_divide(F.lit(1.0), F.col(m))
-        total = inv if total is None else total + inv
-    cells = F.array(*(F.struct(F.lit(m).alias("model"), F.coalesce(F.try_divide(F.lit(1.0), F.col(m)) / total, F.lit(1.0 / len(names))).alias("weight")) for m in names))
-    return means.select("h", "reference_date", F.explode(cells).alias("c")).select("h", "reference_date", "c.model", "c.weight")
+    known_by_as_of: the window ends h reference dates back (weekly ones), where the target is known; without it scores of targets that lie ahead count as well. Models: all that have
+    a score anywhere, or those given."""
+    if models is not None:
+        scores = scores.where(F.col("model").isin(list(models)))
+    per = scores.groupBy("h", "reference_date", "model").agg(F.sum("wis").alias("s"), F.count("wis").alias("n"))
+    dates = scores.select("h", "reference_date").distinct().withColumn("place", F.dense_rank().over(Window.partitionBy("h").orderBy("reference_date")))
+    named = F.array(*map(F.lit, models)) if models is not None else None
+    if named is None:  # one row: an array of the names
+        dates = dates.crossJoin(scores.agg(F.array_sort(F.collect_set("model")).alias("names")))
+    cells = dates.select("h", "reference_date", "place", F.explode(F.col("names") if named is None else named).alias("model")).join(per, ["h", "reference_date", "model"], "left")
+    # A score counts from the place on at which its target is known; frames are by place, so one frame serves all horizons and models with missing dates.
+    given = cells.where("n > 0").select("h", "model", (F.col("place") + ((F.col("h") - 1) if known_by_as_of else 0)).cast("long").alias("place"), "s", "n", F.lit(None).cast("date").alias("reference_date"))
+    asked = cells.select("h", "model", F.col("place").cast("long").alias("place"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("long").alias("n"), "reference_date")
+    frame = Window.partitionBy("h", "model").orderBy("place").rangeBetween(-lookback, -1)
+    means = given.unionByName(asked).withColumn("inv", F.try_divide(F.sum("n").over(frame), F.sum("s").over(frame))).where(F.col("reference_date").isNotNull())
+    all_models = Window.partitionBy("h", "reference_date")
+    every = F.count("*").over(all_models)
+    share = F.when(F.count("inv").over(all_models) == every, F.try_divide(F.col("inv"), F.sum("inv").over(all_models)))
+    return means.select("h", "reference_date", "model", F.coalesce(share, 1.0 / every).alias("weight"))
 
 
 def ensemble_combine(fc: DataFrame, weights: DataFrame, on: Sequence[str] = ("h", "model")) -> DataFrame:
@@ -70,8 +68,9 @@ def evaluate(scores: DataFrame, baseline: str, since=None, drop: Sequence[str] =
     if since is not None:
         scores = scores.where(F.col("target_end_date") >= F.lit(since).cast("date"))
     fair = common_keys(exclude_locations(scores, drop) if drop else scores)
-    each = fair.groupBy("h", "model", "location").agg(F.avg("wis").alias("wis"))
-    both = each.unionByName(fair.groupBy("model", "location").agg(F.avg("wis").alias("wis")).withColumn("h", F.lit(None).cast("int")))
+    each = fair.groupBy("h", "model", "location").agg(F.sum("wis").alias("s"), F.count("wis").alias("n"))  # the only aggregate over all scores
+    h, model, place = F.col("h"), F.col("model"), F.col("location")
+    both = each.groupingSets([[h, model, place], [model, place]], h, model, place).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("wis"))
     geo = both.groupBy("h", "model").agg(F.exp(F.avg(F.when(F.col("wis") > 0, F.ln("wis")))).alias("geo_wis"))
     base = F.max(F.when(F.col("model") == baseline, F.col("geo_wis"))).over(Window.partitionBy("h"))
     return geo.withColumn("relative_wis", F.try_divide("geo_wis", base))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,24 +43,45 @@ def rolling_features(df: DataFrame, windows: Sequence[int] = (2, 4, 8, 12), y: s
     return df.withColumns(rolling_columns(y, windows, key, date))
 
 
-def ewm_columns(y: str = "y", alphas: Sequence[float] = (0.1, 0.3, 0.5), key: str = "location", date: str = "date") -> dict[str, Column]:
-    """Exponentially weighted mean with weights that add to one. The frame ends where weights fall below 1e-16."""
-    out = {}
-    for a in alphas:
-        reach = next(k for k in range(1, 10_000) if (1 - a) ** k < 1e-16)
-        out[f"{y}_ewm{round(a * 100)}"] = _faded(F.collect_list(F.col(y)).over(_last(reach + 1, key, date)), a)
-    return out
-
-
-def _faded(values: Column, a: float) -> Column:
-    """Mean of an array, oldest first, with weights (1 - a) ** age."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    step = lambda acc, x: F.struct((acc["s"] * (1 - a) + x).alias("s"), (acc["w"] * (1 - a) + 1.0).alias("w"))
-    return F.aggregate(values, zero, step, lambda acc: F.try_divide(acc["s"], acc["w"]))
+def _reach(a: float) -> int:
+    """After so many values, weights are below 1e-16."""
+    return next(k for k in range(1, 100_000) if (1 - a) ** k < 1e-16)
 
 
 def ewm_features(df: DataFrame, alphas: Sequence[float] = (0.1, 0.3, 0.5), y: str = "y", key: str = "location", date: str = "date") -> DataFrame:
-    return df.withColumns(ewm_columns(y, alphas, key, date))
+    """Adds <y>_ewm<100 alpha>: the exponentially weighted mean of the known values so far, with weights that add to one.
+
+    Decayed running sums: in blocks of known values, each value is multiplied by (1 - alpha) ** -place, so plain running sums of a block, times (1 - alpha) ** place, are its decayed
+    ones; of what came before, the block before is all that still weighs anything. So a row costs the same however long the memory is.
+    """
+    w = series(key, date)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    size = max(map(_reach, alphas))
+    sizes = {a: size if -size * math.log(1 - a) < 575 else _reach(a) for a in alphas}  # one size for all as long as the powers are numbers
+    rows = df.withColumn("__seen", F.count(y).over(so_far))
+    at = F.greatest(F.col("__seen") - 1, F.lit(0))
+    new = []
+    for k in sorted(set(sizes.values())):
+        rows = rows.withColumns({f"__b{k}": F.floor(at / k), f"__r{k}": (at % k).cast("double")})
+    for a, k in sizes.items():
+        n = round(a * 100)
+        inner = Window.partitionBy(key, f"__b{k}").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+        up = F.pow(F.lit(1 - a), -F.col(f"__r{k}"))
+        rows = rows.withColumns({f"__s{n}": F.sum(F.when(F.col(y).isNotNull(), F.col(y) * up).otherwise(0.0)).over(inner), f"__w{n}": F.sum(F.when(F.col(y).isNotNull(), up).otherwise(0.0)).over(inner)})
+        new.append((a, k, n))
+    for a, k, n in new:
+        # The sums at the end of the block before: those of its last value.
+        ends = {f"__{c}{n}p": F.last(F.when((F.col(f"__r{k}") == k - 1) & F.col(y).isNotNull(), F.col(f"__{c}{n}")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for c in "sw"}
+        rows = rows.withColumns(ends)
+    made = {}
+    for a, k, n in new:
+        old = F.pow(F.lit(1 - a), F.lit(float(k)))
+        inside = F.col(f"__b{k}") > 0
+        total = {c: F.col(f"__{c}{n}") + F.when(inside, F.coalesce(F.col(f"__{c}{n}p"), F.lit(0.0)) * old).otherwise(0.0) for c in "sw"}
+        here = F.when(F.col(y).isNotNull(), F.try_divide(total["s"], total["w"]))
+        made[f"{y}_ewm{n}"] = F.last(here, ignorenulls=True).over(so_far)  # a row without a value has that of the last one with
+    inner_names = ["__seen", *(f"__{c}{k}" for k in set(sizes.values()) for c in "br"), *(f"__{c}{n}{p}" for _, _, n in new for c in "sw" for p in ("", "p"))]
+    return rows.withColumns(made).drop(*inner_names)
 
 
 def change_columns(y: str = "y", diffs: Sequence[int] = (1, 2, 4, 8, 52), momentum: Sequence[int] = (4, 8, 12), eps: float = 1e-8, key: str = "location", date: str = "date") -> dict[str, Column]:
@@ -155,7 +177,8 @@ def build_features(df: DataFrame, covariates: Sequence[str] = (), y: str = "y",
     if "lags" in groups:
         out |= lag_columns([y, *list(covariates)[:3]], (*range(1, 13), 52), key, date)
     if "rolling" in groups:
-        out |= rolling_columns(y, (2, 4, 8, 12), key, date) | ewm_columns(y, (0.1, 0.3, 0.5), key, date)
+        df = ewm_features(df, (0.1, 0.3, 0.5), y, key, date)
+        out |= rolling_columns(y, (2, 4, 8, 12), key, date) | {c: F.col(c) for c in (f"{y}_ewm10", f"{y}_ewm30", f"{y}_ewm50")}
     if "changes" in groups:
         out |= change_columns(y, key=key, date=date)
     if "season" in groups:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tidewell.functions.numeric import LEVELS, finite, gaussian_array, z_values
 from tidewell.operators.features import detrended_std
 from tidewell.operators.joins import offset_differences
+from tidewell.operators.scan import in_order, scan
 
 
 def validation_errors(fc: DataFrame, truth: DataFrame, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
@@ -38,21 +39,34 @@ def _shifted(point: Column, offsets: Column) -> Column:
     return F.transform(offsets, lambda e: F.greatest(F.lit(0.0), point + e))
 
 
-def _running_percentiles(group: pd.DataFrame) -> pd.DataFrame:
-    """Percentiles at LEVELS of the errors so far at each date of one series and lead. The errors so far are one sorted list, into which each new one is put at its place."""
-    rows, seen, at = group.sort_values("target_date"), [], np.array(LEVELS)
-    out = []
-    for e in rows.error:
-        if e == e:
-            insort(seen, e)
-        if not seen:
-            out.append(None)
-            continue
-        place = at * (len(seen) - 1)
-        low = np.floor(place).astype(int)
-        a, b = (np.fromiter(map(seen.__getitem__, x), float, len(at)) for x in (low, np.ceil(place).astype(int)))
-        out.append(np.where(a == b, a, (low + 1 - place) * a + (place - low) * b))
-    return pd.DataFrame({"location": rows.location, "h": rows.h, "reference_date": rows.target_date, "__q": out, "__n": rows.error.notna().cumsum()})
+_AT = np.array(LEVELS)
+
+
+def _between(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Linear interpolation between the values at the whole places below and above."""
+    part = place - np.floor(place)
+    return np.where(low == high, low, (1 - part) * low + part * high)
+
+
+def _running_percentiles(b: pd.DataFrame, starts: np.ndarray, carried) -> tuple[pd.DataFrame, object]:
+    """Percentiles at LEVELS of the errors so far at each date of a series and lead. The errors so far are one sorted list, 8 bytes and a pointer for each, into which each new one is put at
+    its place; it goes on from block to block."""
+    errors, ends = b.error.to_numpy(float), np.append(starts[1:], len(b))
+    fresh, count = ~np.isnan(errors), np.empty(len(b), np.int64)
+    for k, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+        count[lo:hi] = np.cumsum(fresh[lo:hi]) + (len(carried) if k == 0 and carried else 0)
+    place = np.maximum(count - 1, 0)[:, None] * _AT
+    first, second = np.floor(place).astype(int).tolist(), np.ceil(place).astype(int).tolist()
+    low, high, seen = np.zeros((len(b), len(_AT))), np.zeros((len(b), len(_AT))), []
+    for k, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+        seen = carried if k == 0 and carried else []
+        for r in range(lo, hi):
+            if fresh[r]:
+                insort(seen, errors[r])
+            if seen:
+                low[r], high[r] = [seen[i] for i in first[r]], [seen[i] for i in second[r]]
+    found = _between(low, high, place)
+    return pd.DataFrame({"location": b.location, "h": b.h, "reference_date": b.target_date, "__q": [x if n else None for x, n in zip(found, count, strict=True)], "__n": count}), seen
 
 
 def error_quantiles(fc: DataFrame, errors: DataFrame, min_n: int = 10, expanding: bool = True) -> DataFrame:
@@ -60,7 +74,8 @@ def error_quantiles(fc: DataFrame, errors: DataFrame, min_n: int = 10, expanding
     errors whose target date is at or before the reference date count; otherwise all. None is below 0."""
     levels = F.array(*map(F.lit, LEVELS))
     if expanding:
-        known = errors.select("location", "h", "target_date", "error").groupBy("location", "h").applyInPandas(_running_percentiles, "location string, h int, reference_date date, __q array<double>, __n long")
+        by = ["location", "h"]
+        known = scan(in_order(errors.select(*by, "target_date", "error"), by, "target_date"), _running_percentiles, "location string, h int, reference_date date, __q array<double>, __n long", by, "target_date")
         rows = fc.join(known, ["location", "h", "reference_date"], "left")
     else:
         known = errors.groupBy("location", "h").agg(F.percentile("error", levels).alias("__q"), F.count("error").alias("__n"))
@@ -123,5 +138,42 @@ def difference_quantiles(df: DataFrame, h: int = 1, key: str = "location", date:
     return out.select(F.col(key).alias("location"), "reference_date", F.lit(h).alias("h"), "point", "quantiles")
 
 
+def expanding_difference_quantiles(df: DataFrame, horizons: Sequence[int] = (1, 2, 3, 4), key: str = "location", date: str = "date", y: str = "y") -> DataFrame:
+    """(location, reference_date, h, point, quantiles): difference_quantiles() at every date with a known y, from the differences known by then. Quartiles, fences and the differences within
+    them are anew for each date, found by place in one sorted list for each series and horizon. Differences are by date, so gaps do no harm."""
+    day = Window.partitionBy(key).orderBy("__day")
+    rows = in_order(df.where(F.col(y).isNotNull()).select(key, date, F.col(y).cast("double").alias("point")), [key], date)
+    rows = rows.withColumn("__day", F.unix_date(F.col(date).cast("date")))
+    rows = rows.withColumn("diffs", F.array(*(F.col("point") - F.first("point").over(day.rangeBetween(-7 * h, -7 * h)) for h in horizons))).drop("__day")
+    rows = rows.sortWithinPartitions(key, date)
+
+    def block(b: pd.DataFrame, starts: np.ndarray, carried) -> tuple[pd.DataFrame, object]:
+        point, ends, out, state = b.point.to_numpy(float), np.append(starts[1:], len(b)), [], []
+        for n in range(len(horizons)):
+            diff = np.array([np.nan if x[n] is None else x[n] for x in b.diffs], float)
+            low, high, place, some = np.zeros((len(b), len(_AT))), np.zeros((len(b), len(_AT))), np.zeros((len(b), len(_AT))), np.zeros(len(b), bool)
+            seen: list[float] = []
+            for k, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+                seen = carried[n] if k == 0 and carried else []
+                for r in range(lo, hi):
+                    if diff[r] == diff[r]:
+                        insort(seen, diff[r])
+                    if not seen:
+                        continue
+                    q1, q3 = (seen[int(p)] if p == int(p) else (int(p) + 1 - p) * seen[int(p)] + (p - int(p)) * seen[int(p) + 1] for p in (0.25 * (len(seen) - 1), 0.75 * (len(seen) - 1)))
+                    i, j = bisect_left(seen, q1 - (q3 - q1) * 1.5), bisect_right(seen, q3 + (q3 - q1) * 1.5)
+                    if i >= j:
+                        continue
+                    some[r], place[r] = True, i + _AT * (j - i - 1)
+                    low[r], high[r] = [seen[int(p)] for p in place[r]], [seen[-int(-p // 1)] for p in place[r]]
+            moved = _between(np.maximum(point[:, None] + low, 0.0), np.maximum(point[:, None] + high, 0.0), place)
+            out.append(pd.DataFrame({"location": b[key], "reference_date": b[date], "h": np.int32(horizons[n]), "point": point, "__v": [v if s else None for v, s in zip(moved, some, strict=True)]}))
+            state.append(seen)
+        return pd.concat(out, ignore_index=True), state
+
+    made = scan(rows, block, "location string, reference_date date, h int, point double, __v array<double>", [key], date)
+    return made.select("location", "reference_date", "h", "point", F.coalesce("__v", _fallback(F.col("point"))).alias("quantiles"))
+
+
 def gaussian_quantiles(df: DataFrame, mu: str = "mu", sigma: str = "sigma", levels=LEVELS) -> DataFrame:
     return df.withColumn("quantiles", gaussian_array(F.col(mu), F.col(sigma), levels))

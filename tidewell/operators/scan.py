@@ -33,7 +33,7 @@ def scan(df: DataFrame, block: Block, schema: str, keys: Sequence[str] = ("locat
             own = b[keys].astype(object).where(b[keys].notna(), None)
             new = np.ones(len(b), bool)
             new[1:] = (own.iloc[1:].to_numpy() != own.iloc[:-1].to_numpy()).any(axis=1)
-            days = pd.to_datetime(b[date]).to_numpy()
+            days = b[date].to_numpy().astype("datetime64[D]")
             goes_on = last is not None and tuple(own.iloc[0]) == last
             back = (days[1:] < days[:-1])[~new[1:]].any() or (goes_on and days[0] < day)
             if back:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import aggregates, backtest, covariates, features, grid, pooled, robust, scoring
-from tidewell.plans.queries import _COV, _W, _panel, _r, _rounded, _with, query
+from tidewell.operators import aggregates, backtest, covariates, ensemble, features, grid, pooled, quantiles, robust, scoring
+from tidewell.plans.queries import _COV, _QS, _ROLL, _W, _levels_out, _panel, _r, _rounded, _stored_scores, _with, query
 from tidewell.plans.views import filled
 
 # ---------------------------------------------------------------------------------------------- robust regression
@@ -225,3 +225,31 @@ def permuted_features(spark, sf_dir):
     rows = rows.join(lines["x"], "location").join(lines["l"], "location")
     line = lambda c: (F.col("ax") + F.col("bx") * c["x"] + F.col("al") + F.col("bl") * c["l"]) / 2
     return _rounded(pooled.permutation_importance(rows, ["x", "l"], line).drop("rank"), 5)
+
+
+# ---------------------------------------------------------------------------------------------- quantiles and weights at every date
+
+
+@query(_with(
+    "filled", "levels",
+    moves="SELECT a.location, a.date, a.y - b.y AS diff FROM filled a JOIN filled b ON a.location = b.location AND a.date = b.date + 14",
+    fences="SELECT p.location, p.date, any_value(p.y) AS point, quantile_cont(diff, 0.25) AS q1, quantile_cont(diff, 0.75) AS q3 FROM filled p LEFT JOIN moves m ON m.location = p.location AND m.date <= p.date GROUP BY 1, 2",
+    inside=f"""SELECT f.location, f.date, quantile_cont(greatest(0, point + diff), {_QS}) AS qs FROM fences f JOIN moves m ON m.location = f.location AND m.date <= f.date
+        WHERE diff BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1, 2""",
+    final=f"SELECT f.location, f.date AS reference_date, CAST(2 AS INTEGER) AS h, k, {_r('coalesce(qs[k + 1], greatest(0, point + z * greatest(0.25 * abs(point), 5.0))) AS value', digits=5)} FROM fences f LEFT JOIN inside i ON i.location = f.location AND i.date = f.date, levels",
+))
+def difference_quantiles_expanding(spark, sf_dir):
+    return _levels_out(quantiles.expanding_difference_quantiles(filled(spark, sf_dir), (2,)), 5)
+
+
+_KNOWN = dict(_ROLL)
+_KNOWN["means"] = " UNION ALL ".join(
+    "SELECT h, reference_date, " + ", ".join(f"sum(s_{m}) OVER w / nullif(sum(n_{m}) OVER w, 0) AS {m}" for m in ("ar1", "persistence", "seasonal"))
+    + f" FROM per WHERE h = {h} WINDOW w AS (PARTITION BY h ORDER BY reference_date ROWS BETWEEN {3 + h} PRECEDING AND {h} PRECEDING)" for h in (1, 2, 3, 4)
+)
+
+
+@query(_with("wis", **_KNOWN, final=f"SELECT h, reference_date, model, {_r('weight')} FROM weights"))
+def rolling_weights_known(spark, sf_dir):
+    """Weights from scores whose targets were known at each date; models by what the scores hold."""
+    return _rounded(ensemble.rolling_weights(_stored_scores(spark, sf_dir)))
