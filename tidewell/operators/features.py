@@ -186,8 +186,8 @@ def build_features(df: DataFrame, covariates: Sequence[str] = (), y: str = "y",
     if "trend" in groups:
         out |= {f"{y}_cummean": F.avg(y).over(series(key, date).rowsBetween(Window.unboundedPreceding, 0))} | theil_sen_columns(y, key=key, date=date)
     out |= {f"{c}_current": F.col(c) for c in covariates}
-    made = df.withColumns(out)
-    return fill_features(made, [c for c in out if c not in seasonal_columns(date)], 0.0, key, date) if fill else made
+    made, always = df.withColumns(out), set(seasonal_columns(date))
+    return fill_features(made, [c for c in out if c not in always], 0.0, key, date) if fill else made
 
 
 def feature_names(df: DataFrame, drop: Sequence[str] = ("location", "date", "y")) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.numeric import LEVELS, z_values
 from tidewell.operators import aggregates, features, joins, models, quantiles, scoring, select
 from tidewell.plans import views
-from tidewell.plans.queries import _ERR, _KEYS, _LAGS, _PAIRS, _QS, _W, _levels_out, _long, _panel, _r, _rounded, _with, query
+from tidewell.plans.queries import _ERR, _KEYS, _LAGS, _PAIRS, _QS, _W, _ZS, _levels_out, _long, _panel, _r, _rounded, _with, query
 from tidewell.plans.views import filled, population, shipped, weekly_panel
 from tidewell.sources import tables
 
@@ -250,7 +250,8 @@ def _ladder(back: str) -> dict[str, str]:
         "own": f"SELECT location, h, quantile_cont(residual, {_QS}) AS qs, count(*) AS n, stddev_pop(residual) AS s FROM ranked WHERE i <= most GROUP BY 1, 2",
         "old": f"SELECT location, h, quantile_cont(error, {_QS}) AS eq, count(*) AS en, stddev_pop(error) AS es FROM ranked WHERE i <= 20 - most GROUP BY 1, 2",
         "late": "SELECT a.*, coalesce(n, 0) AS n, qs, CASE WHEN n > 1 AND s > 1e-8 THEN s ELSE 0.5 END AS s, coalesce(en, 0) AS en, eq, es FROM ar a LEFT JOIN own o ON o.location = a.location AND o.h = a.h LEFT JOIN old e ON e.location = a.location AND e.h = a.h WHERE a.reference_date >= DATE '1999-06-05'",
-        "moved": f"SELECT location, reference_date, h, k, greatest(0, CASE WHEN n >= 10 THEN {back.format('qs[k + 1]')} WHEN n >= 1 THEN {back.format('(s * z)')} WHEN en >= 10 THEN point + eq[k + 1] WHEN en > 1 THEN point + z * greatest(es, 5.0) ELSE point + z * greatest(0.25 * abs(point), 5.0) END) AS value FROM late, levels",
+        "each": f"SELECT * EXCLUDE (qs, eq), unnest(qs) AS qv, unnest(eq) AS ev, unnest({_ZS}) AS z, CAST(unnest(range(23)) AS INTEGER) AS k FROM late",
+        "moved": f"SELECT location, reference_date, h, k, greatest(0, CASE WHEN n >= 10 THEN {back.format('qv')} WHEN n >= 1 THEN {back.format('(s * z)')} WHEN en >= 10 THEN point + ev WHEN en > 1 THEN point + z * greatest(es, 5.0) ELSE point + z * greatest(0.25 * abs(point), 5.0) END) AS value FROM each",
     }
 
 
@@ -265,12 +266,12 @@ def _ladder_rows(spark, sf_dir, scale: str) -> DataFrame:
     return _levels_out(quantiles.residual_quantiles(late, ranked.where("i <= most"), scale, "scaled", ranked.where("i <= 20 - most")), 4)
 
 
-@query(_with("ar", "filled", "levels", **_ERR, res=_RES.format(_RAW), **_ladder("point + {0}"), final=f"SELECT location, reference_date, h, k, {_r('value', digits=4)} FROM moved"))
+@query(_with("ar", "filled", **_ERR, res=_RES.format(_RAW), **_ladder("point + {0}"), final=f"SELECT location, reference_date, h, k, {_r('value', digits=4)} FROM moved"))
 def residual_ladder_raw(spark, sf_dir):
     return _ladder_rows(spark, sf_dir, "raw")
 
 
-@query(_with("ar", "filled", "levels", **_ERR, res=_RES.format(_PCT), **_ladder("point * ({0} + 1.0)"), final=f"SELECT location, reference_date, h, k, {_r('value', digits=4)} FROM moved"))
+@query(_with("ar", "filled", **_ERR, res=_RES.format(_PCT), **_ladder("point * ({0} + 1.0)"), final=f"SELECT location, reference_date, h, k, {_r('value', digits=4)} FROM moved"))
 def residual_ladder_pct(spark, sf_dir):
     return _ladder_rows(spark, sf_dir, "pct")
 

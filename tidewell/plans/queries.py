@@ -410,15 +410,17 @@ def baseline_quantiles(spark, sf_dir):
 
 
 _QS = "[" + ", ".join(repr(q) for q in LEVELS) + "]"
+_ZS = "[" + ", ".join(f"{z!r}::DOUBLE" for z in z_values()) + "]"
 _ERR = {
     "err": "SELECT a.location, a.reference_date, a.h, a.point, CAST(a.reference_date + 7 * a.h AS DATE) AS target_date, f.y - a.point AS error, f.y AS obs FROM ar a JOIN filled f ON f.location = a.location AND f.date = a.reference_date + 7 * a.h",
 }
 
 
 @query(_with(
-    "ar", "filled", "levels", **_ERR,
-    known=f"SELECT a.location, a.h, a.target_date, quantile_cont(b.error, {_QS}) AS qs, count(b.error) AS n FROM err a JOIN err b ON a.location = b.location AND a.h = b.h AND b.target_date <= a.target_date GROUP BY 1, 2, 3",
-    final=f"SELECT a.location, a.reference_date, a.h, k, {_r('greatest(0, CASE WHEN n >= 10 THEN point + qs[k + 1] ELSE point + z * greatest(0.25 * abs(point), 5.0) END) AS value', digits=5)} FROM ar a LEFT JOIN known n ON n.location = a.location AND n.h = a.h AND n.target_date = a.reference_date, levels",
+    "ar", "filled", **_ERR,
+    known=f"SELECT location, h, target_date, quantile_cont(error, {_QS}) OVER w AS qs, count(error) OVER w AS n FROM err WINDOW w AS (PARTITION BY location, h ORDER BY target_date ROWS UNBOUNDED PRECEDING)",
+    each=f"SELECT a.location, a.reference_date, a.h, point, n, unnest(qs) AS qv, unnest({_ZS}) AS z, CAST(unnest(range(23)) AS INTEGER) AS k FROM ar a LEFT JOIN known n ON n.location = a.location AND n.h = a.h AND n.target_date = a.reference_date",
+    final=f"SELECT location, reference_date, h, k, {_r('greatest(0, CASE WHEN n >= 10 THEN point + qv ELSE point + z * greatest(0.25 * abs(point), 5.0) END) AS value', digits=5)} FROM each",
 ))
 def error_quantiles(spark, sf_dir):
     panel = _panel(spark, sf_dir)
