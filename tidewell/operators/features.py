@@ -171,8 +171,11 @@ def gap_check(df: DataFrame, key: str = "location", date: str = "date") -> DataF
     return df.select(F.datediff(F.col(date), F.lag(date).over(series(key, date))).alias("gap")).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
 
 
-def build_features(df: DataFrame, covariates: Sequence[str] = (), y: str = "y", key: str = "location", date: str = "date", groups: Sequence[str] = ("lags", "rolling", "changes", "season", "trend"), fill: bool = True) -> DataFrame:
-    """All features of a completed panel in one select; with `fill`, nulls take the last known value, then 0. Covariates are columns of df."""
+def build_features(df: DataFrame, covariates: Sequence[str] = (), y: str = "y", key: str = "location", date: str = "date", groups: Sequence[str] = ("lags", "rolling", "changes", "season", "trend"), fill: bool = True, external: Sequence[str] = (), external_lags: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """All features of a completed panel in one select; with `fill`, nulls take the last known value, then 0. Covariates are columns of df. External columns, known at the row's date (of
+    another feed, say), may have lag 0, their value on the date itself: <column>_ext0."""
+    if y in external and 0 in external_lags:
+        raise ValueError("lag 0 of y would be the value to forecast")
     out: dict[str, Column] = {}
     if "lags" in groups:
         out |= lag_columns([y, *list(covariates)[:3]], (*range(1, 13), 52), key, date)
@@ -186,6 +189,7 @@ def build_features(df: DataFrame, covariates: Sequence[str] = (), y: str = "y",
     if "trend" in groups:
         out |= {f"{y}_cummean": F.avg(y).over(series(key, date).rowsBetween(Window.unboundedPreceding, 0))} | theil_sen_columns(y, key=key, date=date)
     out |= {f"{c}_current": F.col(c) for c in covariates}
+    out |= {f"{c}_ext{k}": F.lag(c, k).over(series(key, date)) if k else F.col(c) for c in external for k in external_lags}
     made, always = df.withColumns(out), set(seasonal_columns(date))
     return fill_features(made, [c for c in out if c not in always], 0.0, key, date) if fill else made
 

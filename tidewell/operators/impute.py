@@ -14,11 +14,16 @@ from tidewell.operators.aggregates import fit_lm, predict_lm
 def complete_weekly(df: DataFrame, bounds: str = "series", key: str = "location", date: str = "date") -> DataFrame:
     """Every seventh day from a series' first to its last date (bounds='series'), or from the table's (bounds='global'); missing values are null. Repeated
     (key, date) rows stay."""
-    ends = df.groupBy(key).agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    if bounds == "global":
-        whole = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-        ends = ends.select(key).crossJoin(F.broadcast(whole))  # one row
-    grid = ends.where("lo is not null").select(key, F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias(date))
+    if bounds == "series":  # each row with the weeks up to the next one: df is read once
+        w = Window.partitionBy(key).orderBy(date)
+        rows = df.where(F.col(date).isNotNull()).withColumn("__first", F.min(date).over(w)).where(F.pmod(F.datediff(date, "__first"), F.lit(7)) == 0)
+        last = F.greatest(F.coalesce(F.date_sub(F.lead(date).over(w), 7), F.col(date)), F.col(date))
+        rows = rows.withColumn("__last", last).select("*", F.posexplode(F.sequence(F.col(date), F.col("__last"), F.expr("interval 7 days"))).alias("__k", "__d"))
+        return rows.select(key, F.col("__d").alias(date), *(F.when(F.col("__k") == 0, F.col(c)).alias(c) for c in df.columns if c not in (key, date)))
+    ends = df.groupBy(key).agg(F.min(date).alias("lo"))
+    whole = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    ends = ends.where("lo is not null").select(key).crossJoin(F.broadcast(whole))  # one row
+    grid = ends.select(key, F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias(date))
     return grid.join(df, [key, date], "left")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def full_merge(a: DataFrame, b: DataFrame, on) -> DataFrame:
@@ -41,9 +42,13 @@ def label_at_horizon(df: DataFrame, horizons=(1, 2, 3, 4), key: str = "location"
 
 
 def row_as_of(df: DataFrame, anchors: DataFrame, key: str = "location", date: str = "date") -> DataFrame:
-    """For each (key, anchor) the latest row at or before the anchor, as column `row`; aggregated, not sorted."""
-    rows = df.select(F.col(key), F.col(date).alias("__d"), F.struct(*df.columns).alias("row"))
-    return anchors.join(rows, key).where(F.col("__d") <= F.col("anchor")).groupBy(key, "anchor").agg(F.max_by("row", "__d").alias("row"))
+    """For each (key, anchor) the latest row at or before the anchor, as column `row`; anchors before the first row go. Rows and anchors of a key are put in one order, in which each anchor
+    takes the last row before it: as much work as there are rows and anchors, not their product."""
+    rows = df.where(F.col(date).isNotNull()).select(F.col(key), F.col(date).alias("__d"), F.lit(0).alias("__kind"), F.struct(*df.columns).alias("row"))
+    asked = anchors.where(F.col("anchor").isNotNull()).select(F.col(key), F.col("anchor").alias("__d"), F.lit(1).alias("__kind"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    w = Window.partitionBy(key).orderBy("__d", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(w)).where((F.col("__kind") == 1) & F.col("row").isNotNull() & F.col(key).isNotNull())
+    return found.groupBy(key, F.col("__d").alias("anchor")).agg(F.first("row").alias("row"))
 
 
 def covariate_join(df: DataFrame, selected: DataFrame | None = None, key: str = "location", date: str = "date", y: str = "y") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions.numeric import inverse_normal
 from tidewell.operators import aggregates, backtest, covariates, ensemble, features, grid, pooled, quantiles, robust, scoring
 from tidewell.plans.queries import _COV, _QS, _ROLL, _W, _levels_out, _panel, _r, _rounded, _stored_scores, _with, query
-from tidewell.plans.views import filled
+from tidewell.plans.views import filled, rank_scores, shipped
 
 # ---------------------------------------------------------------------------------------------- robust regression
 
@@ -217,8 +218,6 @@ _MOVED = "CASE WHEN row_number() OVER s = count(*) OVER (PARTITION BY location)
 ))
 def permuted_features(spark, sf_dir):
     """The worth of last week's value and of the quantity shipped, in the mean of two lines fitted for each location."""
-    from tidewell.plans.views import shipped
-
     w = features.series()
     rows = filled(spark, sf_dir).join(shipped(spark, sf_dir).select("location", "date", "x"), ["location", "date"]).withColumn("l", F.lag("y").over(w)).where("l is not null")
     lines = {f: aggregates.fit_lm(rows, "y", f, "location").select("location", F.col("intercept").alias(f"a{f}"), F.col("slope").alias(f"b{f}")) for f in ("x", "l")}
@@ -253,3 +252,62 @@ _KNOWN["means"] = " UNION ALL ".join(
 def rolling_weights_known(spark, sf_dir):
     """Weights from scores whose targets were known at each date; models by what the scores hold."""
     return _rounded(ensemble.rolling_weights(_stored_scores(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------------------------- scores of ranks, external columns
+
+#: The coefficients of functions.numeric.inverse_normal, in its order (fixed values).
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _poly(x: str, terms) -> str:
+    out = f"({terms[0]!r}::DOUBLE)"
+    for t in terms[1:]:
+        out = f"({out} * {x} + {t!r}::DOUBLE)"
+    return out
+
+
+@query(_with(
+    "filled", ranked="SELECT *, (rank() OVER (PARTITION BY location ORDER BY y) + (count(*) OVER (PARTITION BY location, y) - 1) / 2.0 - 0.5)::DOUBLE / count(y) OVER (PARTITION BY location) AS p FROM filled",
+    roots="SELECT *, sqrt(-2 * ln(CASE WHEN p < 0.5 THEN p ELSE 1 - p END)) AS t, (p - 0.5) * (p - 0.5) AS m FROM ranked",
+    final=f"SELECT location, date, {_r(f'CASE WHEN p < 0.02425 THEN {_poly("t", _C)} / {_poly("t", _D)} WHEN p > 1 - 0.02425 THEN -{_poly("t", _C)} / {_poly("t", _D)} ELSE (p - 0.5) * {_poly("m", _A)} / {_poly("m", _B)} END AS z')} FROM roots",
+))
+def rank_normal_scores(spark, sf_dir):
+    """Normal scores of the ranks of each series' values."""
+    rows = rank_scores(filled(spark, sf_dir), "y").withColumn("z", inverse_normal(F.col("p")))
+    return _rounded(rows.select("location", "date", "z"))
+
+
+@query(_with(
+    "filled", "shipped",
+    joined="SELECT f.location, f.date, s.x, s.share FROM filled f LEFT JOIN shipped s ON s.location = f.location AND s.date = f.date",
+    lagged="SELECT location, date, " + ", ".join(f"{f'lag({c}, {k}) OVER {_W}' if k else c} AS {c}_ext{k}" for c in ("x", "share") for k in (0, 2)) + " FROM joined",
+    final="SELECT location, date, " + ", ".join(_r(f"coalesce(last_value({c} IGNORE NULLS) OVER w, 0) AS {c}") for c in ("x_ext0", "x_ext2", "share_ext0", "share_ext2")) + " FROM lagged WINDOW w AS (PARTITION BY location ORDER BY date ROWS UNBOUNDED PRECEDING)",
+))
+def external_columns(spark, sf_dir):
+    """Two columns of another feed with lags 0 and 2, filled."""
+    rows = filled(spark, sf_dir).join(shipped(spark, sf_dir), ["location", "date"], "left")
+    made = features.build_features(rows, groups=(), external=("x", "share"), external_lags=(0, 2))
+    return _rounded(made.select("location", "date", "x_ext0", "x_ext2", "share_ext0", "share_ext2"))
+
+
+# ---------------------------------------------------------------------------------------------- autoregression on the log scale
+
+_LOG_AR = {
+    "logs": "SELECT location, date, ln(greatest(y, 0) + 1) AS y FROM filled",
+    **_order_one("logs", 0),
+}
+
+
+@query(_with(
+    "filled", **_LOG_AR,
+    path="SELECT *, a + b * y AS f1, a + b * (a + b * y) AS f2 FROM order_0",
+    ahead="SELECT location, date AS reference_date, 1 AS h, n, b, y, f1 AS f, s AS sigma FROM path UNION ALL SELECT location, date, 2, n, b, y, f2, s * sqrt(1 + b * b) FROM path",
+    final=f"SELECT location, reference_date, CAST(h AS INTEGER) AS h, {_r('greatest(0, CASE WHEN n >= 11 AND b IS NOT NULL THEN exp(f) - 1 ELSE exp(y) - 1 END) AS point', 'CASE WHEN n >= 11 AND b IS NOT NULL THEN sigma * (1 + greatest(0, exp(f) - 1)) ELSE greatest(0.25 * abs(exp(y) - 1), 5.0) END AS sigma', digits=4)} FROM ahead",
+))
+def log_ar1(spark, sf_dir):
+    """Order one on log(1 + y), with deviations carried back."""
+    return _rounded(grid.forecast_grid(filled(spark, sf_dir), [{"p": 1, "log": True, "ridge": 0.0}], 2).drop("k"), 4)
