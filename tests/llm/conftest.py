@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHES = ["size", "row", "v", "u", "id", "n", "bucket", "root", "kept", "shard", "curve", "gone", "piece_key", "word", "held_out", "score", "cell", "class", "members", "component_id", "n_shingles", "copies", "doc", "__dropped_"]
+CLASHES = ["size", "row", "v", "u", "id", "n", "bucket", "root", "kept", "shard", "curve", "gone", "piece_key", "word", "held_out", "score", "cell", "class", "members", "component_id", "n_shingles", "copies", "doc", "__dropped", "key", "runs", "spans", "terms", "words", "h", "a", "p"]
 
 
 def prose(rng: random.Random, words: int, letters: str = "etaoinshrdlu") -> str:

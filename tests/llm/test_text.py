@@ -491,3 +491,13 @@ def test_filters_act_and_lose_nothing():
         assert got == want
         found += len(got)
     assert found >= 15 and all(stops.values())
+
+
+def test_articles_keep_their_header_and_links():
+    words = "The wind rose in the evening and the boats came home before the rain. " * 6
+    links = "<h2>Sources</h2><ul>" + "".join(f"<li><a href='/s{k}'>A report on the wind, volume {k}</a></li>" for k in range(6)) + "</ul>"
+    page = f"<body><header><h1>Site name</h1></header><article><header><h1>Wind</h1><nav><a href=x>Up</a></nav></header><p>{words}</p><p>{words}</p>{links}</article><p style='color:red; display : none'>unseen</p></body>"
+    got = html_text.extract(page).split("\n")
+    assert got[0] == "Wind" and got[1] == words.strip() and "A report on the wind, volume 5" in got and not {"Site name", "Up", "unseen"} & set(got)
+    hidden = f"<article><h1>Wind</h1><p>{words}</p><p style=\"display:none\">{words} twice</p><p style=\"display:block\">{words}</p></article>"
+    assert html_text.extract(hidden) == f"Wind\n{words.strip()}\n{words.strip()}"

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
-TELLING = re.compile("class|id|role|hidden", re.I)
+TELLING = re.compile("class|id|role|hidden|style", re.I)
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
@@ -72,7 +73,7 @@ def _dropped(tag: str, attributes: str) -> tuple[bool, bool]:
     if TELLING.search(attributes):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), next((v for v in m.groups()[1:] if v), "")
-            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and HIDING.search(html.unescape(value)):
                 return True, True
             if name == "role" and not ROLES.isdisjoint(value.lower().split()) or name in ("class", "id") and tag not in ("body", "html", "article", "main") and _marked(value):
                 dropped = True
@@ -189,7 +190,7 @@ def parse(page: str) -> Node:
 
 def _restore(body: Node) -> None:
     """Takes back marks of nodes that hold most of the page's plain text and a first heading or article, or without which hardly any text and no such element is left: wrappers
-    of the whole page. Elements for menus, footers and asides stay marked."""
+    of the whole page. Elements for menus, footers and asides stay marked. The header of an article with its heading is part of the article."""
     order, stack = [], [body]
     while stack:
         node = stack.pop()
@@ -212,6 +213,11 @@ def _restore(body: Node) -> None:
     for node in order:  # parents first
         if node.dropped and node.tag not in ("nav", "footer", "aside") and 2 * plain[node] > plain[body] and (heads[node] or not kept[body] and 10 * left[body] < plain[body]):
             node.dropped = False
+        if node.dropped and node.tag == "header" and heads[node]:
+            up = node.parent
+            while up is not body and up.tag not in ("article", "main") and not up.dropped:
+                up = up.parent
+            node.dropped = up.dropped or up.tag != "article"
 
 
 def _measure(root: Node) -> list[Node]:
@@ -316,7 +322,7 @@ def extract(page) -> str:
             run.append(x)
         elif x.tag == "br":
             run.append(" ")
-        elif not x.dropped and (x is root or not _leftover(x, threshold)):
+        elif not x.dropped and (x is root or root.tag == "article" or not _leftover(x, threshold)):  # an article's own links are part of it
             block = x.tag in BLOCK
             if block:
                 end()

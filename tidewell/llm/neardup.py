@@ -17,6 +17,7 @@ bucket are dealt over several tasks, by a hash of their ids, wherever they meet
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -288,5 +289,6 @@ def _beside_hubs(rows: DataFrame, met: DataFrame, sets: DataFrame, percent: int)
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs less those of documents that near_duplicate_groups() does not keep. Rows that repeat a kept doc_id, and those with a null one, all
     stay. All columns stay, whatever their names."""
-    dropped = near_duplicate_groups(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    name = f"dropped_{uuid.uuid4().hex}"
+    dropped = near_duplicate_groups(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped[name], "left_anti")
