@@ -126,7 +126,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, grams): the full shingle sets of the classes in ids (id, doc_id, text_hash), made anew from the texts of these rows."""
+    """(id, grams): the full shingle sets of the classes in ids (id, doc_id, text_hash, repeated: whether several rows have that doc_id and text), made anew from the texts of these
+    rows."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in trimmed(batches):
@@ -134,8 +135,11 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 part = batch.iloc[lo : lo + 500]
                 yield pd.DataFrame({"id": part.id, "grams": [g.view(np.int64) for g in shingle_sets(part.text.tolist(), words)]})
 
-    texts = _texts(docs).join(ids.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
-    return written(texts.mapInPandas(sets, "id long, grams array<long>"), "sets")
+    # Ids are as many as documents in the worst case: texts meet them in a hashed shuffle at every size, without a sort.
+    texts = _texts(docs).join(ids.select("id", "doc_id", "text_hash", "repeated").hint("shuffle_hash"), ["doc_id", "text_hash"])
+    if not ids.where("repeated").isEmpty():  # only texts of repeated rows are told apart once more
+        texts = texts.where(~F.col("repeated")).select("id", "text").unionByName(texts.where("repeated").select("id", "text").dropDuplicates(["id"]))
+    return written(texts.select("id", "text").mapInPandas(sets, "id long, grams array<long>"), "sets")
 
 
 def _part(id_: str) -> Column:
@@ -160,13 +164,15 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("both") >= percent * (F.col("total") - F.col("both"))
 
 
-def _candidates(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(classes: DataFrame, repeated: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(bucket, parts, part, id, n, most, own) for the members of buckets that can have a partner there, and the shingle sets of all of them. own: shingles that no other
-    candidate of a bucket of three or more has; most: shingles that a partner can have at most."""
+    candidate of a bucket of three or more has; most: shingles that a partner can have at most. repeated: (doc_id, text_hash) that stand on several rows."""
     members = classes.select("id", "doc_id", "text_hash", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("members"), F.max("id").alias("top"), F.min("id").alias("low")).where("members > 1 and top > low").select("bucket", "members")
     buckets = written(members.join(written(shared, "shared"), "bucket"), "buckets")
-    ids = written(buckets.groupBy("id").agg(F.max("members").alias("members"), F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash")), "candidates")
+    ids = buckets.groupBy("id").agg(F.max("members").alias("members"), F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"))
+    again = repeated.select("doc_id", "text_hash", F.lit(True).alias("repeated"))
+    ids = written(ids.join(again, ["doc_id", "text_hash"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False))), "candidates")
     sets = shingle_table(docs, ids, words)
     several = sets.join(ids.where("members > 2").select("id"), "id", "left_semi")
     single = several.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
@@ -198,7 +204,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
     repeated = rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("doc_id", "a")
     same = written(rows.join(repeated, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct(), "same-ids")
     roots = _joined(None, same)
-    buckets, sets = _candidates(classes, docs, words, percent)
+    again = known.groupBy("doc_id", "text_hash").count().where("count > 1")
+    buckets, sets = _candidates(classes, again, docs, words, percent)
     turn = 0
     while True:
         found = written(_open_buckets(buckets, roots), "unsolved")
