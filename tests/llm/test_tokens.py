@@ -191,3 +191,49 @@ def test_cells_join_their_worst_sequences(spark, monkeypatch):
     for _, s in got.groupby("sequence_id"):
         assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 100
     assert got.sequence_id.nunique() <= -(-sum(lengths) // 100) + 2
+
+
+def test_cells_of_tiny_pieces_fill_their_sequences(spark, monkeypatch):
+    """A cell of few sequences, all of them badly filled, still passes the worst on."""
+    monkeypatch.setattr(packing, "CELL", 60)
+    table = packing.written(spark.createDataFrame([(k, 3) for k in range(1500)], "piece_key long, length long"), "tiny")
+    got = packing.pack(table, 100).toPandas()
+    assert sorted(got.piece_key) == list(range(1500)) and got.sequence_id.nunique() <= 47  # 33 pieces fill a sequence: 46
+
+
+def test_exchange_tries_every_choice():
+    """The best exchange of up to two items for one or two loose ones, against all choices."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        lengths = np.sort(rng.integers(1, 60, 11))[::-1]
+        p = packing.Packer(lengths, 100, 3)
+        inside: list[int] = []
+        for i in rng.permutation(11)[:5].tolist():
+            if p.fills([[*inside, i]])[0] <= 100:
+                inside.append(i)
+        loose = [i for i in range(11) if i not in inside]
+        few = lambda items, least: [c for n in range(least, 3) for c in combinations(items, n)]
+        weigh = lambda items: sum(int(lengths[i]) for i in items)
+        start = weigh(inside)
+        best = max([start] + [start - weigh(out) + weigh(into) for out in few(inside, 0) for into in few(loose, 1) if start - weigh(out) + weigh(into) <= 100])
+        bins = p.exchange([[*inside]], loose)
+        assert sorted(i for b in bins for i in b) == list(range(11)) and p.fills(bins).max() <= 100
+        assert p.fills(bins)[0] >= best
+
+
+def test_search_acts_on_the_tables_lengths(spark):
+    """On the given documents cells that best fit leaves a sequence too many reach the least number by crossover and migration."""
+    table = packing.written(packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), BYTES, 0, 2048), "lengths")
+    items = table.where("length < 2048").select("length", "piece_key", packing.F.lit(None).cast("long").alias("sequence_id"))
+    states = packing.islands(items, 2048, 12).where("kind = 'own'").toPandas()
+    least = needed = fitted = 0
+    for _, cell in states.groupby("cell"):
+        lengths = np.frombuffer(cell.lengths.iloc[0], "<i4")
+        least += -(-int(lengths.sum()) // 2048)
+        needed += min(np.frombuffer(p[0], "<i4").max() + 1 for p in cell.packings)
+        fitted += len(packing.Packer(lengths, 2048, 0).first(0))
+    print("fitted", fitted, "needed", needed, "least", least, "crossed", states.crossed.sum(), "migrated", states.migrated.sum())
+    assert needed <= fitted and needed - least <= 0.5 * (fitted - least)
+    assert states.crossed.sum() > 0

@@ -4,14 +4,13 @@ Documents longer than a sequence are cut into full pieces; their first piece is
 dealt at random into cells of about CELL pieces, and each cell is a bin-packing problem of bounded size, however large the table or any document group is. For each cell
 some islands evolve populations of packings apart from each other, as separate rows of a Spark job; after each round an island's best packing migrates to the next
 island of its cell. The WORST least filled sequences of every cell then meet those of other cells in new cells, level by level until one cell is left, so that a cell's
-last sequence doesn't stay half empty. Best fit by falling length often needs no more sequences than the lengths force, and one more that the next level takes back;
-then a cell is done at once, and the search works where it is not, and in the last cell.
+last sequence doesn't stay half empty. Every cell of every level is searched until it has as few sequences as its lengths force, or PATIENCE runs out; where best fit by
+falling length has as few at once, nothing can be better and nothing is searched.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,11 @@ from tidewell.llm.tokens import encoder
 CELL, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3000, 2, 2, 60, 8
 #: Generations without a better packing after which an island ends its round.
 PATIENCE = 20
-#: Sequences of a cell that go on to the next level, and loose pieces that take part in exchanges at once.
-WORST, LOOSE = 6, 24
+#: Of a cell's sequences those with most room that go on to the next level, at most half of them.
+WORST = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, piece_key long"
-STATE = "cell long, island int, lengths binary, keys binary, kind string, packings array<binary>"
+#: crossed and migrated: children of crossover and migrants that an island has taken in so far.
+STATE = "cell long, island int, lengths binary, keys binary, kind string, packings array<binary>, crossed long, migrated long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -58,7 +58,7 @@ class Packer:
     """Packings of one cell: lists of bins, a bin being a list of item numbers. Items are numbered by falling length."""
 
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
-        self.sizes, self.capacity, self.rng = lengths.tolist(), capacity, np.random.default_rng(seed)
+        self.sizes, self.capacity, self.rng, self.crossed = lengths.tolist(), capacity, np.random.default_rng(seed), 0
 
     def best_fit(self, items: list[int], bins: list[list[int]]) -> list[list[int]]:
         """Puts items, in the given order, each into the fullest of the bins that has room. Bins are kept by room left, and the set of rooms in use as
@@ -98,31 +98,47 @@ class Packer:
         """Fewer bins first; then uneven filling, which leaves bins that are easy to empty."""
         return -len(bins), float(np.square(self.fills(bins) / self.capacity).sum())
 
+    def sums(self, items: list[int]) -> int:
+        """The sizes of one or two of the items together, as the bits of one integer, up to the capacity."""
+        ones = pairs = 0
+        for i in items:
+            pairs |= ones << self.sizes[i]
+            ones |= 1 << self.sizes[i]
+        return (ones | pairs) & ((2 << self.capacity) - 1)
+
+    def of_size(self, items: list[int], size: int) -> tuple[int, ...]:
+        """One or two of the items that have this size together, which some have; none for size 0."""
+        seen: dict[int, int] = {}
+        for i in items:
+            if self.sizes[i] == size:
+                return (i,)
+            if size - self.sizes[i] in seen:
+                return seen[size - self.sizes[i]], i
+            seen.setdefault(self.sizes[i], i)
+        return ()
+
     def exchange(self, bins: list[list[int]], loose: list[int]) -> list[list[int]]:
-        """Goes over the bins in random order and exchanges one or two items of a bin for one or two loose ones that fill it best; what is loose then is put by best fit."""
-        sizes, free, sums = self.sizes, sorted(loose)[:LOOSE], None
-        rest = sorted(loose)[LOOSE:]
-        for k in self.rng.permutation(len(bins)).tolist() if free else ():
-            b = bins[k]
-            room = self.capacity - sum(map(sizes.__getitem__, b))
+        """Goes over the bins in random order and exchanges up to two items of a bin for one or two loose ones so that it is filled best; what is loose then is put by
+        best fit. All choices of items are tried at once: shifting the bits of what can leave by a gain, and meeting them with those of what can enter."""
+        loose, enter = sorted(loose), None
+        for k in self.rng.permutation(len(bins)).tolist():
+            if not loose:
+                break
+            room = self.capacity - sum(map(self.sizes.__getitem__, bins[k]))
             if not room:
                 continue
-            if sums is None:
-                sums = sorted([(sizes[i], (i,)) for i in free] + [(sizes[i] + sizes[j], (i, j)) for n, i in enumerate(free) for j in free[:n]])
-            best = (0, (), ())
-            few = b if len(b) <= 12 else self.rng.choice(b, 12, replace=False).tolist()
-            for size, out in [(0, ())] + [(sizes[i], (i,)) for i in few] + [(sizes[i] + sizes[j], (i, j)) for n, i in enumerate(few) for j in few[:n]]:
-                at = bisect_right(sums, size + room, key=lambda x: x[0]) - 1
-                if at >= 0 and sums[at][0] - size > best[0]:
-                    best = (sums[at][0] - size, out, sums[at][1])
-                    if best[0] == room:
-                        break
-            if best[0]:
-                bins[k] = [i for i in b if i not in best[1]] + [*best[2]]
-                free, sums = sorted([i for i in free if i not in best[2]] + [*best[1]]), None
-                if not free:
+            if enter is None:
+                enter = self.sums(loose)
+            leave = self.sums(bins[k]) | 1
+            for gain in range(room, 0, -1):
+                both = leave << gain & enter
+                if both:
+                    size = (both & -both).bit_length() - 1
+                    into, out = self.of_size(loose, size), self.of_size(bins[k], size - gain)
+                    bins[k] = [i for i in bins[k] if i not in out] + [*into]
+                    loose, enter = sorted([i for i in loose if i not in into] + [*out]), None
                     break
-        return self.best_fit(sorted(free + rest), bins)
+        return self.best_fit(loose, bins)
 
     def cross(self, mother: list[list[int]], father: list[list[int]]) -> list[list[int]]:
         """Injects a random half of the mother's well-filled bins whole; of the father's bins those without any of their items stay; the other items,
@@ -161,10 +177,12 @@ class Packer:
             if len(scored[0][1]) <= least or len(scored) < 2 or idle >= PATIENCE:
                 break
             a, b = (int(self.rng.integers(0, len(scored), 2).min()) for _ in range(2))
-            child = self.mutate(scored[a][1]) if a == b or self.rng.random() < 0.4 else self.cross(scored[a][1], scored[b][1])
+            alone = a == b or self.rng.random() < 0.4
+            child = self.mutate(scored[a][1]) if alone else self.cross(scored[a][1], scored[b][1])
             new = self.fitness(child)
             idle = 0 if new > scored[0][0] else idle + 1
             if all(new != f for f, _ in scored):  # equal packings would fill the population
+                self.crossed += not alone
                 scored[-1] = (new, child)
                 scored.sort(key=lambda x: x[0], reverse=True)
         return [p for _, p in scored]
@@ -188,70 +206,75 @@ def _start(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["length", "piece_key"], ascending=[False, True])
     lengths, keys = group.length.to_numpy("<i4").tobytes(), group.piece_key.to_numpy("<i8").tobytes()
     known = [] if group.sequence_id.isna().any() else [pd.factorize(group.sequence_id)[0].astype("<i4").tobytes()]
-    return pd.DataFrame({"cell": group.cell.iloc[0], "island": range(ISLANDS), "lengths": lengths, "keys": keys, "kind": "own", "packings": [known for _ in range(ISLANDS)]})
+    return pd.DataFrame({"cell": group.cell.iloc[0], "island": range(ISLANDS), "lengths": lengths, "keys": keys, "kind": "own", "packings": [known for _ in range(ISLANDS)], "crossed": 0, "migrated": 0})
 
 
-def _round(capacity: int, turn: int, spare: int):
+def _round(capacity: int, turn: int):
     def step(group: pd.DataFrame) -> pd.DataFrame:
-        """One island's round: its own packings (in the first round, new ones) and the migrant evolve; then its best goes on to the next island as well. A packing with
-        `spare` sequences more than the lengths force is good enough."""
+        """One island's round: its own packings (in the first round, new ones) and the migrant evolve; then its best goes on to the next island as well. A migrant is
+        taken in unless the island has a packing just as good already."""
         own, cell, island = group[group.kind == "own"].iloc[0], int(group.cell.iloc[0]), int(group.island.iloc[0])
         lengths = np.frombuffer(own.lengths, "<i4")
         packer = Packer(lengths, capacity, (cell * ISLANDS + island) * 1000 + turn)
-        least = -(-int(lengths.sum()) // capacity) + spare
+        least = -(-int(lengths.sum()) // capacity)
         population = [_unpack(p) for p in own.packings]
         if turn == 0:
             for k in range(POPULATION):
                 population.append(packer.first(k if island == 0 else k + (k > 0) * island * POPULATION))
                 if len(population[-1]) <= least:
                     break
-        for p in group[group.kind == "migrant"].packings:
-            population.append(_unpack(p[0]))
-        population = packer.evolve(population, least)[:POPULATION]
+        migrants = [_unpack(p[0]) for p in group[group.kind == "migrant"].packings]
+        known = {packer.fitness(p) for p in population}
+        migrants = [p for p in migrants if packer.fitness(p) not in known]
+        population = packer.evolve(population + migrants, least)[:POPULATION]
         packed = [_pack(p, len(lengths)) for p in (population[:1] if len(population[0]) <= least else population)]
-        rows = [(cell, island, own.lengths, own["keys"], "own", packed)]
+        rows = [(cell, island, own.lengths, own["keys"], "own", packed, own.crossed + packer.crossed, own.migrated + len(migrants))]
         if turn < ROUNDS - 1:
-            rows.append((cell, (island + 1) % ISLANDS, b"", b"", "migrant", packed[:1]))
-        return pd.DataFrame(rows, columns=["cell", "island", "lengths", "keys", "kind", "packings"])
+            rows.append((cell, (island + 1) % ISLANDS, b"", b"", "migrant", packed[:1], 0, 0))
+        return pd.DataFrame(rows, columns=["cell", "island", "lengths", "keys", "kind", "packings", "crossed", "migrated"])
 
     return step
 
 
-def _result(level: int):
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        """Of the cell's islands the best packing: for each piece the sequence and its place in it; `more` for the pieces of the worst filled sequences."""
-        row = min((r for r in group.itertuples()), key=lambda r: (max(np.frombuffer(r.packings[0], "<i4"), default=0), r.island))
-        at, lengths, keys = np.frombuffer(row.packings[0], "<i4"), np.frombuffer(row.lengths, "<i4"), np.frombuffer(row.keys, "<i8")
-        order = np.lexsort((keys, at))
-        total = np.cumsum(lengths[order]) - lengths[order]
-        first = np.searchsorted(at[order], at[order])
-        worst = np.argsort(np.bincount(at, lengths), kind="stable")[:WORST]
-        sequence = ((int(row.cell) << 5 | level) << 20 | at[order].astype(np.int64)) << 1
-        return pd.DataFrame({"piece_key": keys[order], "sequence_id": sequence, "offset": (total - total[first]).astype(np.int64), "length": lengths[order], "more": np.isin(at[order], worst)})
+def _result(group: pd.DataFrame) -> pd.DataFrame:
+    """Of the cell's islands the best packing: for each piece the sequence and its place in it; `more` for the pieces of the worst filled sequences."""
+    row = min((r for r in group.itertuples()), key=lambda r: (max(np.frombuffer(r.packings[0], "<i4"), default=0), r.island))
+    at, lengths, keys = np.frombuffer(row.packings[0], "<i4"), np.frombuffer(row.lengths, "<i4"), np.frombuffer(row.keys, "<i8")
+    order = np.lexsort((keys, at))
+    total = np.cumsum(lengths[order]) - lengths[order]
+    first = np.searchsorted(at[order], at[order])
+    fill = np.bincount(at, lengths)
+    worst = np.argsort(fill, kind="stable")[: min(WORST, max(1, len(fill) // 2))]
+    sequence = (int(row.cell) << 20 | at[order].astype(np.int64)) << 1
+    return pd.DataFrame({"piece_key": keys[order], "sequence_id": sequence, "offset": (total - total[first]).astype(np.int64), "length": lengths[order], "more": np.isin(at[order], worst)})
 
-    return best
+
+def islands(items: DataFrame, capacity: int, cells: int, first: int = 0) -> DataFrame:
+    """The last state of every island of every cell: items (length, piece_key, sequence_id, null or that of a packing they have) dealt into `cells` cells, numbered from
+    `first`. Columns crossed and migrated tell how many children of crossover and how many migrants an island took in."""
+    cell = F.pmod(F.xxhash64(F.coalesce("sequence_id", "piece_key"), F.lit(first)), F.lit(cells)) + first
+    state = items.withColumn("cell", cell).groupBy("cell").applyInPandas(_start, STATE)
+    for turn in range(ROUNDS):
+        state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn), STATE)
+    return state
 
 
 def pack(table: DataFrame, capacity: int) -> DataFrame:
     """sequence_id and offset for every row of a stored pieces() table (columns length, piece_key). Pieces must be 1 to capacity long."""
     whole, part = table.where(F.col("length") == capacity), table.where(F.col("length") < capacity)
-    items, placed, level = part.select("length", "piece_key", F.lit(None).cast("long").alias("sequence_id")), None, 0
+    items, placed, first = part.select("length", "piece_key", F.lit(None).cast("long").alias("sequence_id")), None, 0
     count = items.count()
     while True:
         cells = max(1, round(count / CELL))
-        state = items.withColumn("cell", F.pmod(F.xxhash64(F.coalesce("sequence_id", "piece_key"), F.lit(level)), F.lit(cells))).groupBy("cell").applyInPandas(_start, STATE)
-        for turn in range(ROUNDS):
-            state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn, int(cells > 1)), STATE)  # what a cell spares, the next level takes back
-        done = written(state.groupBy("cell").applyInPandas(_result(level), "piece_key long, sequence_id long, offset long, length int, more boolean"), "placed")
-        final = (done.where("not more") if cells > 1 else done).select("piece_key", "sequence_id", "offset")
+        done = written(islands(items, capacity, cells, first).groupBy("cell").applyInPandas(_result, "piece_key long, sequence_id long, offset long, length int, more boolean"), "placed")
+        more, before, first = done.where("more"), count, first + cells
+        count = 0 if cells == 1 else more.count()
+        last = not 0 < count < before
+        final = (done if last else done.where("not more")).select("piece_key", "sequence_id", "offset")
         placed = final if placed is None else placed.unionByName(final)
-        if cells == 1:
-            break
-        items, level, before = done.where("more").select("length", "piece_key", "sequence_id"), level + 1, count
-        count = items.count()
-        if count >= before or level == 31:  # nothing but worst sequences is left: cells of few, long pieces
-            placed = placed.unionByName(done.where("more").select("piece_key", "sequence_id", "offset"))
+        if last:
             break
+        items = more.select("length", "piece_key", "sequence_id")
     return part.join(placed, "piece_key").unionByName(whole.withColumns({"sequence_id": F.col("piece_key") * 2 + 1, "offset": F.lit(0).cast("long")}))
 
 
