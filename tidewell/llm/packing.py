@@ -23,7 +23,9 @@ from tidewell.llm.tokens import encoder
 
 CELL, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3000, 2, 2, 60, 8
 #: Generations without a better packing after which an island ends its round.
-PATIENCE = 20
+PATIENCE = 30
+#: Most tasks of a round of islands.
+PARTS = 4096
 #: Of a cell's sequences those with most room that go on to the next level, at most half of them.
 WORST = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, piece_key long"
@@ -96,49 +98,62 @@ class Packer:
 
     def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
         """Fewer bins first; then uneven filling, which leaves bins that are easy to empty."""
-        return -len(bins), float(np.square(self.fills(bins) / self.capacity).sum())
-
-    def sums(self, items: list[int]) -> int:
-        """The sizes of one or two of the items together, as the bits of one integer, up to the capacity."""
-        ones = pairs = 0
-        for i in items:
-            pairs |= ones << self.sizes[i]
-            ones |= 1 << self.sizes[i]
-        return (ones | pairs) & ((2 << self.capacity) - 1)
-
-    def of_size(self, items: list[int], size: int) -> tuple[int, ...]:
-        """One or two of the items that have this size together, which some have; none for size 0."""
-        seen: dict[int, int] = {}
-        for i in items:
-            if self.sizes[i] == size:
-                return (i,)
-            if size - self.sizes[i] in seen:
-                return seen[size - self.sizes[i]], i
-            seen.setdefault(self.sizes[i], i)
-        return ()
+        fills = self.fills(bins)
+        return -len(bins), float(fills @ fills) / self.capacity**2
 
     def exchange(self, bins: list[list[int]], loose: list[int]) -> list[list[int]]:
         """Goes over the bins in random order and exchanges up to two items of a bin for one or two loose ones so that it is filled best; what is loose then is put by
-        best fit. All choices of items are tried at once: shifting the bits of what can leave by a gain, and meeting them with those of what can enter."""
-        loose, enter = sorted(loose), None
+        best fit. All choices of items are tried at once: sizes that can leave are the bits of one integer, those that can enter of another, and the first shifted by a
+        gain meets the second. Bits of loose sizes are added as items come loose, and go when no loose items of that size are found."""
+        sizes, within, free, ones, enter = self.sizes, (2 << self.capacity) - 1, {}, 0, 0
+        coming = loose
         for k in self.rng.permutation(len(bins)).tolist():
-            if not loose:
+            for i in coming:
+                free.setdefault(sizes[i], []).append(i)
+                enter |= (ones << sizes[i] | 1 << sizes[i]) & within
+                ones |= 1 << sizes[i]
+            coming = []
+            if not free:
                 break
-            room = self.capacity - sum(map(self.sizes.__getitem__, bins[k]))
+            of = [sizes[i] for i in bins[k]]
+            room = self.capacity - sum(of)
             if not room:
                 continue
-            if enter is None:
-                enter = self.sums(loose)
-            leave = self.sums(bins[k]) | 1
-            for gain in range(room, 0, -1):
+            single, pairs = 1, 0
+            for s in of:
+                pairs |= single << s
+                single |= 1 << s
+            leave, gain = single | pairs, room
+            while gain:
                 both = leave << gain & enter
-                if both:
-                    size = (both & -both).bit_length() - 1
-                    into, out = self.of_size(loose, size), self.of_size(bins[k], size - gain)
-                    bins[k] = [i for i in bins[k] if i not in out] + [*into]
-                    loose, enter = sorted([i for i in loose if i not in into] + [*out]), None
-                    break
-        return self.best_fit(loose, bins)
+                if not both:
+                    gain -= 1
+                    continue
+                size = (both & -both).bit_length() - 1
+                into = self.of_size(free, size)
+                if not into:
+                    enter &= ~(1 << size)
+                    continue
+                inside: dict[int, list[int]] = {}
+                for i in bins[k]:
+                    inside.setdefault(sizes[i], []).append(i)
+                coming = self.of_size(inside, size - gain)
+                bins[k] = [i for i in bins[k] if i not in coming] + [*into]
+                for i in into:
+                    free[sizes[i]].remove(i)
+                    if not free[sizes[i]]:
+                        del free[sizes[i]]
+                break
+        return self.best_fit(sorted([i for v in free.values() for i in v] + [*coming]), bins)
+
+    def of_size(self, by_size: dict[int, list[int]], size: int) -> tuple[int, ...]:
+        """One or two of the items that have this size together; none if no choice has."""
+        if size in by_size:
+            return (by_size[size][-1],)
+        for s, items in by_size.items():
+            if size - s in by_size and (2 * s != size or len(items) > 1):
+                return (items[-1], by_size[size - s][0])
+        return ()
 
     def cross(self, mother: list[list[int]], father: list[list[int]]) -> list[list[int]]:
         """Injects a random half of the mother's well-filled bins whole; of the father's bins those without any of their items stay; the other items,
@@ -255,7 +270,8 @@ def islands(items: DataFrame, capacity: int, cells: int, first: int = 0) -> Data
     cell = F.pmod(F.xxhash64(F.coalesce("sequence_id", "piece_key"), F.lit(first)), F.lit(cells)) + first
     state = items.withColumn("cell", cell).groupBy("cell").applyInPandas(_start, STATE)
     for turn in range(ROUNDS):
-        state = state.groupBy("cell", "island").applyInPandas(_round(capacity, turn), STATE)
+        # a stated number of parts: by their few bytes all islands would be joined into one task
+        state = state.repartition(min(max(1, cells * ISLANDS // 4), PARTS), "cell", "island").groupBy("cell", "island").applyInPandas(_round(capacity, turn), STATE)
     return state
 
 
