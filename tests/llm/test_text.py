@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, odd_rows, prose
-from tidewell.llm import html_text, langid, licenses, quality
+from tidewell.llm import common, html_text, langid, licenses, quality
 
 
 def test_language_is_learnt(docs):
@@ -501,3 +501,27 @@ def test_articles_keep_their_header_and_links():
     assert got[0] == "Wind" and got[1] == words.strip() and "A report on the wind, volume 5" in got and not {"Site name", "Up", "unseen"} & set(got)
     hidden = f"<article><h1>Wind</h1><p>{words}</p><p style=\"display:none\">{words} twice</p><p style=\"display:block\">{words}</p></article>"
     assert html_text.extract(hidden) == f"Wind\n{words.strip()}\n{words.strip()}"
+
+
+def test_sample_of_one_id_is_bounded(spark, monkeypatch):
+    """Labelled rows that share an id, or have none, are drawn one by one."""
+    monkeypatch.setattr(langid, "SAMPLE", 100)
+    spell = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    for doc_id in (None, 1):  # not held out
+        rows = [(doc_id, spell(k), "xy"[k % 2], None, None) for k in range(1000, 3000)]
+        model = langid.learn(spark.createDataFrame(rows, SCHEMA))
+        assert model.languages == ["x", "y"] and 50 < len(model.words) < 200
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 100_000])
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch, block):
+    """Equal words have equal hashes wherever they stand, whatever the block."""
+    rng = random.Random(3)
+    blobs = [b"", b"  ", b"A", *(("\t".join(prose(rng, 3) for _ in range(40)) + " " * rng.randint(0, 9)).encode() for _ in range(20)), b"x" * 3000, "ÄÖ ß".encode(), b" "]
+    whole, first = common.word_hashes(blobs, True)
+    monkeypatch.setattr(common, "BLOCK", block)
+    monkeypatch.setattr(common, "_powers", [])
+    hashes, starts = common.word_hashes(blobs, True)
+    assert (hashes == whole).all() and (starts == first).all()
+    words = [w for b in blobs for w in re.findall(rb"[^\x20\x09-\x0D]+", b.lower())]
+    assert len(words) == len(hashes) and len(dict(zip(words, hashes.tolist(), strict=True))) == len(set(zip(words, hashes.tolist(), strict=True))) == len({*hashes.tolist()})

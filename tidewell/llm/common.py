@@ -23,6 +23,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
+#: Bytes that words are hashed in at once.
+BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -116,27 +118,34 @@ def chunks(blobs: Iterable[bytes], limit: int = 1 << 20):
 def word_hashes(blobs: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all blobs, and for each blob the index of its first word (one more entry ends the last).
 
-    Words are runs of bytes that are no white space. The hash of a word is a difference of running polynomial sums,
-    which takes a few passes over the bytes however many words there are.
+    Words are runs of bytes that are no white space. The hash of a word is a difference of running polynomial sums, which takes a few passes over the bytes however many
+    words there are. The sums run over blocks of about BLOCK bytes that end at white space, and a word has the same hash wherever it stands.
     """
     data = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
     if lower:
         data = _LOWER[data]
     n = len(data)
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n + 1, (1 << 20) + 4096)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64))).cumprod() for b in (_BASE, _UNBASE)]
-    up, down = _powers
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    hashes, lo = np.empty(len(start), np.uint64), 0
+    while lo < n:
+        hi = lo + BLOCK
+        hi = n if hi >= n else hi + int(space[hi:].argmax()) + 1
+        if not _powers or len(_powers[0]) < hi - lo + 1:
+            size = max(hi - lo, BLOCK + 4096) + 1
+            with np.errstate(over="ignore"):
+                _powers[:] = [np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64))).cumprod() for b in (_BASE, _UNBASE)]
+        up, down = _powers
+        of = slice(*np.searchsorted(start, (lo, hi)))
+        first, last = start[of] - lo, end[of] - lo
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        hashes[of] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        lo = hi
     at = np.cumsum([0, *(len(b) + 1 for b in blobs)])
-    if len(_powers[0]) > (1 << 21):  # those of a very long text are not kept
+    if _powers and len(_powers[0]) > 2 * BLOCK:  # those of a very long word are not kept
         _powers.clear()
     return hashes, np.searchsorted(start, at)

@@ -124,14 +124,15 @@ class Scorer:
 
 def learn(docs: DataFrame) -> Model:
     """Learns from text and non-null lang of documents that are not held out. Sizes of languages are counted over all, and every language is learnt; words and n-grams are
-    counted over whole texts of the sample (SAMPLE, LEAST), which bounds what comes to the driver. Without labelled documents the model knows no language."""
+    counted over whole texts of the sample (SAMPLE, LEAST), which bounds what comes to the driver: only rows equal in id and text are drawn together, and
+    they bring the same entries. Without labelled documents the model knows no language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = labelled.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not sizes:
         return Model([], [])
     wanted = max(SAMPLE / len(sizes), LEAST)
     shares = docs.sparkSession.createDataFrame([(k, r.lang, min(1.0, wanted / r["count"])) for k, r in enumerate(sizes)], "place int, lang string, share double")
-    drawn = labelled.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 1) / float(1 << 20) <= F.col("share"))
+    drawn = labelled.join(F.broadcast(shares), "lang").where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) + 1) / float(1 << 20) <= F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
