@@ -151,3 +151,45 @@ def test_large_buckets_are_split(spark, monkeypatch):
     rows = cluster_rows()
     got = neardup.near_duplicate_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), 4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4)
+
+
+@pytest.mark.parametrize("split", [5, 400])
+def test_shared_outer_shingles_meet_in_stars(spark, monkeypatch, split):
+    """Members that share shingles outside their hubs: those of one group meet one of them, not each other; no link is lost, though a star's hub may be linked with few."""
+    rng = random.Random(4)
+    groups = [set(range(1000 * g, 1000 * g + 40)) for g in range(3)]
+    sets = {}
+    for size, group in zip((60, 20, 8), groups, strict=True):
+        for _ in range(size):
+            sets[len(sets)] = group - set(rng.sample(sorted(group), 1)) | {rng.randrange(10**6, 10**9) for _ in range(3)}
+    for _ in range(25):  # parts of a group, linked with some of the others
+        sets[len(sets)] = set(rng.sample(sorted(groups[2]), 33))
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    k = {}
+    for grams in sets.values():
+        for g in grams:
+            k[g] = k.get(g, 0) + 1
+    has = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, grams array<long>")
+    people = spark.createDataFrame([(i, i, len(s), sum(k[g] == 1 for g in s), g) for i, s in sets.items() for g in s], "id long, root long, n long, own long, gram long")
+    rare = spark.createDataFrame([(i, g, -(-k[g] // split)) for i, s in sets.items() for g in s if k[g] > 1], "id long, gram long, parts long")
+    met, compared = [], neardup.compared
+
+    def counted(pairs, sets):
+        met.append(pairs.count())
+        return compared(pairs, sets)
+
+    monkeypatch.setattr(neardup, "compared", counted)
+    got = {r.node: r.root for r in neardup._outer_links(rare, people, has, None, 80).collect()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    assert all(got.get(i, i) == find(i) for i in sets)
+    assert len({find(i) for i in sets}) > 3
+    assert met[0] < 5 * len(sets) and sum(met) < 1770 // 2  # all pairs of the largest group: 1770

@@ -216,8 +216,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80) ->
         roots = _joined(roots, met.where(_linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")))
         buckets = found.drop("root").join(stars.select("bucket", F.col("hub").alias("id")).distinct(), ["bucket", "id"], "left_anti")
         if turn == 0:
-            buckets, more = _beside_hubs(written(_open_buckets(buckets, roots), "beside"), met, sets, percent)
-            roots = _joined(roots, more)
+            buckets, roots = _beside_hubs(written(_open_buckets(buckets, roots), "beside"), met, sets, roots, percent)
         turn += 1
     named = classes.select("id", "low")
     if roots is not None:
@@ -269,9 +268,9 @@ def _stars(rows: DataFrame, hubs: int, turn: int, percent: int) -> DataFrame:
     return met.unionByName(hub.select("bucket", "parts", F.col("h.id").alias("hub"), F.lit(None).cast("long").alias("id")))
 
 
-def _beside_hubs(rows: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _beside_hubs(rows: DataFrame, met: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """For the rows of open buckets after the first turn: the rows with a smaller `most` where a member is linked with none of its hubs, less those that can have no
-    partner left; and the links (a, b) of such members by shingles outside the hub that has most in common with them. A member that lacks d shingles of the least
+    partner left; and the roots after the links of such members by shingles outside the hub that has most in common with them. A member that lacks d shingles of the least
     intersection with a partner, apart from those it has in common with the hub, shares one of its m - d + 1 rarest others with any partner."""
     tried = met.withColumn("linked", _linked(percent)).groupBy("id").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"), F.max("both").alias("both"), F.max("linked").alias("linked"))
     least = _to_parts(rows.groupBy("bucket").agg(F.min("n").alias("least"), F.max("parts").alias("parts")))
@@ -279,18 +278,43 @@ def _beside_hubs(rows: DataFrame, met: DataFrame, sets: DataFrame, percent: int)
     apart = rows.where(~F.col("linked"))
     lack = F.ceil(F.lit(percent) * (F.col("n") + F.min("least")) / (100 + percent)) - F.col("both")
     needs = apart.groupBy("id", "hub", "n", "both").agg(F.greatest(lack, F.lit(1)).cast("int").alias("lack"), F.max("parts").alias("parts"))
-    grams = sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode("grams").alias("gram"))
+    people = rows.select("id", "root", "n", "own").distinct()
+    grams = sets.join(people, "id").select("id", "root", "n", "own", F.explode("grams").alias("gram"))
     hubs = _to_parts(sets.withColumnRenamed("id", "hub").join(needs.groupBy("hub").agg(F.max("parts").alias("parts")), "hub").withColumnRenamed("grams", "hub_grams"))
     own = needs.withColumn("part", _part("id")).join(hubs, ["hub", "part"]).join(sets, "id").select("id", "hub", "lack", F.explode(F.array_except("grams", "hub_grams")).alias("gram"))
     own = written(own, "outside")
     counts = grams.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     order = Window.partitionBy("id", "hub")  # as many rows as a set has shingles at most
     rare = own.join(counts, "gram").withColumn("place", F.row_number().over(order.orderBy("k", "gram"))).withColumn("m", F.count("*").over(order)).where("place <= m - lack + 1")
-    pairs = rare.select(F.col("id").alias("x"), "gram").distinct().join(grams, "gram").where("x != id").select(F.least("x", "id").alias("hub"), F.greatest("x", "id").alias("id")).distinct()
-    links = written(compared(pairs.withColumn("parts", F.lit(1).cast("long")), sets).where(_linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")), "outer-links")
+    rare = written(rare.groupBy("id", "gram").agg(F.ceil(F.first("k") / SPLIT).cast("long").alias("parts")), "rare")
+    roots = _outer_links(rare, grams, sets, roots, percent)
     reach = F.floor((100 + percent) * F.col("both") / percent - F.col("n")).cast("long")
     rows = rows.withColumn("most", F.when(~F.coalesce("linked", F.lit(True)), F.least("most", reach)).otherwise(F.col("most")))
-    return rows.where("most >= least").select("bucket", "parts", "part", "id", "n", "most", "own"), links
+    return rows.where("most >= least").select("bucket", "parts", "part", "id", "n", "most", "own"), roots
+
+
+def _outer_links(rare: DataFrame, grams: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame | None:
+    """The roots after the links of each member in rare (id, gram, parts) with all of grams (id, root, n, own, gram) that have the shingle. First the members with a shingle
+    meet one hub of it, a star; then those of rare meet only members that are of another component still. A shingle of many members is dealt over `parts` tasks."""
+    parts = rare.groupBy("gram").agg(F.first("parts").alias("parts"))
+    seeking = rare.select("id", "gram", F.lit(True).alias("seeks"))
+    members = grams.join(parts, "gram").join(seeking, ["id", "gram"], "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
+    members = written(members.withColumn("part", _part("id")), "sharing")
+    near = 100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")
+    draw = F.struct("own", F.xxhash64("id").alias("draw"), "id", "root", "n")
+    hub = members.groupBy("gram").agg(F.min(draw).alias("h"), F.max("parts").alias("parts"), F.min("root").alias("low"), F.max("root").alias("top")).where("low < top")
+    hub = _to_parts(hub.select("gram", "parts", F.col("h.id").alias("hub"), F.col("h.root").alias("root_x"), F.col("h.n").alias("n_x")))
+    star = members.join(hub, ["gram", "part"]).where(near & (F.col("root") != F.col("root_x"))).groupBy("hub", "id").agg(F.max("parts").alias("parts"))
+    roots = _joined(roots, written(compared(star, sets).where(_linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")), "outer-stars"))
+    if roots is not None:
+        members = members.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = members.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("top"), F.max("parts").alias("parts")).where("low < top").select("gram", "parts")
+    members = members.drop("parts").join(_to_parts(mixed.withColumn("all_parts", F.col("parts"))), ["gram", "part"]).withColumnRenamed("all_parts", "parts")
+    members = written(members, "sharing-still")
+    seekers = _to_parts(members.where("seeks").select("gram", "parts", F.col("id").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x")))
+    pairs = seekers.join(members, ["gram", "part"]).where(near & (F.col("root") != F.col("root_x")))
+    pairs = pairs.groupBy(F.least("x", "id").alias("hub"), F.greatest("x", "id").alias("id")).agg(F.max("parts").alias("parts"))
+    return _joined(roots, written(compared(pairs, sets).where(_linked(percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")), "outer-links"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
