@@ -266,3 +266,64 @@ def test_personal_odd(spark, clashing, none):
     long = "1" * 200000 + " " + "a." * 100000 + "@" + "+1" * 50000 + "x@y" * 50000
     r = privacy.report(privacy.personal_spans(spark.createDataFrame([(1, long)], "doc_id long, text string"))).first()
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (0, 0, 0, 0)
+
+
+def whole_spans(rows) -> dict:
+    """Spans by document, from counts held in dictionaries: a term and an entity stand together wherever they stand in one text, and terms are marked at every place."""
+    total, pieces = len(rows), []
+    term_docs, entity_docs, both_docs, both_texts = Counter(), Counter(), Counter(), defaultdict(set)
+    for _, text in rows:
+        base = privacy.base_spans(text) if text else []
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", text or "") if len(m[0]) >= 5]
+        free = [w for w in words if not any(w[0] < b and a < w[1] for a, _, b, _ in base)]
+        pieces.append((base, free))
+        entities = {e for *_, e in base}
+        term_docs.update({x for *_, t in words for x in (t, t[:4] + "*")})
+        entity_docs.update(entities)
+        for pair in {(x, e) for *_, t in free for x in (t, t[:4] + "*") for e in entities}:
+            both_docs[pair] += 1
+            both_texts[pair].add(text)
+
+    def told(t, e):
+        whole = math.log2(total / entity_docs[e])
+        return math.log2(both_docs[t, e] * total / (term_docs[t] * entity_docs[e])) / whole if whole else 0
+
+    gives = defaultdict(set)
+    for (t, e), texts in both_texts.items():
+        if not t.endswith("*") and len(texts) >= 2 and told(t, e) >= 0.9:
+            gives[t].add(e)
+    general = {t: "" if any(told(t[:4] + "*", e) >= 0.9 for e in found) else t[:4] + "*" for t, found in gives.items()}
+    return {d: sorted([(a, k, b, "") for a, k, b, _ in base] + [(a, 4, b, general[t]) for a, b, t in free if t in general]) for (d, _), (base, free) in zip(rows, pieces, strict=True)}
+
+
+def spans_of(docs) -> dict:
+    return {r.doc_id: [(s.start, s.kind, s.end, s.general or "") for s in r.spans] for r in privacy.personal_spans(docs).collect()}
+
+
+def test_terms_far_from_the_entity(spark):
+    """A nickname tells of an address however far from it it stands, at each of its places, and in a text without any address."""
+    far = " so it was and so it is" * 400
+    rows = [(k, f"{k} met Zorblax.{far} Mail zed@mail.example.com.{far} Then Zorblax left") for k in range(3)]
+    rows += [(3, f"Who is Zorblax?{far}"), *((10 + k, f"nothing {k}{far}") for k in range(60))]
+    got = spans_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {d: [rows[d][1][a:b] for a, k, b, _ in got[d] if k == 4] for d in range(4)} == {0: ["Zorblax"] * 2, 1: ["Zorblax"] * 2, 2: ["Zorblax"] * 2, 3: ["Zorblax"]}
+    assert got == whole_spans(rows) and not any(got[10 + k] for k in range(60))
+
+
+def test_terms_of_made_corpora(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        words = ["".join(rng.choice("abcÉ") for _ in range(rng.randint(4, 6))) for _ in range(150)]
+        people = [(f"p{k}@mail{k}.example", f"+49 170 55512{k:02}", ["".join(rng.choice("abcÉ") for _ in range(7)) for _ in range(3)]) for k in range(12)]
+        rows = []
+        for d in range(150):
+            parts = rng.sample(words, rng.randint(0, 12))
+            for mail, phone, own in rng.sample(people, rng.choice((0, 0, 0, 1, 2))):
+                parts += [rng.choice((mail, mail.upper(), phone)), *rng.sample(own, 2), rng.choice(own).upper()]
+            parts += [rng.choice(people)[2][0]] * (rng.random() < 0.05)
+            rng.shuffle(parts)
+            rows.append((d, " ".join(parts) + rng.choice(("", "." * 150 + rng.choice(words)))))
+        rows += [(200 + k, rows[k][1]) for k in range(20)]
+        want = whole_spans(rows)
+        assert sum(s[1] == 4 and s[3] == "" for x in want.values() for s in x) > 0 and sum(s[3] != "" for x in want.values() for s in x) > 0
+        assert spans_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want

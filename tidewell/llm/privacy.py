@@ -1,13 +1,14 @@
-"""Information-theoretic sanitisation: personal data found by pattern, and the terms around it that give it away.
+"""Information-theoretic sanitisation: personal data found by pattern, and the terms that give it away.
 
 How much a term tells of an entity (an e-mail address, say) is estimated from the corpus: of the entity's information, -log2 p(entity), the share that is their pointwise mutual
-information, log2(p(entity | term) / p(entity)). A term beside an entity is replaced by a more general one (all words with its first letters) if that tells little enough, else
-it is removed.
+information, log2(p(entity | term) / p(entity)). A term and an entity stand together if one text has both, however far apart. A term that tells too much is replaced by a more
+general one (all words with its first letters) if that tells little enough, else it is removed, at every place of every text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ NOT_DIGIT = re.compile("[^0-9]+")
 #: A term: letters, at least SHORTEST; its class: all terms with its first STEM letters.
 SHORTEST, STEM = 5, 4
 TERM = re.compile(r"[^\W\d_]+")
-#: A term's context: entities at most so many code points away from it.
-CONTEXT = 100
 #: A term gives an entity away from this share of its information on, if they stand together in at least SUPPORT different texts.
 SHARE, SUPPORT = 0.9, 2
-#: Terms that a task counts before it hands its counts on.
+#: Terms or places that a task holds before it hands them on.
 HELD = 300_000
+#: Bits of the set of disclosing terms that tasks test terms against, a multiple of 32768.
+BITS = 1 << 25
 
 
 def luhn(digits: str) -> bool:
@@ -71,39 +72,60 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def context_terms(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, term) of whole terms that begin and end within CONTEXT code points of the span, on either side."""
-    for lo, hi in ((max(0, start - CONTEXT), start), (end, min(len(text), end + CONTEXT))):
-        while lo < hi and lo and TERM.match(text[lo]) and TERM.match(text[lo - 1]):  # the rest of a term that begins before
-            lo += 1
-        for m in TERM.finditer(text, lo, hi):
-            if m.end() - m.start() >= SHORTEST and not (m.end() == hi < len(text) and TERM.match(text[hi])):
-                yield m.start(), m.end(), m[0].lower()
+def free_terms(text: str, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, term) of all terms of the whole text that share no code point with a span."""
+    inside = np.zeros(len(text) + 1 if spans else 0, bool)
+    for a, _, b, _ in spans:
+        inside[a:b] = True
+    for m in TERM.finditer(text):
+        if m.end() - m.start() >= SHORTEST and not inside[m.start() : m.end()].any():
+            yield m.start(), m.end(), m[0].lower()
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, term, entity): terms in the context of an entity that lie in no span, each once for each entity."""
-    inside = np.zeros(0, bool)
-    if spans:
-        inside = np.zeros(len(text) + 1, bool)
-        for a, _, b, _ in spans:
-            inside[a:b] = True
-    return sorted({(x, y, term, entity) for a, _, b, entity in spans for x, y, term in context_terms(text, a, b) if not inside[x:y].any()})
-
-
-FOUND = "key string, base array<struct<start:long,kind:int,end:long>>, near array<struct<start:long,end:long,term:string,entity:string>>"
+FOUND = "key string, base array<struct<start:long,kind:int,end:long>>, entities array<string>, terms array<string>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    near_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("term", pa.string()), ("entity", pa.string())]))
+    base_type, names = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])), pa.list_(pa.string())
     for batch in batches:
-        base, near = [], []
-        for text in batch.column(2).to_pylist():
+        first, n, base, entities, terms = 0, 0, [], [], []
+        for row, text in enumerate(batch.column(2).to_pylist(), 1):
             spans = base_spans(text) if text else []
             base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in spans])
-            near.append([dict(zip(("start", "end", "term", "entity"), x, strict=True)) for x in contexts(text, spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, base_type), pa.array(near, near_type)], ["doc_id", "key", "base", "near"])
+            entities.append(sorted({entity for *_, entity in spans}))
+            terms.append(sorted({term for *_, term in free_terms(text, spans)}) if spans else [])
+            n += len(terms[-1])
+            if n >= HELD or row == batch.num_rows:
+                ids = [batch.column(i).slice(first, row - first) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(base, base_type), pa.array(entities, names), pa.array(terms, names)], ["doc_id", "key", "base", "entities", "terms"])
+                first, n, base, entities, terms = row, 0, [], [], []
+
+
+def own_terms(text: str | None) -> set[str]:
+    return {w.lower() for w in set(TERM.findall(text)) if len(w) >= SHORTEST} if text else set()
+
+
+def _places(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+    """(key, term, start, end) for rows of (key, text): every place outside personal data of each term whose bit is set, in batches of about HELD places."""
+    found: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "term", "start", "end"])
+        found.clear()
+        return out
+
+    def marked(term: str) -> bool:
+        bit = zlib.crc32(term.encode()) % BITS
+        return bool(bits[bit >> 3] >> (bit & 7) & 1)
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if own := set(filter(marked, own_terms(text))):
+                found += [(key, term, a, b) for a, b, term in free_terms(text, base_spans(text)) if term in own]
+                if len(found) >= HELD:
+                    yield flush()
+        yield flush()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +138,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            own = {w.lower() for w in set(TERM.findall(text)) if len(w) >= SHORTEST} if text else ()
+            own = own_terms(text)
             for w in own:
                 held[w] = held.get(w, 0) + 1
             for w in {w[:STEM] + "*" for w in own}:
@@ -137,37 +159,72 @@ def disclosure(both: Column, term: Column, entity: Column, total: Column) -> Col
     return F.coalesce(F.try_divide(F.log2(both * total / (term * entity)), F.log2(total / entity)), F.lit(0.0))
 
 
+def keyed() -> tuple[Column, Column]:
+    """key, the text's hash, and text."""
+    text = F.col("text").cast("string")
+    return F.md5(text.cast("binary")).alias("key"), text.alias("text")
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, near) for each row of docs, as a stored table: its personal data and the terms around it; key: the text's hash."""
-    rows = docs.select(F.col("doc_id"), F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("text").cast("string").alias("text"))
+    """(doc_id, key, base, entities, terms) for each row of docs, as a stored table: its personal data, what it holds, and the text's terms outside it, each once; texts
+    without personal data have none of these. key: the text's hash."""
+    rows = docs.select("doc_id", *keyed())
     return written(rows.mapInArrow(lambda batches: trimmed(_find(batches)), f"doc_id {dict(rows.dtypes)['doc_id']}, {FOUND}"), "personal")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """(key, terms) for each text in which terms give an entity away: terms has (start, end, general), general the class that replaces the term, null if it is removed.
+def telling_terms(docs: DataFrame, found: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """(term, general) for each term that gives an entity away, as a stored table: general is the class that replaces the term, null if it is removed.
 
-    Documents are counted with their copies, support by different texts. A class is judged like a term; where a term stands by several entities, it is removed if its class
-    gives any of them away.
+    Documents are counted with their copies, support by different texts. A class is judged like a term, with no least support; where a term gives several entities away, it
+    is removed if its class gives any of them away.
     """
     total = F.lit(found.count()).cast("double")
-    texts = found.where(F.size("near") > 0).groupBy("key").agg(F.first("near").alias("near"), F.count("*").alias("copies"))
+    texts = found.where(F.size("entities") > 0).groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
     texts = written(texts, "texts")
-    uses = texts.select("key", "copies", F.explode("near").alias("x")).select("key", "copies", "x.*")
-    uses = uses.withColumn("general", F.concat(F.substring("term", 1, STEM), F.lit("*")))
-    entities = uses.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("of_entity"))
+    holds = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    entities = holds.groupBy("entity").agg(F.sum("copies").alias("of_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    holds = written(holds.join(entities, "entity"), "entities")
+    texts = texts.join(holds.select("key").distinct(), "key", "left_semi")
+
+    def general(term: Column) -> Column:
+        return F.concat(F.substring(term, 1, STEM), F.lit("*"))
+
+    uses = texts.select("key", F.explode("terms").alias("term"))
+    names = uses.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("term")
+    names = written(names, "names")
+    counts = written(term_counts(docs).join(names.unionByName(names.select(general(F.col("term")).alias("term")).distinct()), "term", "left_semi"), "terms")
+    # both <= of_entity, so a term in more documents than this can't tell the share; the last factor is for rounding
+    most = F.pow(F.col("of_entity"), F.lit(share)) * F.pow(total, F.lit(1 - share)) * (1 + 1e-9)
+    told = disclosure(F.col("both"), F.col("n"), F.col("of_entity"), total)
+    pairs = uses.join(counts, "term").join(holds, "key").where(F.col("n") <= most).groupBy("term", "n", "entity", "of_entity").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"))
+    shown = pairs.where((F.col("texts") >= support) & (told >= share)).select("term", general(F.col("term")).alias("general"), "entity")
+    shown = written(shown, "telling")
+    classes = texts.select("key", F.explode(F.array_distinct(F.transform("terms", general))).alias("general"))
+    classes = classes.join(holds.join(shown.select("general", "entity").distinct(), "entity"), ["key", "general"]).groupBy("general", "entity", "of_entity").agg(F.sum("copies").alias("both"))
+    classes = classes.join(counts.withColumnRenamed("term", "general"), "general").where(told >= share).select("general", "entity", F.lit(True).alias("whole"))
+    each = shown.join(classes, ["general", "entity"], "left").groupBy("term", "general").agg(F.max(F.coalesce("whole", F.lit(False))).alias("gone"))
+    return written(each.select("term", F.when(~F.col("gone"), F.col("general")).alias("general")), "dictionary")
+
+
+def term_bits(terms: DataFrame) -> bytes:
+    """BITS bits, those of the checksums of `term` set: what a task needs to pass over nearly all other terms, of one size for any number of terms."""
+    place = F.crc32(F.col("term").cast("binary")) % BITS + 1
+    parts = terms.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = bytearray(BITS // 8)
+    for r in parts:
+        size = len(r["bits"])
+        bits[(r["part"] - 1) * size : r["part"] * size] = r["bits"]
+    return bytes(bits)
 
-    def telling(name: str, least: int) -> DataFrame:
-        pairs = uses.select("key", "copies", F.col(name).alias("term"), "entity").distinct().groupBy("term", "entity").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least)
-        counted = pairs.join(counts, "term").join(entities, "entity")
-        told = disclosure(F.col("both"), F.col("n"), F.col("of_entity"), total)
-        return counted.where(told >= share).select(F.col("term").alias(name), "entity")
 
-    counts = written(term_counts(docs).join(uses.select("term").unionByName(uses.select(F.col("general").alias("term"))).distinct(), "term", "left_semi"), "terms")
-    terms, classes = telling("term", support), telling("general", 1).withColumn("whole", F.lit(True))
-    shown = uses.join(terms, ["term", "entity"]).join(classes, ["general", "entity"], "left")
-    each = shown.groupBy("key", "start", "end", "general").agg(F.max(F.coalesce("whole", F.lit(False))).alias("gone"))
-    each = each.select("key", F.struct("start", "end", F.when(~F.col("gone"), F.col("general")).alias("general")).alias("x"))
-    return each.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("terms"))  # at most what stands beside the entities of one text
+def disclosing(docs: DataFrame, found: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """(key, terms) for each text with terms that give an entity away, as a stored table: terms has (start, end, general) for all their places in the text, general as in
+    telling_terms. Every place of every text is looked at; a term whose bit another one has set drops out in the join."""
+    telling = telling_terms(docs, found, share, support)
+    bits = docs.sparkSession.sparkContext.broadcast(term_bits(telling))
+    places = docs.select(*keyed()).mapInArrow(lambda batches: trimmed(_places(batches, bits.value)), "key string, term string, start long, end long")
+    places = places.join(telling, "term").select("key", "start", "end", "general").distinct()  # copies of a text have the same places
+    return written(places.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "general"))).alias("terms")), "places")  # at most the terms of one text
 
 
 SPAN = "struct<start:long,kind:int,end:long,general:string>"
@@ -175,8 +232,8 @@ SPAN = "struct<start:long,kind:int,end:long,general:string>"
 
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans) for each row of docs: its personal data and disclosing terms as (start, kind's number, end, general), by start, then kind; code points, end
-    exclusive. Null and empty texts have none. Terms are looked for only beside personal data, so a text without any has no span. Equal texts have equal spans; columns other
-    than doc_id and text play no part, whatever their names. An empty table gives an empty one."""
+    exclusive. Null and empty texts have none. Disclosing terms are looked for at every place of every text, whether or not it has personal data of its own. Equal texts have
+    equal spans; columns other than doc_id and text play no part, whatever their names. An empty table gives an empty one."""
     found = find(docs)
     terms = disclosing(docs, found)
     own = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(None).cast("string").alias("general")))
